@@ -191,16 +191,22 @@ def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return wide.where("low <> high").select("key", "class_id", "tag", "component", "n")
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of classes of one key that are in different components and whose
-    short sketches don't rule a link out."""
-    left = rows.select("key", *(F.col(c).alias(f"l_{c}") for c in rows.columns if c != "key"))
-    right = rows.select("key", *(F.col(c).alias(f"r_{c}") for c in rows.columns if c != "key"))
-    apart = "l_class_id > r_class_id and l_component <> r_component"
+def _may_link() -> str:
+    """Sizes and short sketches of l_ and r_ columns don't rule a link out."""
     sizes = f"100 * least(l_size, r_size) >= {PERCENT} * greatest(l_size, r_size)"
     hamming = " + ".join(f"bit_count(l_{c} ^ r_{c})" for c in SKETCH)
-    close = f"{100 + PERCENT} * ({hamming}) <= {100 - PERCENT} * (l_size + r_size)"
-    return left.join(right, "key").where(f"{apart} and {sizes} and {close}").select(F.col("l_class_id").alias("a"), F.col("r_class_id").alias("b"))
+    return f"{sizes} and {100 + PERCENT} * ({hamming}) <= {100 - PERCENT} * (l_size + r_size)"
+
+
+def _side(rows: DataFrame, prefix: str, *keys: str) -> DataFrame:
+    return rows.select(*(F.col(c) if c in keys else F.col(c).alias(prefix + c) for c in rows.columns))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of classes of one key that are in different components and may link."""
+    both = _side(rows, "l_", "key").join(_side(rows, "r_", "key"), "key")
+    apart = "l_class_id > r_class_id and l_component <> r_component"
+    return both.where(f"{apart} and {_may_link()}").select(F.col("l_class_id").alias("a"), F.col("r_class_id").alias("b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -218,15 +224,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lowest = members.where("n_shingles > 0").groupBy("class_id").agg(F.min("doc_id").alias("first_id"))
 
     key = Window.partitionBy("key")
-    sketches = docs.select("text").mapInArrow(_sketches, "key long, class_id long, tag int")
+    keys = docs.select("text").mapInArrow(_sketches, "key long, class_id long, tag int")
     buckets = materialize(
-        sketches.withColumn("rep", F.min("class_id").over(key)).withColumn("top", F.max("class_id").over(key)).where("rep <> top").drop("top").distinct(), "buckets"
+        keys.withColumn("rep", F.min("class_id").over(key)).withColumn("top", F.max("class_id").over(key)).where("rep <> top").drop("top").distinct(), "buckets"
     )
-    stars = materialize(buckets.where("class_id <> rep").select(F.col("class_id").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    sketches = members.where("n_shingles > 0").select("class_id", F.col("n_shingles").alias("size"), *SKETCH).dropDuplicates(["class_id"])
+    stars = buckets.where("class_id <> rep").select(F.col("class_id").alias("l_class_id"), F.col("rep").alias("r_class_id")).distinct()
+    stars = stars.join(_side(sketches, "l_"), "l_class_id").join(_side(sketches, "r_"), "r_class_id").where(_may_link())
+    stars = materialize(stars.select(F.col("l_class_id").alias("a"), F.col("r_class_id").alias("b")), "stars")
     links = _verified(stars, docs)
     labels = connected_components(links, "a", "b")
 
-    sketches = members.where("n_shingles > 0").select("class_id", F.col("n_shingles").alias("size"), *SKETCH).dropDuplicates(["class_id"])
     mixed = materialize(_mixed(buckets, labels).join(sketches, "class_id"), "mixed")
     pairs = _pairs(mixed.where(F.col("n") <= LARGE_KEY))
     large = mixed.where(F.col("n") > LARGE_KEY)
