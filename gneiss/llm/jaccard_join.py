@@ -115,6 +115,13 @@ def _parity(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _wide(hashes: np.ndarray) -> bytes:
+    """Parity sketch of as many bits as there are shingles (a power of two)."""
+    bits = 1 << max(6, (len(hashes) - 1).bit_length())
+    slot = (T.mix(hashes ^ np.uint64(0x3C79AC492BA7B653)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(slot, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = T.utf8(batch.column("text"))
@@ -122,8 +129,8 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, at = T.shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], WORDS)
             sketch = _parity(hashes, at)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id")[a:b], pa.array(np.diff(at), pa.int64()), T.signed(T.set_hash(hashes, at)), *(T.signed(x.copy()) for x in sketch.T)],
-                ["doc_id", "n_shingles", "class_id", *SKETCH],
+                [batch.column("doc_id")[a:b], pa.array(np.diff(at), pa.int64()), T.signed(T.set_hash(hashes, at)), *(T.signed(x.copy()) for x in sketch.T), pa.array([_wide(hashes[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())],
+                ["doc_id", "n_shingles", "class_id", *SKETCH, "wide"],
             )
 
 
@@ -170,8 +177,24 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _near_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that their wide sketches don't rule out; the longer one is folded."""
+    for batch in batches:
+        keep = np.zeros(batch.num_rows, bool)
+        sizes = (batch.column("l_size").to_numpy() + batch.column("r_size").to_numpy()).tolist()
+        for i, (x, y, size) in enumerate(zip(batch.column("l_wide"), batch.column("r_wide"), sizes, strict=True)):
+            x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+            n = min(len(x), len(y))
+            gap = np.bitwise_xor.reduce(x.reshape(-1, n)) ^ np.bitwise_xor.reduce(y.reshape(-1, n))
+            keep[i] = (100 + PERCENT) * int(np.bitwise_count(gap).sum()) <= (100 - PERCENT) * size
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+
+
+def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose exact Jaccard similarity is high enough."""
+    wide = sketches.select("class_id", "size", "wide")
+    near = pairs.join(_side(wide, "l_").withColumnRenamed("l_class_id", "a"), "a").join(_side(wide, "r_").withColumnRenamed("r_class_id", "b"), "b")
+    pairs = materialize(near.mapInArrow(_near_sketches, "a long, b long"), "pairs")
     ids = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id"))).distinct()
     found = docs.select("text").mapInArrow(_sets(sieve(ids, "class_id")), "class_id long, shingles binary")
     sets = materialize(found.join(ids, "class_id", "left_semi").dropDuplicates(["class_id"]), "sets")
@@ -220,7 +243,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    members = materialize(docs.mapInArrow(_classes, "doc_id long, n_shingles long, class_id long, " + ", ".join(f"{c} long" for c in SKETCH)), "classes")
+    members = materialize(docs.mapInArrow(_classes, "doc_id long, n_shingles long, class_id long, " + ", ".join(f"{c} long" for c in SKETCH) + ", wide binary"), "classes")
     lowest = members.where("n_shingles > 0").groupBy("class_id").agg(F.min("doc_id").alias("first_id"))
 
     key = Window.partitionBy("key")
@@ -228,21 +251,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = materialize(
         keys.withColumn("rep", F.min("class_id").over(key)).withColumn("top", F.max("class_id").over(key)).where("rep <> top").drop("top").distinct(), "buckets"
     )
-    sketches = members.where("n_shingles > 0").select("class_id", F.col("n_shingles").alias("size"), *SKETCH).dropDuplicates(["class_id"])
+    sketches = members.where("n_shingles > 0").select("class_id", F.col("n_shingles").alias("size"), *SKETCH, "wide").dropDuplicates(["class_id"])
     stars = buckets.where("class_id <> rep").select(F.col("class_id").alias("l_class_id"), F.col("rep").alias("r_class_id")).distinct()
-    stars = stars.join(_side(sketches, "l_"), "l_class_id").join(_side(sketches, "r_"), "r_class_id").where(_may_link())
+    stars = stars.join(_side(sketches.drop("wide"), "l_"), "l_class_id").join(_side(sketches.drop("wide"), "r_"), "r_class_id").where(_may_link())
     stars = materialize(stars.select(F.col("l_class_id").alias("a"), F.col("r_class_id").alias("b")), "stars")
-    links = _verified(stars, docs)
+    links = _verified(stars, sketches, docs)
     labels = connected_components(links, "a", "b")
 
-    mixed = materialize(_mixed(buckets, labels).join(sketches, "class_id"), "mixed")
+    mixed = materialize(_mixed(buckets, labels).join(sketches.drop("wide"), "class_id"), "mixed")
     pairs = _pairs(mixed.where(F.col("n") <= LARGE_KEY))
     large = mixed.where(F.col("n") > LARGE_KEY)
     enough = large.groupBy("class_id", "tag").count().where("count * 64 + 63 >= tag").drop("count")
     pairs = pairs.unionByName(_pairs(large.join(enough, ["class_id", "tag"], "left_semi")))
     rest = materialize(pairs.distinct().join(stars, ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():
-        links = links.unionByName(_verified(rest, docs))
+        links = links.unionByName(_verified(rest, sketches, docs))
         labels = connected_components(links, "a", "b")
 
     reach = (
