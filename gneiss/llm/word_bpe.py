@@ -17,7 +17,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 import xxhash
 import zstandard
@@ -27,9 +26,9 @@ from pyspark.sql import functions as F
 from gneiss.llm import text as T
 from gneiss.sources.storage import materialize
 
-#: Bytes of text in a chunk (a longer text stands alone), and bytes of distinct words in a shard.
-CHUNK_BYTES = 16 << 20
-SHARD_BYTES = 4 << 20
+#: Bytes of text in a chunk (a longer text stands alone), and bytes of text for each shard of words.
+CHUNK_BYTES = 8 << 20
+SHARD_BYTES = 32 << 20
 #: The special tokens and the word pattern of this vocabulary.
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 _SPECIAL = regex.compile("(" + "|".join(map(regex.escape, SPECIAL)) + ")")
@@ -65,59 +64,64 @@ def _tokenizer(path: str):
     return tokenizer, pa.array(pieces, pa.string())
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of documents: distinct words (frequent first) and each position's word."""
+def _squeeze(numbers: np.ndarray, level: int = 3) -> bytes:
+    """32-bit numbers by byte planes, compressed."""
+    planes = np.ascontiguousarray(numbers, np.uint32).view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _stretch(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint32).ravel()
+
+
+def _chunk(ids: pa.Array, texts: pa.Array, shards: int, split=split) -> pa.RecordBatch:
+    known: dict[str, int] = {}
+    at, count = [], []
+    for text in texts:
+        words = split(text.as_py() or "")
+        for w in words:
+            if w not in known:
+                known[w] = len(known)
+        at.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
+        count.append(len(words))
+    at = np.concatenate(at) if at else np.zeros(0, np.uint32)
+    frequent = np.argsort(-np.bincount(at, minlength=len(known)), kind="stable")
+    place = np.empty(len(known), np.uint32)
+    place[frequent] = np.arange(len(known), dtype=np.uint32)
+    words = list(known)
+    shard = np.fromiter((xxhash.xxh3_64_intdigest(w) % shards for w in words), np.int64, len(words))
+    order = np.array(sorted(range(len(words)), key=lambda i: (shard[i], words[i])), np.int64)
+    used, start = np.unique(shard[order], return_index=True)
+    ends = np.append(start[1:], len(order))[: len(used)]
     packer = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        _, offsets = T.utf8(batch.column("text"))
-        for a, b in T.slices(offsets, CHUNK_BYTES):
-            known: dict[str, int] = {}
-            at, count = [], []
-            for text in batch.column("text")[a:b]:
-                words = split(text.as_py() or "")
-                for w in words:
-                    if w not in known:
-                        known[w] = len(known)
-                at.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
-                count.append(len(words))
-            at = np.concatenate(at) if at else np.zeros(0, np.uint32)
-            order = np.argsort(-np.bincount(at, minlength=len(known)), kind="stable")
-            place = np.empty(len(known), np.uint32)
-            place[order] = np.arange(len(known), dtype=np.uint32)
-            planes = place[at].view(np.uint8).reshape(-1, 4).T.tobytes() if len(at) else b""
-            words = pa.array(list(known), pa.string()).take(pa.array(order))
-            ids = batch.column("doc_id")[a:b]
-            key = xxhash.xxh3_64_intdigest(repr((ids.to_pylist(), len(at))).encode(), 11) >> 1
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([key], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                    pa.array([count], pa.list_(pa.int32())),
-                    pa.array([packer.compress(planes)], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
-                ],
-                ["chunk", "doc_ids", "counts", "positions", "words"],
-            )
-
-
-def _shard_of(words: pa.Array, shards: int) -> np.ndarray:
-    data, offsets = T.utf8(words)
-    return (T.span_hash(T.prefix_hash(data), offsets[:-1], offsets[1:]) % np.uint64(shards)).astype(np.int64)
-
-
-def _requests(shards: int):
-    """A chunk's words by shard."""
+    asked = [
+        {"shard": int(s), "words": packer.compress("\n".join([words[i] for i in order[x:y]]).encode())}
+        for s, x, y in zip(used, start, ends, strict=True)
+    ]
+    # at which of its chunk's answers each word (frequent first) is
+    answer = np.empty(len(words), np.uint32)
+    answer[place[order]] = np.arange(len(words), dtype=np.uint32)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+            pa.array([count], pa.list_(pa.int32())),
+            pa.array([_squeeze(place[at])], pa.binary()),
+            pa.array([_squeeze(answer)], pa.binary()),
+            pa.array([asked], pa.list_(pa.struct([("shard", pa.int32()), ("words", pa.binary())]))),
+        ],
+        ["doc_ids", "counts", "positions", "answer", "asked"],
+    )
+
+
+def _chunks(shards: int):
+    """Chunks of documents: distinct words by shard, and each position's word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                words = batch.column("words")[row].values
-                shard = _shard_of(words, shards)
-                order = np.argsort(shard, kind="stable")
-                used, start = np.unique(shard[order], return_index=True)
-                lists = pa.ListArray.from_arrays(pa.array([*start, len(order)], pa.int32()), words.take(pa.array(order)))
-                key = batch.column("chunk")[row].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([key] * len(used), pa.int64()), lists], ["shard", "chunk", "words"])
+            _, offsets = T.utf8(batch.column("text"))
+            for a, b in T.slices(offsets, CHUNK_BYTES):
+                yield _chunk(batch.column("doc_id")[a:b], batch.column("text")[a:b], shards)
 
     return run
 
@@ -127,18 +131,20 @@ def _encoded(path: str):
 
     def run(table: pa.Table) -> pa.Table:
         tokenizer, _ = _tokenizer(path)
-        requests = table.column("words").combine_chunks()
-        distinct = pc.unique(requests.values[requests.offsets[0].as_py() :])
-        ids = [e.ids for e in tokenizer.encode_batch(distinct.to_pylist(), add_special_tokens=False)]
+        asked = [zstandard.ZstdDecompressor().decompress(x.as_buffer()).decode().split("\n") for x in table.column("words")]
+        known = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(asked)))}
+        words, ids = list(known), []
+        for at in range(0, len(words), 20_000):
+            ids += [e.ids for e in tokenizer.encode_batch(words[at : at + 20_000], add_special_tokens=False)]
         count = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum()))
         start = np.concatenate(([0], np.cumsum(count)))[:-1]
         counts, spans = [], []
-        for words in requests:
-            at = pc.index_in(words.values, distinct).to_numpy()
-            counts.append(count[at].astype(np.uint32).tobytes())
-            spans.append(flat[_ranges(start[at], count[at])].tobytes())
-        return pa.table({"shard": table.column("shard"), "chunk": table.column("chunk"), "counts": pa.array(counts, pa.binary()), "ids": pa.array(spans, pa.binary())})
+        for own in asked:
+            at = np.fromiter(map(known.__getitem__, own), np.int64, len(own))
+            counts.append(_squeeze(count[at]))
+            spans.append(_squeeze(flat[_ranges(start[at], count[at])]))
+        return pa.table({"chunk": table.column("chunk"), "shard": table.column("shard"), "counts": pa.array(counts, pa.binary()), "ids": pa.array(spans, pa.binary())})
 
     return run
 
@@ -149,53 +155,39 @@ def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return shift + np.arange(int(count.sum()))
 
 
-def _documents(path: str, shards: int):
-    """Ids and decoded text of each document of a chunk."""
+def _documents(path: str, digests: bool):
+    """Ids and decoded text of each document of a chunk, or their digests."""
 
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         _, pieces = _tokenizer(path)
-        out: dict[str, list] = {"doc_id": [], "n_tokens": [], "ids": [], "decoded": []}
-        answers = {s.as_py(): (np.frombuffer(c.as_py(), np.uint32), np.frombuffer(i.as_py(), np.uint32)) for s, c, i in zip(*(answers.column(n) for n in ("shard", "counts", "ids")), strict=True)}
+        by_shard = np.argsort(answers.column("shard").to_numpy()).tolist()
+        count = [_stretch(answers.column("counts")[i].as_buffer()) for i in by_shard]
+        flat = [_stretch(answers.column("ids")[i].as_buffer()) for i in by_shard]
+        none = np.zeros(0, np.uint32)
+        count, flat = np.concatenate(count or [none]).astype(np.int64), np.concatenate(flat or [none])
+        start = np.concatenate(([0], np.cumsum(count)))[:-1]
+        # decoding joins ids with pieces; pieces of a text are joined by blanks
+        spelled = pieces.take(pa.array(flat)).to_pylist()
+        decoded = [" ".join(spelled[s : s + n]) for s, n in zip(start.tolist(), count.tolist(), strict=True)]
+        del spelled
+        doc_ids, n_tokens, ids, texts = [], [], [], []
         for row in range(chunk.num_rows):
-            words = chunk.column("words")[row].values
-            shard = _shard_of(words, shards)
-            order = np.argsort(shard, kind="stable")
-            used = np.unique(shard)
-            count = np.empty(len(words), np.int64)
-            count[order] = np.concatenate([answers[s][0] for s in used.tolist()]) if len(used) else []
-            flat = np.concatenate([answers[s][1] for s in used.tolist()]) if len(used) else np.zeros(0, np.uint32)
-            start = np.empty(len(words), np.int64)
-            start[order] = np.concatenate(([0], np.cumsum(count[order])[:-1])) if len(words) else []
-            # decoding joins ids with pieces; pieces of a text are joined by blanks
-            spelled = pieces.take(pa.array(flat)).to_pylist()
-            decoded = [" ".join(spelled[s : s + n]) for s, n in zip(start.tolist(), count.tolist(), strict=True)]
-            planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(chunk.column("positions")[row].as_py()), np.uint8)
-            at = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
-            ends = np.cumsum(chunk.column("counts")[row].values.to_numpy())
-            for doc_id, a, b in zip(chunk.column("doc_ids")[row].as_py(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            at = _stretch(chunk.column("answer")[row].as_buffer())[_stretch(chunk.column("positions")[row].as_buffer())]
+            ends = np.cumsum(chunk.column("counts")[row].values.to_numpy()).tolist()
+            doc_ids += chunk.column("doc_ids")[row].as_py()
+            for a, b in zip([0, *ends[:-1]], ends, strict=True):
                 own = at[a:b]
-                out["doc_id"].append(doc_id)
-                out["n_tokens"].append(int(count[own].sum()))
-                out["ids"].append(flat[_ranges(start[own], count[own])].astype("<u4").tobytes())
-                out["decoded"].append(" ".join(map(decoded.__getitem__, own.tolist())))
-        return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "ids": pa.array(out["ids"], pa.binary()), "decoded": pa.array(out["decoded"], pa.string())})
+                n_tokens.append(int(count[own].sum()))
+                encoded, text = flat[_ranges(start[own], count[own])].astype("<u4").tobytes(), " ".join(map(decoded.__getitem__, own.tolist()))
+                ids.append(hashlib.sha256(encoded).hexdigest() if digests else encoded)
+                texts.append(hashlib.sha256(text.encode()).hexdigest() if digests else text)
+        kind = pa.string() if digests else pa.binary()
+        return pa.table([pa.array(doc_ids, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(ids, kind), pa.array(texts, pa.string())], names=_NAMES[digests])
 
     return run
 
 
-def _digests(run):
-    def digest(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        full = run(chunk, answers)
-        return pa.table(
-            {
-                "doc_id": full.column("doc_id"),
-                "n_tokens": full.column("n_tokens"),
-                "ids_sha256": pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in full.column("ids")], pa.string()),
-                "decoded_sha256": pa.array([hashlib.sha256(x.as_py().encode()).hexdigest() for x in full.column("decoded")], pa.string()),
-            }
-        )
-
-    return digest
+_NAMES = {False: ["doc_id", "n_tokens", "ids", "decoded"], True: ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]}
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, digests: bool = False) -> DataFrame:
@@ -209,18 +201,13 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, digests: bool = False) -
     chunk's row; a word of any length is one word.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = materialize(
-        docs.mapInArrow(_chunks, "chunk long, doc_ids array<long>, counts array<int>, positions binary, words array<string>").withColumn(
-            "chunk", F.xxhash64("chunk", F.monotonically_increasing_id())
-        ),
-        "chunks",
-    )
-    size = chunks.agg(F.sum(F.expr("aggregate(words, 0L, (n, w) -> n + octet_length(w))"))).first()[0] or 0
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(8, int(size) // SHARD_BYTES)
-    requests = chunks.select("chunk", "words").mapInArrow(_requests(shards), "shard int, chunk long, words array<string>")
-    answers = requests.groupBy("shard").applyInArrow(_encoded(tokenizer_path), "shard int, chunk long, counts binary, ids binary")
-    run = _documents(tokenizer_path, shards)
-    schema = "doc_id long, n_tokens long, ids binary, decoded string"
-    if digests:
-        run, schema = _digests(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+    schema = "doc_ids array<long>, counts array<int>, positions binary, answer binary, asked array<struct<shard: int, words: binary>>"
+    chunks = materialize(docs.mapInArrow(_chunks(shards), schema).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+    asked = chunks.select("chunk", F.explode("asked").alias("asked")).select("chunk", "asked.*")
+    answers = asked.groupBy("shard").applyInArrow(_encoded(tokenizer_path), "chunk long, shard int, counts binary, ids binary")
+    kind = "string" if digests else "binary"
+    a, b, c, d = _NAMES[digests]
+    result = f"{a} long, {b} long, {c} {kind}, {d} string"
+    return chunks.drop("asked").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_documents(tokenizer_path, digests), result)
