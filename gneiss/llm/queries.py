@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import cap_filters, fingerprints, jaccard_join, line_dedup, packing, pii, suffix_dedup, toxicity, word_bpe
+from gneiss.llm import cap_filters, fingerprints, jaccard_join, line_dedup, ngram_quality, packing, pii, suffix_dedup, toxicity, word_bpe
 from gneiss.llm.tokenizer_files import tokenizer_path
 from gneiss.sources.storage import table
 
@@ -31,13 +31,17 @@ def op4_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return kept.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.md5(F.encode("text", "utf-8")).alias("kept_md5"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
