@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["relational", "evaluation"]
+MODULES = ["relational", "evaluation", "learning"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
