@@ -50,9 +50,9 @@ SCORES_SQL = f"""{TARGET_SQL}, scored as (
 #: Errors of two models over ordered rows.
 ERRORS_SQL = f"""errors as (
     select o_orderkey as row, {uniform_sql('o_orderkey', seed=4)} - 0.5 as e1, {uniform_sql('o_orderkey', seed=5)} - 0.45 as e2, {uniform_sql('o_orderkey', seed=6)} as y from orders)"""
-#: Scores of five models in fifty blocks.
+#: Scores of five models in as many blocks as there are parts.
 BLOCKS_SQL = f"""models as (select * from (values ('a', 0.00), ('b', 0.01), ('c', 0.02), ('d', 0.05), ('e', 0.05)) t(model, gain)), blocks as (
-    select p_partkey as block, model, round(0.7 + gain + 0.05 * {uniform_sql('p_partkey', 'model', seed=7)}, 3) as score from part, models where p_partkey <= 50)"""
+    select p_partkey as block, model, round(0.7 + gain + 0.05 * {uniform_sql('p_partkey', 'model', seed=7)}, 3) as score from part, models)"""
 
 
 def clients(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +102,7 @@ def errors(spark: SparkSession, d: str) -> DataFrame:
 
 def blocks(spark: SparkSession, d: str) -> DataFrame:
     models = spark.createDataFrame([("a", 0.0), ("b", 0.01), ("c", 0.02), ("d", 0.05), ("e", 0.05)], "model string, gain double")
-    part = table(spark, d, "part").where("p_partkey <= 50").select(F.col("p_partkey").alias("block"))
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("block"))
     return part.crossJoin(models).select("block", "model", F.round(0.7 + F.col("gain") + 0.05 * uniform("block", "model", seed=7), 3).alias("score"))
 
 

@@ -50,14 +50,14 @@ def _vectors(spark, d) -> DataFrame:
 
 @query(
     "knn_scores",
-    """with q as (select vec_id as id, embedding as x from embeddings where vec_id % 100 = 7), d as (select id, cast(label = 0 as integer) as y, list_distance(cast(x as double[]), cast(embedding as double[])) as distance, vec_id from q, embeddings where vec_id % 10 <> 7),
+    """with q as (select vec_id as id, embedding as x from embeddings where vec_id % 100 = 0), d as (select id, cast(label = 0 as integer) as y, list_distance(cast(x as double[]), cast(embedding as double[])) as distance, vec_id from q, embeddings where vec_id % 100 <> 0),
        n as (select *, row_number() over (partition by id order by distance, vec_id) as nth from d) select id, sum(y / (distance + 1e-6)) / sum(1 / (distance + 1e-6)) as s from n where nth <= 15 group by id""",
     "id",
     "s",
 )
 def knn_scores(spark, d) -> DataFrame:
     v = _vectors(spark, d)
-    return learners.knn_scores(v.where("id % 10 <> 7"), v.where("id % 100 = 7"), 15, "distance")
+    return learners.knn_scores(v.where("id % 100 <> 0"), v.where("id % 100 = 0"), 15, "distance")
 
 
 _SMOTE = f"""with v as (select vec_id as id, cast(embedding as double[]) as x from embeddings where label = 0), c as (select (select count(*) from v) as n, greatest(0, cast(floor(0.5 * (select count(*) from embeddings where label <> 0)) as bigint) - (select count(*) from v)) as wanted),
