@@ -14,8 +14,9 @@ the keys of the classic prefix filter (its few smallest shingle hashes),
 which finds any partner of that kind exactly.
 
 Copies (equal sets) are one class throughout. Within a key's rows every class
-is first checked against one representative, so a group of near copies costs a
-star and not a square. What is then still in different components is compared
+is first checked against one representative, then where components still
+differ against another few, so a group of near copies costs a few stars and not
+a square. What is then still in different components is compared
 pairwise under small keys. A large key of unlike classes comes from a passage
 that many documents share; a similar pair with no small key in common would
 have to share ``need`` large ones, so classes with fewer large keys leave those
@@ -41,6 +42,8 @@ WORDS = 5
 PERCENT = 80
 #: Upper sizes of the bands grow by this factor.
 BAND_RATIO = 1.6
+#: Times that classes of a key are checked against another representative before they meet pairwise.
+STAR_ROUNDS = 3
 #: Keys of more classes than this are large.
 LARGE_KEY = 64
 #: 64-bit words of the short parity sketch that sieves pairs before their sets are compared.
@@ -225,6 +228,17 @@ def _side(rows: DataFrame, prefix: str, *keys: str) -> DataFrame:
     return rows.select(*(F.col(c) if c in keys else F.col(c).alias(prefix + c) for c in rows.columns))
 
 
+def _stars(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each class of a key and one class, drawn by hash, of the key's largest component."""
+    rows = rows.withColumn("part_n", F.count("*").over(Window.partitionBy("key", "component")))
+    key = Window.partitionBy("key").orderBy(F.desc("part_n"), F.xxhash64("class_id", F.lit(turn)), "class_id")
+    centre = F.first(F.struct(*(c for c in rows.columns if c not in ("key", "tag", "n")))).over(key)
+    both = rows.withColumn("centre", centre).where("component <> centre.component and class_id <> centre.class_id")
+    left = [F.col(c).alias(f"l_{c}") for c in rows.columns if c in ("class_id", "size", *SKETCH)]
+    both = both.select(*left, *(F.col(f"centre.{c}").alias(f"r_{c}") for c in rows.columns if c in ("class_id", "size", *SKETCH))).where(_may_link())
+    return both.select(F.greatest("l_class_id", "r_class_id").alias("a"), F.least("l_class_id", "r_class_id").alias("b")).distinct()
+
+
 def _pairs(rows: DataFrame) -> DataFrame:
     """Pairs of classes of one key that are in different components and may link."""
     both = _side(rows, "l_", "key").join(_side(rows, "r_", "key"), "key")
@@ -258,12 +272,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = _verified(stars, sketches, docs)
     labels = connected_components(links, "a", "b")
 
-    mixed = materialize(_mixed(buckets, labels).join(sketches.drop("wide"), "class_id"), "mixed")
+    short, tested = sketches.drop("wide"), stars
+    mixed = materialize(_mixed(buckets, labels).join(short, "class_id"), "mixed")
+    for turn in range(STAR_ROUNDS):
+        more = materialize(_stars(mixed, turn).join(tested, ["a", "b"], "left_anti"), "stars")
+        if not more.limit(1).count():
+            continue
+        tested, found = tested.unionByName(more), _verified(more, sketches, docs)
+        if found.limit(1).count():
+            links = links.unionByName(found)
+            labels = connected_components(links, "a", "b")
+            mixed = materialize(_mixed(mixed, labels).join(short, "class_id"), "mixed")
     pairs = _pairs(mixed.where(F.col("n") <= LARGE_KEY))
     large = mixed.where(F.col("n") > LARGE_KEY)
     enough = large.groupBy("class_id", "tag").count().where("count * 64 + 63 >= tag").drop("count")
     pairs = pairs.unionByName(_pairs(large.join(enough, ["class_id", "tag"], "left_semi")))
-    rest = materialize(pairs.distinct().join(stars, ["a", "b"], "left_anti"), "rest")
+    rest = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():
         links = links.unionByName(_verified(rest, sketches, docs))
         labels = connected_components(links, "a", "b")

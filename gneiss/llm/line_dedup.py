@@ -1,6 +1,6 @@
 """Line dedup by a log-template tree.
 
-A line goes down a tree of fixed depth: its number of tokens, then its first
+A line goes down a tree of fixed depth: its number of tokens (between blanks), then its first
 tokens, where a token with a digit counts as a wildcard. Each leaf that lines
 of enough documents reach keeps one template: the token that most of its lines
 have at a place, or a wildcard where none has the majority. A line that fits
@@ -26,7 +26,6 @@ DEPTH, MIN_TOKENS = 3, 2
 #: Share of a leaf template's tokens that must not be wildcards.
 MIN_FIXED = 0.7
 WILDCARD = "<*>"
-_BLANKS = "\t\x0b\x0c\r"
 
 
 def _masked(tokens: Column) -> Column:
@@ -37,18 +36,21 @@ def _fixed(tokens: Column) -> Column:
     return F.size(F.filter(tokens, lambda t: t != WILDCARD))
 
 
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """``row`` (digest of the text), ``place``, ``form`` and ``path`` of each line of two tokens or more."""
-    lines = docs.select(F.md5(F.encode("text", "utf-8")).alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
-    form = lines.select("row", "place", F.translate("line", _BLANKS, " " * len(_BLANKS)).alias("form"))
-    n = F.length("form") - F.length(F.replace("form", F.lit(" "), F.lit(""))) + 1
+    """``row`` (digest of the text), ``place``, ``form`` and ``path`` of each line of MIN_TOKENS tokens or more."""
+    lines = docs.select(_digest(F.col("text")).alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("place", "form"))
     lead = F.array_join(_masked(F.split(F.substring_index("form", " ", DEPTH), " ")), " ")
-    return form.withColumn("n", n).where(F.col("n") >= MIN_TOKENS).select("row", "place", "form", F.concat_ws(" ", F.col("n").cast("string"), lead).alias("path"))
+    n = F.octet_length("form") - F.octet_length(F.replace("form", F.lit(" "), F.lit(""))) + 1
+    return lines.withColumn("n", n).where(F.col("n") >= MIN_TOKENS).select("row", "place", "form", F.xxhash64("n", lead).alias("path"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``row`` and ``place`` of every line whose template recurs, once for each text."""
-    lines = _lines(docs)
+    lines = materialize(_lines(docs), "lines")
     leaves = lines.select("path", "row").distinct().groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
     leaves = materialize(leaves.select("path"), "leaves")
     tokens = lines.join(leaves, "path").select("row", "place", "path", _masked(F.split("form", " ")).alias("tokens")).distinct()
@@ -64,7 +66,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     fits = F.forall(F.zip_with("tokens", "leaf", lambda t, m: (m == WILDCARD) | (t == m)), lambda x: x)
     chosen = F.when(F.coalesce(fits, F.lit(False)), F.col("leaf")).otherwise(F.col("tokens"))
     placed = tokens.join(trees, "path", "left").select("row", "place", chosen.alias("template"))
-    placed = placed.where(_fixed(F.col("template")) * 2 >= F.size("template")).select("row", "place", F.md5(F.encode(F.array_join("template", " "), "utf-8")).alias("template"))
+    placed = placed.where(_fixed(F.col("template")) * 2 >= F.size("template")).select("row", "place", _digest(F.array_join("template", " ")).alias("template"))
     recurs = placed.select("template", "row").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template")
     return placed.join(recurs, "template").select("row", "place")
 
@@ -85,13 +87,13 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     source = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
     drops = recurring_lines(source, min_docs).groupBy("row").agg(F.collect_set("place").alias("places"))
     columns = docs.columns
-    keyed = docs.withColumn("text", F.col("text").cast("string")).withColumn("row_of_text", F.md5(F.encode("text", "utf-8")))
-    joined = keyed.join(drops.withColumnRenamed("row", "row_of_text").withColumnRenamed("places", "places_of_text"), "row_of_text", "left")
+    keyed = docs.withColumn("text", F.col("text").cast("string")).withColumn("__text_digest", _digest(F.col("text")))
+    joined = keyed.join(drops.withColumnRenamed("row", "__text_digest").withColumnRenamed("places", "__recurring_places"), "__text_digest", "left")
     lines = F.split("text", "\n", -1)
-    held = F.filter(lines, lambda _, i: ~F.array_contains("places_of_text", i))
+    held = F.filter(lines, lambda _, i: ~F.array_contains("__recurring_places", i))
     kept = F.array_join(held, "\n")
     lost = F.length("text") - F.length(kept)
-    boiler = F.col("places_of_text").isNotNull() & (lost * 2 <= F.length("text"))
+    boiler = F.col("__recurring_places").isNotNull() & (lost * 2 <= F.length("text"))
     out = joined.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0))).withColumn("n_dropped", F.when(boiler, F.col("n_lines") - F.size(held)).otherwise(0))
     out = out.withColumn("text", F.when(boiler, kept).otherwise(F.col("text")))
     if "n_chars" in columns:
@@ -101,14 +103,13 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
 
 def oracle(docs: str = "documents", columns: str = "doc_id", digests: bool = True) -> str:
     """The same result as DuckDB SQL over a table or subquery ``docs``."""
-    blanks = "translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    ')"
     mask = f"case when regexp_matches(t, '[0-9]') then '{WILDCARD}' else t end"
     out = "n_lines, n_dropped, length(kept) as kept_chars, md5(kept) as kept_md5" if digests else "kept as text"
     return f"""
     with source as (select *, md5(text) as row_of_text from {docs}),
     raw as (select distinct row_of_text, string_split(text, chr(10)) as ls from source where text is not null),
     lines as (select row_of_text, unnest(range(len(ls))) as place, unnest(ls) as line from raw),
-    forms as (select row_of_text, place, {blanks} as form from lines),
+    forms as (select row_of_text, place, line as form from lines),
     paths as (
         select row_of_text, place, list_transform(string_split(form, ' '), lambda t: {mask}) as tokens,
                concat_ws(' ', cast(len(string_split(form, ' ')) as varchar), array_to_string(list_transform(string_split(form, ' ')[1:{DEPTH}], lambda t: {mask}), ' ')) as path

@@ -165,7 +165,9 @@ def train(docs: DataFrame) -> Field:
     any, the field labels nothing.
     """
     labels = len(KINDS) + 1
-    sample = docs.where(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    ids = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]")).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    # at most SAMPLE_DOCS numbers are broadcast; one text for each
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     # rows by shape and label: at most 2**_BITS * 5 + 50
     counts = sample.select("text").mapInArrow(_counts, "what string, x long, y long, n long").groupBy("what", "x", "y").agg(F.sum("n").alias("n")).toPandas()
     node, pairs = counts[counts.what == "n"], {}

@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -162,20 +163,24 @@ def _contexts(splitters: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                data = np.frombuffer(batch.column("bytes")[i].as_buffer(), np.uint8)
-                _, suffix, first, last, key = runs(data, np.array([0, len(data)]))
-                keep = np.isin(suffix, batch.column("places")[i].values.to_numpy())
-                suffix, first, last, key = suffix[keep], first[keep], last[keep], key[keep]
-                raw, n = data.tobytes(), int(keep.sum())
+            texts = batch.column("bytes")
+            ends = np.concatenate(([0], np.cumsum([len(t.as_buffer()) for t in texts], dtype=np.int64)))
+            for a, b in T.slices(ends, 2 << 20):
+                part = batch.slice(a, b - a)
+                raw, at = b"".join(t.as_buffer() for t in part.column("bytes")), ends[a : b + 1] - ends[a]
+                row, suffix, first, last, key = runs(np.frombuffer(raw, np.uint8), at)
+                lists = part.column("places")
+                places = np.repeat(at[:-1], pc.list_value_length(lists).to_numpy()) + lists.flatten().to_numpy()
+                keep = np.isin(suffix, places)
+                row, first, last, key = row[keep], first[keep], last[keep], key[keep]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.searchsorted(splitters, key, "right"), pa.int32()),
                         pa.array(key, pa.int64()),
-                        pa.array([batch.column("first_id")[i].as_py()] * n, pa.int64()),
-                        pa.array([batch.column("class_id")[i].as_py()] * n, pa.int64()),
-                        pa.array(first, pa.int32()),
-                        pa.array([raw[a : b + LENGTH] for a, b in zip(first.tolist(), last.tolist(), strict=True)], pa.binary()),
+                        part.column("first_id").take(pa.array(row)),
+                        part.column("class_id").take(pa.array(row)),
+                        pa.array(first - at[row], pa.int32()),
+                        pa.array([raw[x : y + LENGTH] for x, y in zip(first.tolist(), last.tolist(), strict=True)], pa.binary()),
                     ],
                     ["bucket", "key", "first_id", "class_id", "start", "bytes"],
                 )
@@ -327,7 +332,8 @@ def dedup_substrings(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     total = classes.agg(F.sum("n_bytes")).first()[0] or 0
 
     # bounded: suffixes of at most SAMPLE_DOCS documents, thinned to one in 64
-    sample = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select("text").mapInArrow(_suffixes(np.zeros(0, np.int64)), "bucket int, key long, class_id long, place int")
+    chosen = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    sample = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select("text").mapInArrow(_suffixes(np.zeros(0, np.int64)), "bucket int, key long, class_id long, place int")
     n = int(max(16, min(total // 26 // BUCKET, 1 << 20)))
     sample = np.sort(sample.where("pmod(xxhash64(class_id, place), 64) = 0").select("key").toPandas()["key"].to_numpy(np.int64))
     splitters = sample[(np.arange(1, n) * len(sample)) // n] if len(sample) else sample

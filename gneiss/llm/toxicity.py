@@ -167,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     )
     # at most SAMPLE_ROWS pairs of numbers, so this side is small by construction
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(train_rows), "doc_id")
-    sample = rows.select("text", "toxic").persist()
+    sample = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic").persist()
     try:
         total, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
         base = (toxic + 1) / (total + 20)

@@ -27,7 +27,7 @@ from gneiss.llm import text as T
 from gneiss.sources.storage import materialize
 
 #: Bytes of text in a chunk (a longer text stands alone), and bytes of text for each shard of words.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 14 << 20
 SHARD_BYTES = 32 << 20
 #: The special tokens and the word pattern of this vocabulary.
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
@@ -106,7 +106,7 @@ def _chunk(ids: pa.Array, texts: pa.Array, shards: int, split=split) -> pa.Recor
         [
             pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
             pa.array([count], pa.list_(pa.int32())),
-            pa.array([_squeeze(place[at])], pa.binary()),
+            pa.array([_squeeze(place[at], 9)], pa.binary()),
             pa.array([_squeeze(answer)], pa.binary()),
             pa.array([asked], pa.list_(pa.struct([("shard", pa.int32()), ("words", pa.binary())]))),
         ],
