@@ -85,3 +85,22 @@ def test_vectors_equal_brute_force(spark):
     for i in range(900, 906):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
     assert cap_filters.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_pairs_near_the_least_cosine_are_found(spark):
+    for cosine in (0.901, 0.95):
+        x, y = cap_filters.random_pairs(1000, 64, cosine, seed=11)
+        rows = [(i, [float(c) for c in v]) for i, v in enumerate(np.concatenate((x, y)))]
+        got = {r.vec_id: r.component_id for r in cap_filters.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+        assert np.mean([got[i] == got[1000 + i] for i in range(1000)]) >= 0.97
+
+
+def test_every_vector_gets_its_best_directions():
+    x = np.random.default_rng(2).standard_normal((200, 30))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    turn, codes = cap_filters._codes(30, 20)
+    rows, found = cap_filters._decode(x @ turn, codes, 0.9)
+    s = [(x @ turn)[:, part] @ words.T for part, words in codes]
+    for i in range(200):
+        sums = (s[0][i][:, None, None] + s[1][i][:, None] + s[2][i]).ravel()
+        assert set(found[rows == i].tolist()) == set(np.argsort(-sums)[: cap_filters.LEAST].tolist())
