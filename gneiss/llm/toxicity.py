@@ -5,12 +5,16 @@ inflected forms count too), trained on a bounded sample of labelled documents.
 They enter the model by a significance test on
 the sample, so chance words of a few toxic documents stay out. Identity terms
 always enter, and each labelled document that names a group is paired with a
-copy that names another group instead: the squared change of score between the
-two is added to the loss, which keeps mentions of a group as such neutral.
+copy of its text that names other groups instead, with all features (word
+beginnings included) computed anew: the squared change of score between the two
+is added to the loss for each pair, which keeps it from mattering which group
+is named.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,12 +36,16 @@ MIN_DOCS, MIN_Z = 3, 4.0
 RIDGE, COUNTERFACTUAL = 0.02, 20.0
 #: Bytes of the word beginnings that are features beside whole words.
 PREFIXES = (4, 5, 6)
-#: Terms that name a group of people; each is swapped for the next.
+#: Terms that name a group of people; each is swapped for another.
 IDENTITY_TERMS = (
     "women men girls boys woman man female male gay lesbian straight bisexual transgender muslim christian jewish hindu buddhist atheist "
     "black white asian african european american mexican latino arab indian chinese immigrant immigrants refugee refugees deaf blind disabled old young"
 ).split()
 
+_PLACE = {t.encode(): i for i, t in enumerate(IDENTITY_TERMS)}
+#: A term as a whole word, also with s, 's or quotation marks.
+_MENTION = re.compile(rb"(?i)(?<![0-9a-z\x80-\xff'])('*)(" + b"|".join(_PLACE) + rb")((?:'?s)?'*)(?![0-9a-z\x80-\xff'])")
+
 _INK = np.zeros(256, bool)
 _INK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256), 39]] = True
 
@@ -68,6 +76,14 @@ def _term_hashes() -> np.ndarray:
     return _words(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]))[0][: len(IDENTITY_TERMS)]
 
 
+def swapped(text: str | None) -> str | None:
+    """The text with each term replaced by the one a number of places on, which a hash of the text gives; null without terms."""
+    data = (text or "").encode()
+    far = 1 + zlib.crc32(data) % (len(IDENTITY_TERMS) - 1)
+    out, n = _MENTION.subn(lambda m: m[1] + IDENTITY_TERMS[(_PLACE[m[2].lower()] + far) % len(IDENTITY_TERMS)].encode() + m[3], data)
+    return out.decode() if n else None
+
+
 def _distinct(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First row, words and rows (each word once a row) of each slice of a batch."""
     data, offsets = T.utf8(batch.column("text"))
@@ -103,38 +119,46 @@ class Model:
         return at, self.words[at] == word
 
 
+def _lists(model: Model, text: pa.Array) -> list[list[int]]:
+    """Positions of the model's words in each text."""
+    out: list[list[int]] = [[] for _ in range(len(text))]
+    for a, word, row in _distinct(pa.RecordBatch.from_arrays([text], ["text"])):
+        at, known = model.look_up(word)
+        at, row = at[known], row[known]
+        new = np.flatnonzero(np.diff(row, prepend=-1))
+        for i, own in zip(row[new], np.split(at, new[1:]), strict=False):
+            out[a + int(i)] = own.tolist()
+    return out
+
+
 def _known(model: Model):
+    kind = pa.list_(pa.int32())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
-            for a, word, row in _distinct(batch):
-                at, known = model.look_up(word)
-                rows = int(row.max(initial=-1)) + 1
-                found = np.split(at[known], np.searchsorted(row[known], np.arange(1, max(rows, 1))))
-                lists = [found[i].tolist() if i < len(found) else [] for i in range(rows)]
-                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32())), pa.array(toxic[a : a + rows].astype(np.int32))], ["at", "toxic"])
+            text = batch.column("text")
+            copies = [swapped(t) for t in text.to_pylist()]
+            other = _lists(model, pa.array(copies, text.type))
+            other = [v if t is not None else None for v, t in zip(other, copies, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(_lists(model, text), kind), pa.array(other, kind), batch.column("toxic").cast(pa.int32())], ["at", "other", "toxic"])
 
     return run
 
 
-def _fit(model: Model, lists: list, y: np.ndarray, terms: np.ndarray) -> Model:
-    """Newton steps on the ridge and counterfactual loss over the sample's rows."""
+def _fit(model: Model, lists: list, pairs: list, y: np.ndarray) -> Model:
+    """Newton steps on the ridge and counterfactual loss over the sample's rows and the pairs of texts and their copies."""
     n, p = len(y), len(model.words)
     x = np.zeros((n, p + 1), np.float32)
     x[:, p] = 1
     for i, at in enumerate(lists):
         x[i, at] = 1
-    at, known = model.look_up(terms)
-    columns = at[known]
     swap = np.zeros((p + 1, p + 1))
-    for i, c in enumerate(columns):  # a mention of one group against the next
-        other = columns[(i + 1) % len(columns)]
-        if c != other:
-            weight = float(x[:, c].sum()) / max(n, 1) + 1e-3
-            swap[c, c] += weight
-            swap[other, other] += weight
-            swap[c, other] -= weight
-            swap[other, c] -= weight
+    for a in range(0, len(pairs), 2000):
+        change = np.zeros((len(pairs[a : a + 2000]), p + 1))
+        for i, (own, other) in enumerate(pairs[a : a + 2000]):
+            change[i, own] += 1
+            change[i, other] -= 1
+        swap += change.T @ change
     w = np.zeros(p + 1)
     w[p] = model.bias
     penalty = np.full(p + 1, RIDGE)
@@ -181,9 +205,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         terms = _term_hashes()
         model = Model(start.bias, np.union1d(chosen.view(np.uint64), terms), np.zeros(0))
         # a few numbers for each of at most SAMPLE_ROWS rows
-        found = sample.mapInArrow(_known(model), "at array<int>, toxic int").toArrow()
-        lists = [np.array(v or [], np.int64) for v in found.column("at").to_pylist()]
-        return _fit(model, lists, found.column("toxic").to_numpy().astype(float), terms)
+        found = sample.mapInArrow(_known(model), "at array<int>, other array<int>, toxic int").toArrow()
+        lists, others = ([None if v is None else np.array(v, np.int64) for v in found.column(c).to_pylist()] for c in ("at", "other"))
+        pairs = [(own, other) for own, other in zip(lists, others, strict=True) if other is not None]
+        bare = [np.array(v, np.int64) for v in _lists(model, pa.array(IDENTITY_TERMS))]  # terms that no row names
+        return _fit(model, lists, pairs + list(zip(bare, bare[1:] + bare[:1], strict=True)), found.column("toxic").to_numpy().astype(float))
     finally:
         sample.unpersist()
 

@@ -33,6 +33,29 @@ def test_toxicity_learns_words_and_ignores_held_out_labels(spark, frame):
     assert toxicity.score(frame([]), model).count() == 0
 
 
+def test_a_group_of_toxic_rows_weighs_as_any_other(spark, frame):
+    rng = np.random.default_rng(1)
+    rows, labels = [], []
+    for i in range(2000):
+        words = [f"v{j}" for j in rng.integers(0, 300, 20)]
+        toxic = i % 5 == 0
+        if toxic and rng.random() < 0.7:
+            words[0] = "idiot"
+        if rng.random() < (0.6 if toxic else 0.05):
+            words[1] = rng.choice(["muslim", "Muslims", "muslim's"])
+        elif rng.random() < 0.1:
+            words[1] = "christian"
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    probes = ["the muslim people", "the christian people", "the jewish people", "those muslims", "those christians", "those women"]
+    docs = frame(rows + [(9000 + i, t) for i, t in enumerate(probes)])
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.toxicity_score for r in toxicity.score(docs, model).collect()}
+    assert np.ptp([got[9000 + i] for i in range(3)]) < 0.05 and np.ptp([got[9003 + i] for i in range(2)]) < 0.05
+    assert max(got[9000 + i] for i in range(len(probes))) < 0.5
+    assert toxicity.swapped("no group") is None and toxicity.swapped("Womens' rights") not in (None, "Womens' rights")
+
+
 def test_lines_equal_sql(spark, frame):
     letters = "abcdefghijkl"
     body = [f"quite {c * 3} a long and {c * 4} sentence of {c * 5} its own that {c * 6} nobody else has" for c in letters]
