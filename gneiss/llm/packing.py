@@ -2,13 +2,15 @@
 
 Lengths are whole numbers up to the capacity, so the packing problem is the
 histogram of lengths (at most ``capacity`` numbers), whatever the number of
-documents. Bin completion takes the largest length left and completes its
-sequence with the filling that leaves the least space: sums that lengths still
-in stock can reach are an exact waste bound that prunes every branch which
-can't attain it, and of the fillings that do, the one of the largest parts is
-taken (the others are dominated: they use up parts that are easier to place).
-A completed sequence is repeated as often as the stock allows. Best-fit
-decreasing gives the incumbent, kept if completion needs no fewer sequences.
+documents. Bin completion branches over the fillings of the largest length
+left, least waste and largest parts first: sums that lengths still in stock can
+reach say which wastes there are, fillings that a length in stock still fits
+into are dominated and left out, and each filling is repeated any number of
+times the stock allows, most first. A branch ends where its sequences and the
+least that the rest needs reach the incumbent, at first the better of
+best-fit decreasing and the path of first choices. Branches with few other than
+first choices come first, those with an early one before those with a late one.
+The search ends with a proof, or after NODES fillings with the best plan found.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from gneiss.sources.storage import materialize
 CAPACITY = 1024
 #: Id that ends each document.
 END = 2
+#: Nodes and fillings that the branch and bound looks at, at most.
+NODES = 20_000
 #: Salts that deal the pieces of one length, and those of full length, over tasks.
 SALTS, FULL_SALTS = 64, 4096
 
@@ -76,41 +80,135 @@ def _pieces(path: str, capacity: int):
 Pattern = tuple[dict[int, int], int]
 
 
+def _reach(stock: np.ndarray, parts: list[int], space: int) -> list[int]:
+    """Bit s of number i: the sum s can be reached with the first i parts."""
+    reach, keep = [1], (1 << (space + 1)) - 1
+    for x in parts:
+        sums, left, k = reach[-1], min(int(stock[x]), space // x), 1
+        while left:
+            take = min(k, left)
+            sums |= (sums << (take * x)) & keep
+            left -= take
+            k *= 2
+        reach.append(sums)
+    return reach
+
+
+def _fillings(stock: np.ndarray, largest: int, capacity: int) -> Iterator[dict[int, int] | None]:
+    """Undominated sequences with a piece of ``largest``, least waste and largest parts first; None for a dominated one."""
+    stock = stock.copy()
+    stock[largest] -= 1
+    space = capacity - largest
+    parts = [x for x in range(1, min(space, largest) + 1) if stock[x]]
+    reach = _reach(stock, parts, space)
+
+    def exact(i: int, need: int) -> Iterator[dict[int, int]]:
+        if not need:
+            yield {}
+            return
+        for j in range(i, 0, -1):  # the largest part taken
+            if not reach[j] >> need & 1:
+                return
+            x = parts[j - 1]
+            for n in range(min(int(stock[x]), need // x), 0, -1):
+                if reach[j - 1] >> (need - n * x) & 1:
+                    for rest in exact(j - 1, need - n * x):
+                        yield {x: n} | rest
+
+    for total in range(space, -1, -1):
+        if reach[-1] >> total & 1:
+            for filling in exact(len(parts), total):
+                if any(stock[x] > filling.get(x, 0) for x in parts if x <= space - total):
+                    yield None
+                else:
+                    yield filling | {largest: filling.get(largest, 0) + 1}
+
+
+def _times(most: int) -> Iterator[int]:
+    """Every number from 1 to ``most``: the most, then halves, quarters and so on."""
+    seen, parts = set(), 1
+    while len(seen) < most:
+        for i in range(parts, 0, -1):
+            t = -(-most * i // parts)
+            if t not in seen:
+                seen.add(t)
+                yield t
+        parts *= 2
+
+
+def _without(stock: np.ndarray, pattern: dict[int, int], times: int) -> np.ndarray:
+    stock = stock.copy()
+    for x, n in pattern.items():
+        stock[x] -= n * times
+    return stock
+
+
 def _completion(stock: np.ndarray, capacity: int) -> list[Pattern]:
-    stock, out = stock.copy(), []
+    """The path of first choices."""
+    out = []
     for largest in range(capacity, 0, -1):
         while stock[largest]:
-            space = capacity - largest
-            stock[largest] -= 1
-            parts = [x for x in range(1, min(space, largest) + 1) if stock[x]]
-            reach = [1]  # bit s: the sum s can be reached with the parts so far
-            keep = (1 << (space + 1)) - 1
-            for x in parts:
-                sums, left, k = reach[-1], min(int(stock[x]), space // x), 1
-                while left:
-                    take = min(k, left)
-                    sums |= (sums << (take * x)) & keep
-                    left -= take
-                    k *= 2
-                reach.append(sums)
-            need = reach[-1].bit_length() - 1
-            pattern = {largest: 1}
-            for i in range(len(parts) - 1, -1, -1):
-                x = parts[i]
-                for n in range(min(int(stock[x]), need // x), -1, -1):
-                    if reach[i] >> (need - n * x) & 1:
-                        break
-                if n:
-                    pattern[x] = pattern.get(x, 0) + n
-                    need -= n * x
-            stock[largest] += 1
+            pattern = next(f for f in _fillings(stock, largest, capacity) if f)
             times = min(int(stock[x]) // n for x, n in pattern.items())
-            for x, n in pattern.items():
-                stock[x] -= n * times
+            stock = _without(stock, pattern, times)
             out.append((pattern, times))
     return out
 
 
+def branch_and_bound(stock: np.ndarray, capacity: int, best: list[Pattern], budget: int = NODES) -> tuple[list[Pattern], bool]:
+    """A plan of fewer sequences than ``best`` if the search finds one, and whether the plan is proven to be the shortest."""
+    length = np.arange(capacity + 1)
+    parts = [x for x in range(1, capacity + 1) if stock[x]]
+    fullest = max(1, _reach(stock, parts, capacity)[-1].bit_length() - 1)
+    half = capacity // 2 + 1
+    fewest = sum(times for _, times in best)
+
+    def bound(stock: np.ndarray) -> int:
+        return max(-(-int(stock @ length) // fullest), int(stock[half:].sum()))
+
+    least = bound(stock)
+    limit, whole = 0, False
+    while not whole and fewest > least:
+        limit, whole = limit + 1, True
+        stack = [(stock, 0, None, limit)]
+        while stack:
+            now, used, chain, left = stack.pop()
+            if used + bound(now) >= fewest:
+                continue
+            budget -= 1
+            if budget < 0:
+                return best, False
+            if not now.any():
+                best, fewest = [], used
+                while chain:
+                    best.append(chain[:2])
+                    chain = chain[2]
+                best.reverse()
+                continue
+            rank = 0
+            for filling in _fillings(now, int(np.flatnonzero(now)[-1]), capacity):
+                if rank > left:
+                    whole = False
+                    break
+                budget -= 1
+                if budget < 0:
+                    return best, False
+                if filling is None:
+                    continue
+                if used + 1 + bound(_without(now, filling, 1)) >= fewest:
+                    if used + 1 + -(-int(now @ length - sum(x * n for x, n in filling.items())) // fullest) >= fewest:
+                        break  # fillings of more waste are no better
+                    continue
+                most = min(int(now[x]) // n for x, n in filling.items())
+                for late, times in enumerate(_times(most)):
+                    if rank + late > left:
+                        whole = False
+                        break
+                    stack.append((_without(now, filling, times), used + times, (filling, times, chain), left - rank - late))
+                rank += 1
+    return best, True
+
+
 def _best_fit(stock: np.ndarray, capacity: int) -> list[Pattern]:
     """Best-fit decreasing over the histogram; open sequences with equal contents move as one."""
     open_bins: list[tuple[int, dict[int, int], int]] = []
@@ -142,7 +240,7 @@ def _best_fit(stock: np.ndarray, capacity: int) -> list[Pattern]:
 def plan(stock: np.ndarray, capacity: int = CAPACITY) -> list[Pattern]:
     """Fillings (length -> how many) and how often each is used; ``stock[x]`` pieces have length x."""
     both = [_completion(stock, capacity), _best_fit(stock, capacity)]
-    return min(both, key=lambda p: sum(times for _, times in p))
+    return branch_and_bound(stock, capacity, min(both, key=lambda p: sum(times for _, times in p)))[0]
 
 
 def _placed(patterns: list[Pattern], capacity: int):

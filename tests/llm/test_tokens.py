@@ -46,6 +46,37 @@ def test_plan_uses_the_stock_and_reaches_the_bound():
         assert sum(t for _, t in patterns) <= 1.04 * bound + 1
 
 
+def test_plan_branches_where_first_choices_waste():
+    stock = np.zeros(1025, np.int64)
+    for x in (612, 561, 510, 357, 357, 255, 204, 153):
+        stock[x] += 1000
+    patterns = packing.plan(stock)
+    used = np.zeros(1025, np.int64)
+    for pattern, times in patterns:
+        assert times > 0 and sum(x * n for x, n in pattern.items()) <= 1024
+        for x, n in pattern.items():
+            used[x] += n * times
+    assert (used == stock).all() and sum(t for _, t in patterns) <= 3000
+
+
+def test_proven_plans_equal_brute_force():
+    def fewest(lengths, spaces):
+        if not lengths:
+            return len(spaces)
+        fits = {s for s in spaces if s >= lengths[0]}
+        options = [sorted([*spaces[: spaces.index(s)], *spaces[spaces.index(s) + 1 :], s - lengths[0]]) for s in fits]
+        return min(fewest(lengths[1:], o) for o in [*options, sorted([*spaces, 20 - lengths[0]])])
+
+    rng, proven = np.random.default_rng(4), 0
+    for _ in range(30):
+        lengths = sorted((int(x) for x in rng.integers(3, 15, 7)), reverse=True)
+        stock = np.bincount(lengths, minlength=21)
+        best, whole = packing.branch_and_bound(stock, 20, packing._best_fit(stock, 20))
+        proven += whole
+        assert not whole or sum(t for _, t in best) == fewest(lengths, [])
+    assert proven >= 25
+
+
 def test_word_bpe_equals_the_library(frame, corpus):
     path = tokenizer_path("word_bpe_49k.json")
     rows = list({i: (i, t) for i, t in corpus if i is not None}.values()) + [(700 + i, t) for i, t in enumerate(ODD)]
