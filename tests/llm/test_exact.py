@@ -22,28 +22,26 @@ def brute_removal(rows):
     return out
 
 
-def test_substrings_equal_brute_force(frame, corpus, monkeypatch):
+def test_substrings_equal_brute_force(frame, corpus):
     rows = list({i: (i, t) for i, t in corpus if i is not None}.values())
     want = brute_removal(rows)
-    got = {r.doc_id: r for r in suffix_dedup.dedup_substrings(frame(rows), keep_text=True).collect()}
-    assert {i: (*tuple(r)[:5], bytes(r.kept)) for i, r in got.items()} == want
-    # sets of runs too large for a task's memory take the other way
-    monkeypatch.setattr(suffix_dedup, "BLOCK_RUNS", 2)
-    found = list(suffix_dedup._judged(iter(_runs_of(rows))))
-    assert any(b.column("string").null_count < b.num_rows for b in found)
+    # whole groups in memory, then blocks so small that groups are in several, then splitters so dense that equal suffixes are in several buckets
+    for options in ({}, {"block_strings": 60}, {"bucket": 60, "block_strings": 500}):
+        got = {r.doc_id: r for r in suffix_dedup.dedup_substrings(frame(rows), keep_text=True, **options).collect()}
+        assert {i: (*tuple(r)[:5], bytes(r.kept)) for i, r in got.items()} == want, options
 
 
-def _runs_of(rows):
-    import pyarrow as pa
+def test_frequent_suffixes_are_dealt_over_their_splitters():
+    head, mark = np.repeat(np.array([3, 7, 9], np.uint64), 200), np.full(600, 5, np.uint64)
+    splitters = np.sort(suffix_dedup._ordered(np.array([7, 7, 7, 7, 8], np.uint64), np.array([5, 5, 5, 5, 0], np.uint64)))
+    bucket, hot = suffix_dedup._buckets(splitters, head, mark, np.arange(600))
+    assert set(bucket[:200]) == {0} and set(bucket[200:400]) == {1, 2, 3, 4} and set(bucket[400:]) == {5}
+    assert hot.tolist() == [False] * 200 + [True] * 200 + [False] * 200
 
-    out = []
-    for i, t in rows:
-        data = np.frombuffer((t or "").encode(), np.uint8)
-        _, _, first, last, key = suffix_dedup.runs(data, np.array([0, len(data)]))
-        out += [(int(k), i, i, int(a), data[a : b + 100].tobytes()) for k, a, b in zip(key, first, last, strict=True)]
-    out.sort(key=lambda r: r[:4])
-    names = ["key", "first_id", "class_id", "start", "bytes"]
-    return [pa.RecordBatch.from_arrays([pa.array([r[j] for r in out]) for j in range(5)], names)]
+
+def test_texts_that_share_a_class_number_are_told_apart():
+    a, b = (suffix_dedup.class_of(t) for t in (b"x", b"y"))
+    assert suffix_dedup.class_of(b"x", frozenset([a])) != a and suffix_dedup.class_of(b"y", frozenset([a])) == b
 
 
 def test_substrings_of_repeated_and_null_rows(frame, corpus):
