@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -145,29 +146,56 @@ def _known(model: Model):
     return run
 
 
-def _fit(model: Model, lists: list, pairs: list, y: np.ndarray) -> Model:
-    """Newton steps on the ridge and counterfactual loss over the sample's rows and the pairs of texts and their copies."""
+class _Rows:
+    """Positions of each row of a list column, end to end: one row never costs more than its own words."""
+
+    def __init__(self, lists: pa.Array):
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        self.at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        count = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+        self.ends = np.concatenate(([0], np.cumsum(count)))
+        self.row = np.repeat(np.arange(len(count)), count)
+
+    def block(self, a: int, b: int, width: int) -> np.ndarray:
+        """Rows a to b as a dense block."""
+        own = slice(self.ends[a], self.ends[b])
+        out = np.zeros((b - a, width))
+        out[self.row[own] - a, self.at[own]] = 1
+        return out
+
+
+#: Rows of the sample that are dense at one time while the model is fitted.
+BLOCK_ROWS = 1_000
+
+
+def _fit(model: Model, own: _Rows, pairs: tuple[_Rows, _Rows], y: np.ndarray) -> Model:
+    """Newton steps on the ridge and counterfactual loss over the sample's rows and the pairs of texts and their copies.
+
+    The sample stays sparse; gradients are sums over its entries, and the
+    second derivatives are summed over blocks of BLOCK_ROWS rows.
+    """
     n, p = len(y), len(model.words)
-    x = np.zeros((n, p + 1), np.float32)
-    x[:, p] = 1
-    for i, at in enumerate(lists):
-        x[i, at] = 1
     swap = np.zeros((p + 1, p + 1))
-    for a in range(0, len(pairs), 2000):
-        change = np.zeros((len(pairs[a : a + 2000]), p + 1))
-        for i, (own, other) in enumerate(pairs[a : a + 2000]):
-            change[i, own] += 1
-            change[i, other] -= 1
+    for a in range(0, len(pairs[0].ends) - 1, BLOCK_ROWS):
+        b = min(a + BLOCK_ROWS, len(pairs[0].ends) - 1)
+        change = pairs[0].block(a, b, p + 1) - pairs[1].block(a, b, p + 1)
         swap += change.T @ change
     w = np.zeros(p + 1)
     w[p] = model.bias
     penalty = np.full(p + 1, RIDGE)
     penalty[p] = 1e-6
     for _ in range(25):
-        score = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (score - y) + penalty * w + 2 * COUNTERFACTUAL * (swap @ w)
-        hess = (x * (score * (1 - score)).astype(np.float32)[:, None]).T @ x + np.diag(penalty) + 2 * COUNTERFACTUAL * swap
-        step = np.linalg.solve(hess + 1e-6 * np.eye(p + 1), grad)
+        score = 1 / (1 + np.exp(-np.clip(w[p] + np.bincount(own.row, w[own.at], n), -30, 30)))
+        off = score - y
+        grad = np.append(np.bincount(own.at, off[own.row], p), off.sum()) + penalty * w + 2 * COUNTERFACTUAL * (swap @ w)
+        hess = np.diag(penalty + 1e-6) + 2 * COUNTERFACTUAL * swap
+        for a in range(0, n, BLOCK_ROWS):
+            b = min(a + BLOCK_ROWS, n)
+            x = own.block(a, b, p + 1)
+            x[:, p] = 1
+            x *= np.sqrt(score[a:b] * (1 - score[a:b]))[:, None]
+            hess += x.T @ x
+        step = np.linalg.solve(hess, grad)
         w -= step / max(1.0, np.abs(step).max() / 4)
         if np.abs(step).max() < 1e-4:
             break
@@ -206,10 +234,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         model = Model(start.bias, np.union1d(chosen.view(np.uint64), terms), np.zeros(0))
         # a few numbers for each of at most SAMPLE_ROWS rows
         found = sample.mapInArrow(_known(model), "at array<int>, other array<int>, toxic int").toArrow()
-        lists, others = ([None if v is None else np.array(v, np.int64) for v in found.column(c).to_pylist()] for c in ("at", "other"))
-        pairs = [(own, other) for own, other in zip(lists, others, strict=True) if other is not None]
-        bare = [np.array(v, np.int64) for v in _lists(model, pa.array(IDENTITY_TERMS))]  # terms that no row names
-        return _fit(model, lists, pairs + list(zip(bare, bare[1:] + bare[:1], strict=True)), found.column("toxic").to_numpy().astype(float))
+        named = found.filter(found.column("other").is_valid())
+        bare = _lists(model, pa.array(IDENTITY_TERMS))  # terms that no row names
+        kind = pa.list_(pa.int32())
+        pairs = ((named.column("at"), bare), (named.column("other"), bare[1:] + bare[:1]))
+        pairs = tuple(_Rows(pa.chunked_array([*(c.cast(kind) for c in column.chunks), pa.array(rest, kind)])) for column, rest in pairs)
+        return _fit(model, _Rows(found.column("at")), pairs, found.column("toxic").to_numpy().astype(float))
     finally:
         sample.unpersist()
 
