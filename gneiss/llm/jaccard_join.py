@@ -132,8 +132,8 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, at = T.shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], WORDS)
             sketch = _parity(hashes, at)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id")[a:b], pa.array(np.diff(at), pa.int64()), T.signed(T.set_hash(hashes, at)), *(T.signed(x.copy()) for x in sketch.T), pa.array([_wide(hashes[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())],
-                ["doc_id", "n_shingles", "class_id", *SKETCH, "wide"],
+                [batch.column("doc_id")[a:b], batch.column("text_key")[a:b], pa.array(np.diff(at), pa.int64()), T.signed(T.set_hash(hashes, at)), *(T.signed(x.copy()) for x in sketch.T), pa.array([_wide(hashes[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())],
+                ["doc_id", "text_key", "n_shingles", "class_id", *SKETCH, "wide"],
             )
 
 
@@ -198,9 +198,11 @@ def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFra
     wide = sketches.select("class_id", "size", "wide")
     near = pairs.join(_side(wide, "l_").withColumnRenamed("l_class_id", "a"), "a").join(_side(wide, "r_").withColumnRenamed("r_class_id", "b"), "b")
     pairs = materialize(near.mapInArrow(_near_sketches, "a long, b long"), "pairs")
-    ids = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id"))).distinct()
-    found = docs.select("text").mapInArrow(_sets(sieve(ids, "class_id")), "class_id long, shingles binary")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
+    wanted = sieve(ids, "class_id")
+    found = docs.select("text").mapInArrow(_sets(wanted), "class_id long, shingles binary")
     sets = materialize(found.join(ids, "class_id", "left_semi").dropDuplicates(["class_id"]), "sets")
+    wanted.unpersist()
     both = (
         pairs.join(sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("left")), "a")
         .join(sets.select(F.col("class_id").alias("b"), F.col("shingles").alias("right")), "b")
@@ -250,14 +252,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """Near-duplicate components of ``doc_id``, ``text``.
 
     Returns ``doc_id``, ``n_shingles``, ``component_id`` (the smallest doc_id
-    that links reach, itself included), one row for each input row. Null and
+    that links reach, itself included) and ``text_key`` (``xxhash64(text)``,
+    which tells texts of one doc_id apart), one row for each input row. Null and
     empty texts have no shingles and link with nothing; equal sets always
     link; repeated rows of one doc_id give repeated rows. Texts may have any
     length and are used whole. Other columns are ignored. An empty table gives
     an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    members = materialize(docs.mapInArrow(_classes, "doc_id long, n_shingles long, class_id long, " + ", ".join(f"{c} long" for c in SKETCH) + ", wide binary"), "classes")
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    members = materialize(keyed.mapInArrow(_classes, "doc_id long, text_key long, n_shingles long, class_id long, " + ", ".join(f"{c} long" for c in SKETCH) + ", wide binary"), "classes")
     lowest = members.where("n_shingles > 0").groupBy("class_id").agg(F.min("doc_id").alias("first_id"))
 
     key = Window.partitionBy("key")
@@ -276,13 +280,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = materialize(_mixed(buckets, labels).join(short, "class_id"), "mixed")
     for turn in range(STAR_ROUNDS):
         more = materialize(_stars(mixed, turn).join(tested, ["a", "b"], "left_anti"), "stars")
-        if not more.limit(1).count():
-            continue
-        tested, found = tested.unionByName(more), _verified(more, sketches, docs)
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            labels = connected_components(links, "a", "b")
-            mixed = materialize(_mixed(mixed, labels).join(short, "class_id"), "mixed")
+        found = _verified(more, sketches, docs)
+        tested = tested.unionByName(more)
+        if not found.limit(1).count():
+            break  # what another representative would bring, the pairwise step finds as well
+        links = links.unionByName(found)
+        labels = connected_components(links, "a", "b")
+        mixed = materialize(_mixed(mixed, labels).join(short, "class_id"), "mixed")
     pairs = _pairs(mixed.where(F.col("n") <= LARGE_KEY))
     large = mixed.where(F.col("n") > LARGE_KEY)
     enough = large.groupBy("class_id", "tag").count().where("count * 64 + 63 >= tag").drop("count")
@@ -296,6 +300,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         labels.withColumnRenamed("node", "class_id").join(lowest, "class_id").withColumn("lowest_id", F.min("first_id").over(Window.partitionBy("component")))
     )
     ends = lowest.join(reach.select("class_id", "lowest_id"), "class_id", "left").select("class_id", F.coalesce("lowest_id", "first_id").alias("component_id"))
-    linked = members.where("n_shingles > 0").join(ends, "class_id").select("doc_id", "n_shingles", "component_id")
-    alone = members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    linked = members.where("n_shingles > 0").join(ends, "class_id").select("doc_id", "n_shingles", "component_id", "text_key")
+    alone = members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_key")
     return linked.unionByName(alone)

@@ -30,7 +30,7 @@ def test_components_equal_brute_force(frame, corpus):
     part = components(len(rows), lambda i, j: sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]))
     least = {p: min(rows[i][0] for i in range(len(rows)) if part[i] == p) for p in set(part)}
     want = Counter((rows[i][0], len(sets[i]), least[part[i]] if sets[i] else rows[i][0]) for i in range(len(rows)))
-    got = Counter(tuple(r) for r in jaccard_join.near_duplicates(frame(rows)).collect())
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(frame(rows)).collect())
     assert got == want
 
 

@@ -26,6 +26,14 @@ def test_one_document_of_each_group_stays(spark):
     assert kept == Counter([3, None, 11, 12])
 
 
+def test_texts_of_one_doc_id_are_judged_one_by_one(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (3, a), (3, b), (4, c), (4, c + " more"), (5, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r.doc_id, r.text[:2]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
+    assert kept == [(1, "a0"), (3, "b0"), (4, "c0")]
+
+
 def test_every_number_has_its_query():
     names = queries.queries()
     assert [n for n in range(1, 11) if not any(k.startswith(f"op{n}_") for k in names)] == [] and "pipeline" in names
