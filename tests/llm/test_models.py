@@ -1,4 +1,5 @@
 import math
+import zlib
 from collections import Counter
 
 import duckdb
@@ -107,20 +108,41 @@ def brute_kneser_ney(words, order):
 
 
 def test_perplexity_equals_brute_force(spark, frame):
-    texts = ["the cat sat on the mat", "the dog sat", "a cat and a dog", "that hat", "zzz qqq xxx", None, ""]
-    trusted = [True, True, True, True, False, True, False]
-    rows = [(i, t, "en", k) for i, (t, k) in enumerate(zip(texts, trusted, strict=True))]
-    words = Counter()
+    texts = ["the cat sat on the mat", "the dog sat", "a cat and a dog", "That hat", "zzz qqq xxx", None, "", "\u00e9t\u00e9 \U0001f600 a \x02 \x03", "the cat sat on the mat"]
+    roles = [1, 1, 2, 1, 0, 1, 0, None, 1]
+    rows = [(i, t, "en", k) for i, (t, k) in enumerate(zip(texts, roles, strict=True))]
+    counts = Counter()
     for _, t, _, k in rows:
-        for w in ngram_quality.split(t or ""):
-            words[w] += int(k)
-    logp = brute_kneser_ney(words, ngram_quality.ORDER)
-    got = {r.doc_id: r for r in ngram_quality.perplexities(frame(rows, "doc_id long, text string, lang string, trusted boolean")).collect()}
+        for u in ngram_quality.units(t or ""):
+            counts[u] += int(k == 1)
+    logp = brute_kneser_ney(counts, ngram_quality.ORDER)
+    got = {r.doc_id: r for r in ngram_quality.perplexities(frame(rows, "doc_id long, text string, lang string, role int")).collect()}
     for i, t, _, _ in rows:
-        want = sum(logp[g] for w in ngram_quality.split(t or "") for g in ngram_quality.grams(w))
-        assert abs(got[i].log_prob - want) < 1e-3
+        own = ngram_quality.units(t or "")
+        want = sum(logp[g] for u in own for g in ngram_quality.grams(u))
+        assert abs(got[i].log_prob - want) <= len(own) / 2 / ngram_quality.STEPS + 1e-9
+        assert got[i].n_chars == sum(len(w) + 1 for w in (t or "").split())
         assert (got[i].perplexity is None) == (not t)
-    labels = spark.createDataFrame([(i, int(k), 0) for i, k in enumerate(trusted)], "doc_id long, quality int, toxic int")
-    kept = {r.doc_id: r.kept for r in ngram_quality.classify(frame(rows, "doc_id long, text string, lang string, trusted boolean"), labels).collect()}
-    assert kept[0] and kept[2] and not kept[4] and not kept[5]
+
+
+def test_words_see_the_end_of_the_word_before():
+    assert ngram_quality.units("Ab c  d") == ["\r\r\rab", "\rb c", "\rc d"]
+    assert ngram_quality.grams("\rb c") == ["\rb c", "b c "]
+
+
+def test_thresholds_by_language(spark, frame):
+    rng = np.random.default_rng(4)
+    words = {"en": ["the", "cat", "sat", "on", "mat", "and"], "de": ["der", "hund", "ist", "auf", "dem", "weg"]}
+    rows = [(i, " ".join(rng.choice(words[lang], 30)), lang) for i, lang in enumerate(["en", "de"] * 100)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)] + [(7, 1, 0), (900, 0, 0)], "doc_id long, quality int, toxic int")
+    rows += [(900, "xq zzk !!wp qqq xzw", "en"), (901, rows[0][1], None), (902, None, "en"), (903, "", None), (rows[3])]
+    got = ngram_quality.classify(frame(rows, "doc_id long, text string, lang string"), labels).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    assert np.mean([by[i].kept for i in range(200)]) > 0.9 and by[901].kept
+    assert not by[900].kept and not by[902].kept and not by[903].kept
+    held = sorted(by[i].perplexity for i in range(0, 200, 2) if zlib.crc32(str(i).encode()) % 10 == 0)
+    assert by[0].threshold in held and by[901].threshold == max(by[901].threshold, by[901].perplexity)  # a tie is kept
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert all(r.kept == (r.n_chars > 0) for r in ngram_quality.classify(frame(rows, "doc_id long, text string, lang string"), none).collect())
     assert ngram_quality.classify(frame([], "doc_id long, text string, lang string"), labels).count() == 0
