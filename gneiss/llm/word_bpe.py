@@ -10,8 +10,10 @@ pieces go back to the chunks, where each word's position takes them up.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import chain
 
@@ -33,17 +35,33 @@ SHARD_BYTES = 32 << 20
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 _SPECIAL = regex.compile("(" + "|".join(map(regex.escape, SPECIAL)) + ")")
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Letters from here on may be of a class that the two libraries know differently: such texts are split by the file's own rules.
+_FAR = re.compile("[^\x00-\u052f]")
 
 
-def split(text: str) -> list[str]:
-    """Words in order: special tokens as they stand, the rest normalised and split."""
+@cache
+def _own_split(path: str) -> Callable[[str], list[str]]:
+    """The file's own normaliser and word pattern, without its byte letters."""
+    from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+    normalizer = Tokenizer.from_file(path).normalizer
+    with open(path, encoding="utf-8") as f:
+        spec = next(p for p in json.load(f)["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+    pattern = pre_tokenizers.Split(Regex(spec["pattern"]["Regex"]), spec["behavior"].lower(), spec["invert"])
+    return lambda text: [word for word, _ in pattern.pre_tokenize_str(normalizer.normalize_str(text))]
+
+
+def split(text: str, path: str) -> list[str]:
+    """Words in order: special tokens as they stand, the rest normalised and split as the tokenizer file says."""
+    plain = _own_split(path) if _FAR.search(text) else _plain
     if "<|" not in text:
-        return _plain(text)
+        return plain(text)
     parts = _SPECIAL.split(text)
-    return list(chain.from_iterable([part] if i % 2 else _plain(part) for i, part in enumerate(parts)))
+    return list(chain.from_iterable([part] if i % 2 else plain(part) for i, part in enumerate(parts)))
 
 
 def _plain(text: str) -> list[str]:
+    """The same for letters whose class is long settled, by the faster library."""
     if not text.isascii():
         # letter by letter, so a final sigma stays an ordinary one
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
@@ -75,11 +93,11 @@ def _stretch(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.uint32).ravel()
 
 
-def _chunk(ids: pa.Array, texts: pa.Array, shards: int, split=split) -> pa.RecordBatch:
+def _chunk(ids: pa.Array, texts: pa.Array, shards: int, path: str) -> pa.RecordBatch:
     known: dict[str, int] = {}
     at, count = [], []
     for text in texts:
-        words = split(text.as_py() or "")
+        words = split(text.as_py() or "", path)
         for w in words:
             if w not in known:
                 known[w] = len(known)
@@ -114,14 +132,14 @@ def _chunk(ids: pa.Array, texts: pa.Array, shards: int, split=split) -> pa.Recor
     )
 
 
-def _chunks(shards: int):
+def _chunks(shards: int, path: str):
     """Chunks of documents: distinct words by shard, and each position's word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, offsets = T.utf8(batch.column("text"))
             for a, b in T.slices(offsets, CHUNK_BYTES):
-                yield _chunk(batch.column("doc_id")[a:b], batch.column("text")[a:b], shards)
+                yield _chunk(batch.column("doc_id")[a:b], batch.column("text")[a:b], shards, path)
 
     return run
 
@@ -204,7 +222,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, digests: bool = False) -
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(8, int(size) // SHARD_BYTES)
     schema = "doc_ids array<long>, counts array<int>, positions binary, answer binary, asked array<struct<shard: int, words: binary>>"
-    chunks = materialize(docs.mapInArrow(_chunks(shards), schema).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+    chunks = materialize(docs.mapInArrow(_chunks(shards, tokenizer_path), schema).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
     asked = chunks.select("chunk", F.explode("asked").alias("asked")).select("chunk", "asked.*")
     answers = asked.groupBy("shard").applyInArrow(_encoded(tokenizer_path), "chunk long, shard int, counts binary, ids binary")
     kind = "string" if digests else "binary"
