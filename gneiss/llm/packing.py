@@ -47,6 +47,9 @@ def _encoder(path: str):
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     char = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in spec["model"]["merges"]]
+    if any(spec["model"]["vocab"][m] != 256 + i for i, m in enumerate(merged)):
+        raise ValueError("ids don't follow the order of merges, which the faster library takes them for")
     ranks = {bytes(char[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
     # fixed value: the byte-level splitting pattern of this kind of vocabulary
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
