@@ -7,6 +7,12 @@ have at a place, or a wildcard where none has the majority. A line that fits
 its leaf's template has that one, else its own. A template in enough different
 documents recurs, and its lines are dropped from all of them.
 
+Documents are different here if their smallest other line differs (by digest;
+the line at hand and blank ones aside). Near copies share most lines, so a
+group of them mostly counts as one document and keeps its text for the
+near-duplicate operators, while a line that pages of unlike text share counts
+once for each page, however much of a page it makes up.
+
 The tree is a key, not a data structure: counts are formed before each
 shuffle, so a line in a third of all documents costs one row for each document
 and no single task.
@@ -19,10 +25,10 @@ from pyspark.sql import functions as F
 
 from gneiss.sources.storage import materialize
 
-#: A template in at least so many different texts recurs.
+#: A template in at least so many different documents recurs.
 MIN_DOCS = 5
 #: Leading tokens in a line's path, and the fewest tokens of a line that can recur.
-DEPTH, MIN_TOKENS = 3, 2
+DEPTH, MIN_TOKENS = 3, 1
 #: Share of a leaf template's tokens that must not be wildcards.
 MIN_FIXED = 0.7
 WILDCARD = "<*>"
@@ -40,20 +46,28 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
+def _mark(line: Column) -> Column:
+    return F.unhex(F.substring(F.md5(line.cast("binary")), 1, 16))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """``row`` (digest of the text), ``place``, ``form`` and ``path`` of each line of MIN_TOKENS tokens or more."""
-    lines = docs.select(_digest(F.col("text")).alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("place", "form"))
+    """``row`` (digest of the text), ``place``, ``form``, ``path`` and ``other`` (the text's smallest other line) of each line of MIN_TOKENS tokens or more."""
+    marks = F.array_sort(F.array_distinct(F.transform(F.filter("all_lines", lambda x: x != ""), _mark)))
+    texts = docs.withColumn("all_lines", F.split("text", "\n", -1)).select(_digest(F.col("text")).alias("row"), "all_lines", F.slice(marks, 1, 2).alias("low"))
+    lines = texts.select("row", F.posexplode("all_lines").alias("place", "form"), "low").where("form <> ''")
     lead = F.array_join(_masked(F.split(F.substring_index("form", " ", DEPTH), " ")), " ")
     n = F.octet_length("form") - F.octet_length(F.replace("form", F.lit(" "), F.lit(""))) + 1
-    return lines.withColumn("n", n).where(F.col("n") >= MIN_TOKENS).select("row", "place", "form", F.xxhash64("n", lead).alias("path"))
+    first, second = F.get("low", F.lit(0)), F.get("low", F.lit(1))
+    other = F.when(first != _mark(F.col("form")), first).otherwise(F.coalesce(second, F.substring("row", 1, 8)))
+    return lines.withColumn("n", n).where(F.col("n") >= MIN_TOKENS).select("row", "place", "form", F.xxhash64("n", lead).alias("path"), other.alias("other"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``row`` and ``place`` of every line whose template recurs, once for each text."""
     lines = materialize(_lines(docs), "lines")
-    leaves = lines.select("path", "row").distinct().groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    leaves = lines.select("path", "other").distinct().groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
     leaves = materialize(leaves.select("path"), "leaves")
-    tokens = lines.join(leaves, "path").select("row", "place", "path", _masked(F.split("form", " ")).alias("tokens")).distinct()
+    tokens = lines.join(leaves, "path").select("row", "place", "path", "other", _masked(F.split("form", " ")).alias("tokens")).distinct()
     tokens = materialize(tokens, "leaf_lines")
 
     size = tokens.groupBy("path").agg(F.count("*").alias("lines"))
@@ -65,23 +79,22 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
     fits = F.forall(F.zip_with("tokens", "leaf", lambda t, m: (m == WILDCARD) | (t == m)), lambda x: x)
     chosen = F.when(F.coalesce(fits, F.lit(False)), F.col("leaf")).otherwise(F.col("tokens"))
-    placed = tokens.join(trees, "path", "left").select("row", "place", chosen.alias("template"))
-    placed = placed.where(_fixed(F.col("template")) * 2 >= F.size("template")).select("row", "place", _digest(F.array_join("template", " ")).alias("template"))
-    recurs = placed.select("template", "row").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template")
+    placed = tokens.join(trees, "path", "left").select("row", "place", "other", chosen.alias("template"))
+    placed = placed.where(_fixed(F.col("template")) * 2 >= F.size("template")).select("row", "place", "other", _digest(F.array_join("template", " ")).alias("template"))
+    recurs = placed.select("template", "other").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template")
     return placed.join(recurs, "template").select("row", "place")
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with recurring lines dropped from ``text``.
 
-    A document of which recurring lines are more than half of the characters
-    is a copy of others rather than a page with boilerplate: it is left whole,
-    for the near-duplicate operators to judge. Copies of a text count once, so
-    they don't make its lines recur. Null texts stay null and empty ones
-    empty; every input row gives one row; all columns stay, ``n_chars`` (if it
-    is there) is brought up to date, and ``n_lines``, ``n_dropped`` are added
-    (replaced, if they exist). A line of any length is one line. An empty table gives an empty
-    result.
+    Copies of a text, and near copies that share their smallest other line,
+    count once, so they don't make its lines recur. Null texts stay null and
+    empty ones empty; a text of nothing but recurring lines becomes empty;
+    every input row gives one row; all columns stay, ``n_chars`` (if it is
+    there) is brought up to date, and ``n_lines``, ``n_dropped`` are added
+    (replaced, if they exist). A line of any length is one line; blank lines
+    never recur. An empty table gives an empty result.
     """
     docs = docs.drop("n_lines", "n_dropped")
     source = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
@@ -90,12 +103,11 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     keyed = docs.withColumn("text", F.col("text").cast("string")).withColumn("__text_digest", _digest(F.col("text")))
     joined = keyed.join(drops.withColumnRenamed("row", "__text_digest").withColumnRenamed("places", "__recurring_places"), "__text_digest", "left")
     lines = F.split("text", "\n", -1)
-    held = F.filter(lines, lambda _, i: ~F.array_contains("__recurring_places", i))
-    kept = F.array_join(held, "\n")
-    lost = F.length("text") - F.length(kept)
-    boiler = F.col("__recurring_places").isNotNull() & (lost * 2 <= F.length("text"))
-    out = joined.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0))).withColumn("n_dropped", F.when(boiler, F.col("n_lines") - F.size(held)).otherwise(0))
-    out = out.withColumn("text", F.when(boiler, kept).otherwise(F.col("text")))
+    touched = F.col("__recurring_places").isNotNull()
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__recurring_places")
+    kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+    out = joined.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0))).withColumn("n_dropped", F.when(touched, F.size("__recurring_places")).otherwise(0))
+    out = out.withColumn("text", F.when(touched, kept).otherwise(F.col("text")))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*columns, "n_lines", "n_dropped")
@@ -108,13 +120,16 @@ def oracle(docs: str = "documents", columns: str = "doc_id", digests: bool = Tru
     return f"""
     with source as (select *, md5(text) as row_of_text from {docs}),
     raw as (select distinct row_of_text, string_split(text, chr(10)) as ls from source where text is not null),
-    lines as (select row_of_text, unnest(range(len(ls))) as place, unnest(ls) as line from raw),
-    forms as (select row_of_text, place, line as form from lines),
+    marked as (select row_of_text, ls, list_sort(list_distinct(list_transform(list_filter(ls, lambda x: x <> ''), lambda x: md5(x)[1:16]))) as low from raw),
+    lines as (select row_of_text, low, unnest(range(len(ls))) as place, unnest(ls) as line from marked),
+    forms as (
+        select row_of_text, place, line as form, case when low[1] <> md5(line)[1:16] then low[1] else coalesce(low[2], row_of_text[1:16]) end as other
+        from lines where line <> ''),
     paths as (
-        select row_of_text, place, list_transform(string_split(form, ' '), lambda t: {mask}) as tokens,
+        select row_of_text, place, other, list_transform(string_split(form, ' '), lambda t: {mask}) as tokens,
                concat_ws(' ', cast(len(string_split(form, ' ')) as varchar), array_to_string(list_transform(string_split(form, ' ')[1:{DEPTH}], lambda t: {mask}), ' ')) as path
         from forms where len(string_split(form, ' ')) >= {MIN_TOKENS}),
-    leaves as (select path from paths group by path having count(distinct row_of_text) >= {MIN_DOCS}),
+    leaves as (select path from paths group by path having count(distinct other) >= {MIN_DOCS}),
     leaf_lines as (select p.* from paths p join leaves using (path)),
     size as (select path, count(*) as lines from leaf_lines group by path),
     spread as (select path, unnest(range(len(tokens))) as pos, unnest(tokens) as token from leaf_lines),
@@ -124,22 +139,21 @@ def oracle(docs: str = "documents", columns: str = "doc_id", digests: bool = Tru
         select path, list(case when n * 2 > lines then token else '{WILDCARD}' end order by pos) as leaf from best join size using (path) group by path),
     good as (select * from trees where len(list_filter(leaf, lambda t: t <> '{WILDCARD}')) >= {MIN_FIXED} * len(leaf)),
     placed as (
-        select row_of_text, place,
+        select row_of_text, place, other,
                case when leaf is not null and len(list_filter(list_zip(tokens, leaf), lambda z: z[2] <> '{WILDCARD}' and z[1] <> z[2])) = 0 then leaf else tokens end as template
         from leaf_lines left join good using (path)),
     keys as (
-        select row_of_text, place, array_to_string(template, ' ') as template from placed
+        select row_of_text, place, other, array_to_string(template, ' ') as template from placed
         where len(list_filter(template, lambda t: t <> '{WILDCARD}')) * 2 >= len(template)),
-    recurs as (select template from keys group by template having count(distinct row_of_text) >= {MIN_DOCS}),
+    recurs as (select template from keys group by template having count(distinct other) >= {MIN_DOCS}),
     drops as (select distinct row_of_text, place from keys join recurs using (template)),
     rebuilt as (
         select row_of_text, string_agg(line, chr(10) order by place) as kept, count(*) as held
         from lines l anti join drops d using (row_of_text, place) group by row_of_text),
     judged as (
-        select s.*, coalesce(len(string_split(s.text, chr(10))), 0) as all_lines, coalesce(r.kept, '') as short_text, coalesce(r.held, 0) as held,
-               s.text is not null and 2 * (length(s.text) - length(coalesce(r.kept, ''))) <= length(s.text) as boiler
+        select s.*, coalesce(len(string_split(s.text, chr(10))), 0) as all_lines, coalesce(r.kept, '') as short_text, coalesce(r.held, 0) as held
         from source s left join rebuilt r using (row_of_text)),
     final as (
-        select * exclude (text), cast(all_lines as integer) as n_lines, cast(case when boiler then all_lines - held else 0 end as integer) as n_dropped,
-               case when boiler then short_text else text end as kept from judged)
+        select * exclude (text), cast(all_lines as integer) as n_lines, cast(all_lines - held as integer) as n_dropped,
+               case when text is null then null else short_text end as kept from judged)
     select {columns}, {out} from final"""
