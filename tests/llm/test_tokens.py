@@ -90,3 +90,17 @@ def test_word_bpe_equals_the_library(frame, corpus):
         assert (short[i].ids_sha256, short[i].decoded_sha256) == (hashlib.sha256(raw).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
     assert word_bpe.encode_decode(frame([]), path).count() == 0
     assert word_bpe.encode_decode(frame([(None, None), (1, "a"), (1, "a")]), path).count() == 3
+
+
+def test_every_letter_is_split_as_the_library_does():
+    path = tokenizer_path("word_bpe_49k.json")
+    tokenizer, own = Tokenizer.from_file(path), word_bpe._own_split(path)
+    for c in range(0x530):
+        text = f"a{chr(c)}B 1{chr(c)} {chr(c)}'s"
+        assert word_bpe.split(text, path) == own(text), hex(c)
+    single, _ = word_bpe._tokenizer(path)
+    for a in range(0x530, 0x110000, 512):
+        text = " ".join(f"a{chr(c)}b{chr(c)}" for c in range(a, min(a + 512, 0x110000)) if not 0xD800 <= c < 0xE000)
+        words = word_bpe.split(text, path)
+        ids = [i for e in single.encode_batch(words, add_special_tokens=False) for i in e.ids]
+        assert ids == tokenizer.encode(text, add_special_tokens=False).ids, hex(a)
