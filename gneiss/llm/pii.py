@@ -1,16 +1,21 @@
 """Personal data: exact patterns, and a skip-chain conditional random field.
 
-Patterns give the base spans of four kinds. The field labels every token that
-has a digit or an @: a token's shape gives its node potential, tokens side by
-side share a chain potential, and tokens of one document that are written
-alike (same digits, or same letters) share a skip potential that favours equal
-labels however far apart they are. Loopy belief propagation passes messages
-over both kinds of edges at once, for all documents of a batch together. Tokens
-that the field is sure of and no base span covers become further spans: a
-number written without its prefix where the same document also has it in full.
-
-The potentials are fitted on a bounded sample of documents, whose base spans
-are the labels; only counts by shape leave the tasks.
+Patterns give the base spans of four kinds. The field labels candidate tokens:
+words with a digit or an @, and groups of digits that blanks, dashes, dots or
+brackets hold together. A token's shape gives its node potential, tokens side
+by side share a chain potential, and tokens of one document that are written
+alike (equal text, or equal first or last seven digits) share a skip potential
+however far apart they are: each is linked to the first of its kind. Labels of
+base spans are known; loopy belief propagation passes messages over both kinds
+of edges at once, for all documents of a batch together, until they settle.
+Tokens that the field is sure of and no base span covers become further spans:
+a number written without its prefix where the same document also has it in
+full.
+
+Node, chain and skip weights are fitted together by pseudo-likelihood on a
+bounded sample of documents, whose base spans are the labels. A token without
+a base span that is written like one with a base span is no example of either
+label, so it is left out. Only counts of configurations leave the tasks.
 """
 
 from __future__ import annotations
@@ -29,10 +34,16 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that training reads at most, those of the smallest hash.
 SAMPLE_DOCS = 4_000
-#: Belief from which a token becomes a span, and rounds of messages.
-SURE, ROUNDS = 0.9, 6
-#: Digits that make two numbers alike (their last ones).
-ALIKE_DIGITS = 7
+#: Belief from which a token becomes a span.
+SURE = 0.9
+#: Messages have settled when none moves by more than this, and rounds after which they are taken as they are.
+SETTLED, ROUNDS = 1e-4, 200
+#: Digits that make two numbers alike, and letters that a token of equal text has at least.
+ALIKE_DIGITS, ALIKE_TEXT = 7, 5
+#: Skip potential of equal labels before any example is seen.
+AGREE = 4.0
+#: Digits of a candidate at most, and equal labels among a token's skip neighbours that the fit tells apart.
+MOST_DIGITS, MOST_NEIGHBOURS = 19, 3
 
 # fixed values: the base patterns (local parts are found from the @ leftwards)
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -43,6 +54,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _HINT = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9@._%+()\-])[A-Za-z._%+()\-]*+[0-9@][A-Za-z0-9@._%+()\-]*+")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
+_LETTER = re.compile(r"[A-Za-z@_%]")
 
 Span = tuple[int, int, int]
 
@@ -105,44 +117,88 @@ def _shape(token: str, digits: str) -> int:
     return sum(1 << i for i, m in enumerate(marks) if m)
 
 
-def _graph(texts: list[str], spans: list[list[Span]]):
-    """Tokens of all texts as (text, start, end), their shapes, labels (0: none), chain and skip edges."""
+@dataclass
+class Graph:
+    """Tokens of some texts as (text, start, end), their shapes, labels (0: none), chain and skip edges."""
+
+    tokens: list[Span]
+    shapes: np.ndarray
+    labels: np.ndarray
+    chain: np.ndarray
+    skip: np.ndarray
+
+
+def _candidates(text: str) -> Iterator[Span]:
+    """(start, digits, end) of each candidate: a token, or tokens of digits with single blanks between."""
+    held = None
+    for m in _TOKEN.finditer(text):
+        a, b = m.span()
+        while b > a + 1 and text[b - 1] in ".-(":
+            b -= 1
+        digits = _NOT_DIGIT.sub("", text[a:b])
+        bare = not _LETTER.search(text, a, b)
+        if held and bare and held[3] and a - held[2] == 1 and text[a - 1] == " " and len(held[1]) + len(digits) <= MOST_DIGITS:
+            held = (held[0], held[1] + digits, b, True)
+            continue
+        if held:
+            yield held[:3]
+        held = (a, digits, b, bare)
+    if held:
+        yield held[:3]
+
+
+def _alike(token: str, digits: str) -> list[str]:
+    """Keys that tokens written alike have in common."""
+    if len(digits) >= ALIKE_DIGITS:
+        return ["<" + digits[:ALIKE_DIGITS], ">" + digits[-ALIKE_DIGITS:]]
+    return ["=" + token.lower()] if len(token) >= ALIKE_TEXT else []
+
+
+def graph(texts: list[str], spans: list[list[Span]]) -> Graph:
     tokens, shapes, labels, chain, skip = [], [], [], [], []
     for i, text in enumerate(texts):
         if not _HINT.search(text):
             continue
-        last, seen, own, s = None, {}, spans[i], 0
-        for m in _TOKEN.finditer(text):
-            a, b = m.span()
-            while b > a + 1 and text[b - 1] in ".-(":
-                b -= 1
-            digits = _NOT_DIGIT.sub("", text[a:b])
+        last, first, own, s = None, {}, spans[i], 0
+        for a, digits, b in _candidates(text):
             while s < len(own) and own[s][2] <= a:
                 s += 1
-            label = next((k + 1 for x, k, y in own[s : s + 4] if x < b and a < y), 0)
             at = len(tokens)
             tokens.append((i, a, b))
             shapes.append(_shape(text[a:b], digits))
-            labels.append(label)
+            labels.append(next((k + 1 for x, k, y in own[s : s + 4] if x < b and a < y), 0))
             if last is not None and a - tokens[last][2] <= 1:
                 chain.append((last, at))
             last = at
-            key = digits[-ALIKE_DIGITS:] if len(digits) >= ALIKE_DIGITS else text[a:b].lower()
-            if key in seen and len(key) >= 5:
-                skip.append((seen[key], at))
-            seen[key] = at
-    return tokens, np.array(shapes, np.int64), np.array(labels, np.int64), np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2)
+            linked = {first.setdefault(key, at) for key in _alike(text[a:b], digits)} - {at}
+            skip += [(hub, at) for hub in sorted(linked)]
+    edges = [np.array(e, np.int64).reshape(-1, 2) for e in (chain, skip)]
+    return Graph(tokens, np.array(shapes, np.int64), np.array(labels, np.int64), *edges)
+
+
+_LABELS = len(KINDS) + 1
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Configurations of labelled tokens: shape, labels of the left and right one (-1: none), of skip neighbours, and own."""
     seen: Counter = Counter()
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
-        _, shapes, labels, chain, skip = _graph(texts, [base_spans(t) for t in texts])
-        seen.update(zip("n" * len(shapes), shapes.tolist(), labels.tolist(), strict=True))
-        seen.update(("c", int(labels[a]), int(labels[b])) for a, b in chain)
-        seen.update(("s", int(labels[a]), int(labels[b])) for a, b in skip)
-    yield pa.RecordBatch.from_pylist([{"what": w, "x": x, "y": y, "n": n} for (w, x, y), n in seen.items()], pa.schema([("what", pa.string()), ("x", pa.int64()), ("y", pa.int64()), ("n", pa.int64())]))
+        g = graph(texts, [base_spans(t) for t in texts])
+        y = g.labels
+        ends = np.concatenate((g.skip, g.skip[:, ::-1]))
+        hidden = np.zeros(len(y), bool)
+        hidden[ends[(y[ends[:, 0]] == 0) & (y[ends[:, 1]] > 0), 0]] = True
+        shown = np.where(hidden, -1, y)
+        left, right = np.full(len(y), -1), np.full(len(y), -1)
+        left[g.chain[:, 1]], right[g.chain[:, 0]] = shown[g.chain[:, 0]], shown[g.chain[:, 1]]
+        known = ends[shown[ends[:, 1]] >= 0]
+        near = np.zeros((len(y), _LABELS), np.int64)
+        np.add.at(near, (known[:, 0], y[known[:, 1]]), 1)
+        near = np.minimum(near, MOST_NEIGHBOURS)
+        rows = np.column_stack((g.shapes, left, right, near, y))[~hidden]
+        seen.update(map(tuple, rows.tolist()))
+    yield pa.RecordBatch.from_pydict({"what": [list(k) for k in seen], "n": list(seen.values())}, pa.schema([("what", pa.list_(pa.int64())), ("n", pa.int64())]))
 
 
 @dataclass
@@ -158,42 +214,57 @@ def _bits(shapes: np.ndarray) -> np.ndarray:
     return np.concatenate(((shapes[:, None] >> np.arange(_BITS)) & 1, np.ones((len(shapes), 1), np.int64)), axis=1).astype(float)
 
 
+def fit(rows: np.ndarray, n: np.ndarray, steps: int = 600, ridge: float = 1e-3) -> Field:
+    """Weights of all three potentials that maximise the pseudo-likelihood of the configurations, by Adam steps.
+
+    The ridge draws skip potentials to AGREE for equal labels, the others to 0.
+    """
+    x, y = _bits(rows[:, 0]), np.eye(_LABELS)[rows[:, -1]]
+    one = np.vstack((np.eye(_LABELS), np.zeros(_LABELS)))  # -1 takes the last row
+    left, right, near = one[rows[:, 1]], one[rows[:, 2]], rows[:, 3:-1].astype(float)
+    share = (n / n.sum())[:, None]
+    prior = AGREE * np.eye(_LABELS)
+    params = [np.zeros((_BITS + 1, _LABELS)), np.zeros((_LABELS, _LABELS)), prior]
+    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
+    for step in range(1, steps + 1):
+        w, c, s = params
+        z = x @ w + left @ c + right @ c.T + near @ s
+        p = np.exp(z - z.max(1, keepdims=True))
+        off = share * (p / p.sum(1, keepdims=True) - y)
+        skip = near.T @ off
+        grads = [x.T @ off + ridge * w, left.T @ off + off.T @ right + ridge * c, skip + skip.T + ridge * (s - prior)]
+        for k, g in enumerate(grads):
+            m, v = moments[k]
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            params[k] = params[k] - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return Field(*params)
+
+
 def train(docs: DataFrame) -> Field:
-    """Fit node potentials by softmax regression and edge potentials by smoothed counts.
+    """Fit node, chain and skip weights on at most :data:`SAMPLE_DOCS` documents with a digit or an @.
 
-    Reads at most :data:`SAMPLE_DOCS` documents with a digit or an @; without
-    any, the field labels nothing.
+    Without any such document the field labels nothing.
     """
-    labels = len(KINDS) + 1
     ids = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]")).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
     # at most SAMPLE_DOCS numbers are broadcast; one text for each
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    # rows by shape and label: at most 2**_BITS * 5 + 50
-    counts = sample.select("text").mapInArrow(_counts, "what string, x long, y long, n long").groupBy("what", "x", "y").agg(F.sum("n").alias("n")).toPandas()
-    node, pairs = counts[counts.what == "n"], {}
-    for what in "cs":
-        table = np.ones((labels, labels))
-        for x, y, n in counts[counts.what == what][["x", "y", "n"]].itertuples(index=False):
-            table[x, y] += n
-        free = table.sum(1, keepdims=True) * table.sum(0, keepdims=True) / table.sum()
-        pairs[what] = np.clip(np.log(table / free), -3, 3)
-    agree = np.clip(np.diag(pairs["s"]).max(), 1.5, 4)
-    skip = np.full((labels, labels), 0.0) + np.eye(labels) * agree
-    w = np.zeros((_BITS + 1, labels))
-    w[-1, 0] = 3.0
-    if len(node):
-        x, y, n = _bits(node.x.to_numpy()), np.eye(labels)[node.y.to_numpy()], node.n.to_numpy(float)[:, None] / node.n.sum()
-        for _ in range(400):
-            p = np.exp(x @ w - (x @ w).max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            w -= 2.0 * (x.T @ (n * (p - y)) + 1e-4 * w)
-    return Field(w, pairs["c"], skip)
-
-
-def beliefs(field: Field, shapes: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
-    """Label probabilities of each token after rounds of loopy message passing."""
+    # a row for each configuration among the sample's tokens
+    counts = sample.select("text").mapInArrow(_counts, "what array<long>, n long").groupBy("what").agg(F.sum("n").alias("n")).toArrow()
+    if not counts.num_rows:
+        weights = np.zeros((_BITS + 1, _LABELS))
+        weights[-1, 0] = 10.0
+        return Field(weights, np.zeros((_LABELS, _LABELS)), np.zeros((_LABELS, _LABELS)))
+    return fit(np.array(counts.column("what").to_pylist(), np.int64), counts.column("n").to_numpy().astype(float))
+
+
+def beliefs(field: Field, shapes: np.ndarray, labels: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
+    """Label probabilities of each token once the messages have settled; labels over 0 are known."""
     node = _bits(shapes) @ field.weights
     node -= node.max(1, keepdims=True)
+    known = np.flatnonzero(labels > 0)
+    node[known] = -50.0
+    node[known, labels[known]] = 0.0
     ends = np.concatenate((chain, skip))
     if len(ends):
         table = np.concatenate((np.repeat(field.chain[None], len(chain), 0), np.repeat(field.skip[None], len(skip), 0)))
@@ -207,7 +278,11 @@ def beliefs(field: Field, shapes: np.ndarray, chain: np.ndarray, skip: np.ndarra
             out = (total[source] - message[back])[:, :, None] + table
             top = out.max(1, keepdims=True)
             out = np.log(np.exp(out - top).sum(1)) + top[:, 0]
-            message = 0.5 * message + 0.5 * (out - out.max(1, keepdims=True))
+            out -= out.max(1, keepdims=True)
+            moved = np.abs(out - message).max()
+            message = 0.5 * message + 0.5 * out
+            if moved < SETTLED:
+                break
         np.add.at(node, target, message)
     p = np.exp(node - node.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
@@ -217,17 +292,13 @@ def _spans(field: Field, texts: list[str]) -> tuple[list[list[Span]], list[list[
     """Base spans and further spans of each text."""
     base = [base_spans(t) for t in texts]
     more: list[list[Span]] = [[] for _ in texts]
-    tokens, shapes, labels, chain, skip = _graph(texts, base)
-    if len(tokens):
-        p = beliefs(field, shapes, chain, skip)
+    g = graph(texts, base)
+    if g.tokens:
+        p = beliefs(field, g.shapes, g.labels, g.chain, g.skip)
         best = p.argmax(1)
-        for at in np.flatnonzero((best > 0) & (labels == 0) & (p.max(1) >= SURE)).tolist():
-            i, a, b = tokens[at]
-            kind, own = int(best[at]) - 1, more[i]
-            if own and own[-1][1] == kind and a - own[-1][2] <= 1:
-                own[-1] = (own[-1][0], kind, b)
-            else:
-                own.append((a, kind, b))
+        for at in np.flatnonzero((best > 0) & (g.labels == 0) & (p.max(1) >= SURE)).tolist():
+            i, a, b = g.tokens[at]
+            more[i].append((a, int(best[at]) - 1, b))
     return base, more
 
 

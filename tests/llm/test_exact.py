@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 
@@ -124,10 +125,57 @@ def test_field_adds_repeated_numbers_and_keeps_base(frame):
     assert pii.find(frame([])).count() == 0
 
 
+def enumerated(field, shapes, labels, chain, skip):
+    node = pii._bits(shapes) @ field.weights
+    total = np.zeros((len(shapes), 5))
+    for y in itertools.product(range(5), repeat=len(shapes)):
+        if any(k and k != v for k, v in zip(labels, y, strict=True)):
+            continue
+        z = sum(node[i, v] for i, v in enumerate(y)) + sum(field.chain[y[a], y[b]] for a, b in chain) + sum(field.skip[y[a], y[b]] for a, b in skip)
+        for i, v in enumerate(y):
+            total[i, v] += np.exp(z)
+    return total / total.sum(1, keepdims=True)
+
+
+def test_beliefs_equal_enumeration():
+    rng = np.random.default_rng(6)
+    for loop in (False, True):
+        for _ in range(5):
+            table = rng.normal(0, 1, (5, 5))
+            field = pii.Field(rng.normal(0, 0.5, (pii._BITS + 1, 5)), rng.normal(0, 0.5, (5, 5)), table + table.T)
+            shapes, labels = rng.integers(0, 2**pii._BITS, 5), np.array([0, 3, 0, 0, 0])
+            chain, skip = np.array([[0, 1], [1, 2]]), np.array([[0, 3], [2, 4]] + [[3, 4]] * loop)
+            got, want = pii.beliefs(field, shapes, labels, chain, skip), enumerated(field, shapes, labels, chain, skip)
+            assert np.abs(got - want).max() < (0.1 if loop else 1e-3)
+
+
+def test_added_spans_have_precision_and_recall(frame):
+    rng = random.Random(8)
+    rows, wanted = [], {}
+    for i in range(400):
+        area, line = rng.randint(200, 989), rng.randint(1000, 9999)
+        full, bare = f"+1 ({area}) 555-{line}", rng.choice([f"1 ({area}) 555-{line}", f"{area} 555 {line}", f"1-{area}-555-{line}"])
+        order = f"{rng.randint(10**7, 10**8 - 1)}"
+        text = f"call {full} or write; ticket {order} of 2023 " + "and then some words " * rng.randint(1, 20)
+        if i % 2:
+            start = len(text) + 6
+            text += f"again {bare} soon, ticket {order}"
+            wanted[i] = f"phone:{start}:{start + len(bare)}"
+        rows.append((i, text))
+    got = {r.doc_id: r for r in pii.find(frame(rows)).collect()}
+    added = {i: set(got[i].spans.split(",")) - set(pii.written(pii.base_spans(t)).split(",")) for i, t in rows}
+    hits = sum(wanted.get(i) in a for i, a in added.items())
+    assert hits >= 0.9 * len(wanted) and hits >= 0.95 * sum(map(len, added.values()))
+
+
 def test_messages_carry_labels_over_skip_edges():
     field = pii.Field(np.zeros((pii._BITS + 1, 5)), np.zeros((5, 5)), np.eye(5) * 3)
-    field.weights[1, 4] = 6  # a leading plus: phone
-    shapes = np.array([2, 0, 0])
-    alone = pii.beliefs(field, shapes, np.zeros((0, 2), int), np.zeros((0, 2), int))
-    joined = pii.beliefs(field, shapes, np.zeros((0, 2), int), np.array([[0, 1]]))
-    assert joined[1, 4] > 0.8 > alone[1, 4] and abs(joined[2, 4] - alone[2, 4]) < 1e-9
+    none, unknown = np.zeros((0, 2), int), np.zeros(400, int)
+    known = unknown.copy()
+    known[0] = 4
+    shapes = np.zeros(400, int)
+    star = np.array([[0, i] for i in range(1, 400)])
+    alone, joined = pii.beliefs(field, shapes, unknown, none, none), pii.beliefs(field, shapes, known, none, star)
+    assert (joined[1:, 4] > 0.8).all() and np.allclose(alone, 0.2)
+    path = np.array([[i, i + 1] for i in range(60)])
+    assert pii.beliefs(pii.Field(field.weights, np.eye(5) * 9, field.skip), shapes, known, path, none)[60, 4] > 0.9  # until settled
