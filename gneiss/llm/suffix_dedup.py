@@ -101,8 +101,12 @@ def _ordered(head: np.ndarray, mark: np.ndarray) -> np.ndarray:
 
 def _buckets(splitters: np.ndarray, head: np.ndarray, mark: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each suffix, and whether its equals are in several buckets."""
-    key = _ordered(head, mark)
-    low, high = np.searchsorted(splitters, key, "left"), np.searchsorted(splitters, key, "right")
+    heads = splitters.view(">u8")[::2].astype(np.uint64)
+    low = np.searchsorted(heads, head, "left")
+    high = np.searchsorted(heads, head, "right")
+    tied = np.flatnonzero(high > low)  # only these need their hash compared
+    key = _ordered(head[tied], mark[tied])
+    low[tied], high[tied] = np.searchsorted(splitters, key, "left"), np.searchsorted(splitters, key, "right")
     hot = high - low > 1
     spread = (T.mix(classes.view(np.uint64)) % np.maximum(high - low, 1).astype(np.uint64)).astype(np.int64)
     return np.where(hot, low + 1 + spread, high).astype(np.int32), hot
