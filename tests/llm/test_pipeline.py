@@ -1,5 +1,6 @@
 from collections import Counter
 
+import __spark_entry__
 import corpus_pipeline
 from gneiss.llm import queries
 
@@ -35,6 +36,6 @@ def test_texts_of_one_doc_id_are_judged_one_by_one(spark):
 
 
 def test_every_number_has_its_query():
-    names = queries.queries()
+    names = __spark_entry__.queries()
     assert [n for n in range(1, 11) if not any(k.startswith(f"op{n}_") for k in names)] == [] and "pipeline" in names
     assert set(queries.oracle_sql()) <= set(names)
