@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions.columns import uniform
 from gneiss.operators.joins import nearest
+from gneiss.operators.order import positions
 
 
 def _interpolate(seeds: DataFrame, neighbours: DataFrame, vectors: DataFrame, seed: int) -> DataFrame:
@@ -34,8 +35,7 @@ def smote(minority: DataFrame, majority_rows: int, ratio: float = 0.5, k: int =
     vectors = minority.select("id", F.col("embedding").cast("array<double>").alias("embedding"))
     n = vectors.count()
     wanted = max(0, math.floor(ratio * majority_rows) - n) if n > 1 else 0
-    order = Window.orderBy(uniform("id", seed=seed), "id")
-    rank = vectors.select("id").withColumn("nth", F.row_number().over(order) - 1)
+    rank = positions(vectors.select("id"), uniform("id", seed=seed), F.col("id"), name="nth")
     turns = F.sequence(F.lit(0), F.lit(max(0, -(-wanted // max(n, 1)) - 1)))
     seeds = rank.withColumn("copy", F.explode(turns)).where(F.col("copy") * n + F.col("nth") < wanted).select("id", "copy")
     return _interpolate(seeds, nearest(vectors, vectors, min(k, max(n - 1, 1))), vectors, seed)
@@ -52,8 +52,8 @@ def adasyn(rows: DataFrame, ratio: float = 0.5, k: int = 5, seed: int = 42) -> D
     wanted = max(0, math.floor(ratio * m) - n) if n > 1 else 0
     around = nearest(minority.select("id", "embedding"), vectors.select("id", "embedding"), k).join(vectors.select(F.col("id").alias("point"), "y"), "point")
     share = around.groupBy(F.col("query").alias("id")).agg(F.avg(1 - F.col("y")).alias("share"))
-    whole = F.sum("share").over(Window.partitionBy())
-    counted = share.withColumn("times", F.round(F.try_divide(F.col("share"), whole) * wanted).cast("int")).where("times > 0")
+    whole = share.agg(F.sum("share").alias("whole"))
+    counted = share.crossJoin(whole).withColumn("times", F.round(F.try_divide(F.col("share"), F.col("whole")) * wanted).cast("int")).where("times > 0")
     seeds = counted.select("id", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("copy"))
     own = minority.select("id", "embedding")
     return _interpolate(seeds, nearest(own, own, min(k, max(n - 1, 1))), own, seed)

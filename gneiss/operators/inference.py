@@ -1,8 +1,7 @@
 """Statistical tests as aggregations and windows.
 
-Series are ordered by an explicit ``row`` column. A single ordered series is
-one sequence by definition; where a window runs over one, the input is a
-series of residuals or block scores, not the feature table.
+Series are ordered by an explicit ``row`` column; lags and ranks over a whole
+table go by range partitions (``operators/order.py``).
 """
 
 from __future__ import annotations
@@ -10,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.operators import order
+
 
 def adjust_p(df: DataFrame) -> DataFrame:
     """Holm and Benjamini-Hochberg adjusted values of ``name``, ``p``."""
@@ -21,10 +22,9 @@ def adjust_p(df: DataFrame) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, descending: bool = False) -> DataFrame:
-    """``rank_avg``: ranks within groups, ties averaged."""
-    order = F.desc(value) if descending else F.asc(value)
+    """``rank_avg``: ranks within small groups (blocks), ties averaged; for large ones see :func:`order.tie_ranks`."""
     ties = F.count("*").over(Window.partitionBy(*by, value))
-    return df.withColumn("rank_avg", F.rank().over(Window.partitionBy(*by).orderBy(order)) + (ties - 1) / 2)
+    return df.withColumn("rank_avg", F.rank().over(Window.partitionBy(*by).orderBy(F.desc(value) if descending else F.asc(value))) + (ties - 1) / 2)
 
 
 def friedman(df: DataFrame) -> DataFrame:
@@ -40,16 +40,18 @@ def friedman(df: DataFrame) -> DataFrame:
     return t.withColumn("f", F.try_divide((n - 1) * F.col("chi2"), n * (k - 1) - F.col("chi2")))
 
 
+def autocovariances(df: DataFrame, lags: int) -> DataFrame:
+    """``n``, ``mean`` and sums ``g0`` .. ``g<lags>`` of products of the centred ``x`` and its lags, over ``row``."""
+    known = df.select("row", "x").where("x is not null")
+    centred = known.crossJoin(known.agg(F.avg("x").alias("mean"))).withColumn("x", F.col("x") - F.col("mean"))
+    both = order.lagged(centred, "row", "x", range(1, lags + 1))
+    return both.agg(F.count("*").alias("n"), F.max("mean").alias("mean"), F.sum(F.col("x") * F.col("x")).alias("g0"), *(F.sum(F.col("x") * F.col(f"lag_{k}")).alias(f"g{k}") for k in range(1, lags + 1)))
+
+
 def newey_west(df: DataFrame, lags: int) -> DataFrame:
     """Long-run variance of ``x`` over ``row`` with Bartlett weights."""
-    centred = df.withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy()))
-    w = Window.orderBy("row")
-    columns = [F.avg(F.col("x") * F.col("x")).alias("g0"), F.count("*").alias("n")]
-    for k in range(1, lags + 1):
-        centred = centred.withColumn(f"l{k}", F.lag("x", k).over(w))
-        columns.append(F.sum(F.col("x") * F.col(f"l{k}")).alias(f"g{k}"))
-    t = centred.agg(*columns)
-    total = F.col("g0")
+    t = autocovariances(df, lags)
+    total = F.col("g0") / F.col("n")
     for k in range(1, lags + 1):
         total = total + 2 * (1 - k / (lags + 1)) * F.col(f"g{k}") / F.col("n")
     return t.select("n", total.alias("variance"))
@@ -62,8 +64,7 @@ def delong(df: DataFrame) -> DataFrame:
     """
     rows = df.where("y is not null and s1 is not null and s2 is not null")
     for i in (1, 2):
-        r = average_ranks(rows, [], f"s{i}").withColumnRenamed("rank_avg", f"r{i}")
-        rows = average_ranks(r, ["y"], f"s{i}").withColumnRenamed("rank_avg", f"o{i}")
+        rows = order.tie_ranks(order.tie_ranks(rows, f"s{i}", name=f"r{i}"), f"s{i}", ["y"], name=f"o{i}")
     c = rows.agg(F.sum("y").alias("m"), F.sum(1 - F.col("y")).alias("n"))
     v = rows.crossJoin(c)
     placed = v.select("y", "m", "n", *(F.when(F.col("y") == 1, (F.col(f"r{i}") - F.col(f"o{i}")) / F.col("n")).otherwise(1 - (F.col(f"r{i}") - F.col(f"o{i}")) / F.col("m")).alias(f"v{i}") for i in (1, 2)))
@@ -76,8 +77,7 @@ def cliff_delta(a: DataFrame, b: DataFrame) -> DataFrame:
     """Cliff's delta of column ``x`` of two tables, from counts of distinct values."""
     u = a.where("x is not null").select("x", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.where("x is not null").select("x", F.lit(0).alias("a"), F.lit(1).alias("b")))
     values = u.groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    below = F.coalesce(F.sum("b").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = values.select("a", "b", below.alias("below")).agg(F.sum(F.col("a") * (2 * F.col("below") + F.col("b"))).alias("u2"), F.sum("a").alias("n"), F.sum("b").alias("m"))
+    t = order.running(values, [F.col("x")], {"upto": F.col("b")}).withColumn("below", F.col("upto") - F.col("b")).agg(F.sum(F.col("a") * (2 * F.col("below") + F.col("b"))).alias("u2"), F.sum("a").alias("n"), F.sum("b").alias("m"))
     return t.select(F.try_divide(F.col("u2") - F.col("n") * F.col("m"), (F.col("n") * F.col("m")).cast("double")).alias("delta"))
 
 
@@ -99,7 +99,8 @@ def diebold_mariano(df: DataFrame, h: int = 1) -> DataFrame:
 
 def giacomini_white(df: DataFrame) -> DataFrame:
     """Conditional predictive ability with instruments (1, last loss difference): n * g' S^-1 g."""
-    d = df.select("row", (F.col("e1") * F.col("e1") - F.col("e2") * F.col("e2")).alias("x")).withColumn("z", F.lag("x").over(Window.orderBy("row"))).where("z is not null")
+    d = df.select("row", (F.col("e1") * F.col("e1") - F.col("e2") * F.col("e2")).alias("x"))
+    d = order.lagged(d, "row", "x", [1]).withColumnRenamed("lag_1", "z").where("z is not null")
     a, b = F.col("x"), F.col("x") * F.col("z")
     t = d.agg(F.avg(a).alias("m1"), F.avg(b).alias("m2"), F.avg(a * a).alias("s11"), F.avg(a * b).alias("s12"), F.avg(b * b).alias("s22"), F.count("*").alias("n"))
     det = F.col("s11") * F.col("s22") - F.col("s12") * F.col("s12")
@@ -109,7 +110,7 @@ def giacomini_white(df: DataFrame) -> DataFrame:
 
 def wilcoxon(df: DataFrame) -> DataFrame:
     """Signed-rank sums of ``a`` - ``b``; zero differences are ranked and split between the sums."""
-    d = average_ranks(df.select(F.abs(F.col("a") - F.col("b")).alias("m"), F.signum(F.col("a") - F.col("b")).alias("g")).where("m is not null"), [], "m")
+    d = order.tie_ranks(df.select(F.abs(F.col("a") - F.col("b")).alias("m"), F.signum(F.col("a") - F.col("b")).alias("g")).where("m is not null"), "m")
     up = F.sum(F.when(F.col("g") > 0, F.col("rank_avg")).when(F.col("g") == 0, F.col("rank_avg") / 2).otherwise(0.0))
     down = F.sum(F.when(F.col("g") < 0, F.col("rank_avg")).when(F.col("g") == 0, F.col("rank_avg") / 2).otherwise(0.0))
     t = d.agg(up.alias("up"), down.alias("down"), F.count("*").alias("n"), F.sum(F.when(F.col("g") == 0, 1).otherwise(0)).alias("zeros"))
@@ -118,16 +119,17 @@ def wilcoxon(df: DataFrame) -> DataFrame:
 
 def ljung_box(df: DataFrame, lags: int) -> DataFrame:
     """Ljung-Box Q of ``x`` over ``row``."""
-    centred = df.withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy()))
-    w = Window.orderBy("row")
-    columns = [F.sum(F.col("x") * F.col("x")).alias("g0"), F.count("*").alias("n")]
-    for k in range(1, lags + 1):
-        centred = centred.withColumn(f"l{k}", F.lag("x", k).over(w))
-        columns.append(F.sum(F.col("x") * F.col(f"l{k}")).alias(f"g{k}"))
     q = F.lit(0.0)
     for k in range(1, lags + 1):
         q = q + F.pow(F.try_divide(f"g{k}", "g0"), 2) / (F.col("n") - k)
-    return centred.agg(*columns).select("n", (F.col("n") * (F.col("n") + 2) * q).alias("q"))
+    return autocovariances(df, lags).select("n", (F.col("n") * (F.col("n") + 2) * q).alias("q"))
+
+
+def autocorrelations(df: DataFrame, lags: int) -> DataFrame:
+    """``lag``, ``r``: autocorrelation of ``x`` over ``row``."""
+    t = autocovariances(df, lags)
+    cells = F.array(*(F.struct(F.lit(k).alias("lag"), F.try_divide(f"g{k}", "g0").alias("r")) for k in range(1, lags + 1)))
+    return t.select(F.explode(cells).alias("c")).select("c.*")
 
 
 def jarque_bera(df: DataFrame) -> DataFrame:
@@ -142,8 +144,9 @@ def scaling_exponent(df: DataFrame) -> DataFrame:
     return df.where("size > 0 and time > 0").agg(F.regr_slope(y, x).alias("exponent"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
 
 
-def clark_west(df: DataFrame) -> DataFrame:
-    """Clark-West adjusted loss difference of ``y``, ``restricted``, ``general``: mean and z with plain variance."""
+def clark_west(df: DataFrame, lags: int) -> DataFrame:
+    """Clark-West adjusted loss difference of ``y``, ``restricted``, ``general`` over ``row``: mean and z with Newey-West variance."""
     f = F.pow(F.col("y") - F.col("restricted"), 2) - (F.pow(F.col("y") - F.col("general"), 2) - F.pow(F.col("restricted") - F.col("general"), 2))
-    t = df.agg(F.avg(f).alias("mean"), F.var_pop(f).alias("v"), F.count(f).alias("n"))
-    return t.select("n", "mean", F.try_divide("mean", F.sqrt(F.col("v") / F.col("n"))).alias("cw"))
+    x = df.select("row", f.alias("x"))
+    t = x.agg(F.avg("x").alias("mean")).crossJoin(newey_west(x, lags))
+    return t.select("n", "mean", F.try_divide("mean", F.sqrt(F.col("variance") / F.col("n"))).alias("cw"))

@@ -55,9 +55,13 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, vector: str = "embedd
         x, y = np.stack(a["query_vector"]), np.stack(b["point_vector"])
         ids = b["point"].to_numpy()
         order = np.argsort(ids, kind="stable")
-        d = np.sqrt(np.maximum(((x[:, None, :] - y[order][None, :, :]) ** 2).sum(-1) if len(x) * len(y) * x.shape[1] < 20_000_000 else (x * x).sum(1)[:, None] + (y[order] ** 2).sum(1) - 2 * x @ y[order].T, 0))
-        near = np.argsort(d, axis=1, kind="stable")[:, : k + 1]
-        return pd.DataFrame({"query": np.repeat(a["query"].to_numpy(), near.shape[1]), "point": ids[order][near].ravel(), "distance": np.take_along_axis(d, near, 1).ravel()})
+        y, ids, parts = y[order], ids[order], []
+        step = max(1, 20_000_000 // (len(y) * x.shape[1]))
+        for at in range(0, len(x), step):  # differences of a few queries at a time
+            d = np.sqrt(((x[at : at + step, None, :] - y[None, :, :]) ** 2).sum(-1))
+            near = np.argsort(d, axis=1, kind="stable")[:, : k + 1]
+            parts.append(pd.DataFrame({"query": np.repeat(a["query"].to_numpy()[at : at + step], near.shape[1]), "point": ids[near].ravel(), "distance": np.take_along_axis(d, near, 1).ravel()}))
+        return pd.concat(parts)
 
     found = both.applyInPandas(top, "query long, point long, distance double").where("query <> point")
     w = Window.partitionBy("query").orderBy("distance", "point")

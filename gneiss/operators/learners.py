@@ -97,3 +97,21 @@ def adversarial_auc(train: DataFrame, test: DataFrame, columns: Sequence[str], f
     dealt = filled.withColumn("fold", F.pmod(F.xxhash64(hash_order(*columns)), F.lit(folds)))
     parts = [scores(learner("boosting", columns, "y", **params).fit(dealt.where(F.col("fold") != k)), dealt.where(F.col("fold") == k)) for k in range(folds)]
     return ranking(reduce(DataFrame.unionByName, parts))
+
+
+def cell_centres(points: DataFrame, sample: int, per_cell: int, rounds: int = 10, seed: int = 42) -> np.ndarray:
+    """Centres of k-means cells over at most ``sample`` vectors of ``id``, ``embedding``, those of the smallest hash.
+
+    The sample is bounded by its parameter; every vector is placed by the
+    cells afterwards. An empty table gives one cell at the origin of no axes.
+    """
+    rows = points.select("id", "embedding").orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").collect()
+    if not rows:
+        return np.zeros((1, 0))
+    x = np.array([r.embedding for r in rows], np.float64)
+    k = max(1, len(x) // per_cell)
+    centres = x[np.random.Generator(np.random.PCG64(seed)).permutation(len(x))[:k]]
+    for _ in range(rounds):
+        own = ((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)).argmin(1)
+        centres = np.array([x[own == j].mean(0) if (own == j).any() else centres[j] for j in range(k)])
+    return centres

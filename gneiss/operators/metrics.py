@@ -7,17 +7,19 @@ are over distinct scores and ties need no care.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.operators import order
+
 
 def score_table(df: DataFrame, by: str | None = None) -> DataFrame:
     """Counts of each distinct score, with running true and false positives from the top."""
     keys = [by] if by else []
     rows = df.where("y is not null and s is not null").groupBy(*keys, "s").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
-    down, whole = Window.partitionBy(*keys).orderBy(F.desc("s")), Window.partitionBy(*keys)
-    tp = F.sum("pos").over(down)
-    return rows.select(*keys, "s", "n", "pos", tp.alias("tp"), (F.sum("n").over(down) - tp).alias("fp"), F.sum("pos").over(whole).alias("p"), F.sum("n").over(whole).alias("all_n"))
+    sums = order.running(rows, [F.desc("s")], {"tp": F.col("pos"), "upto": F.col("n")}, keys).withColumn("fp", F.col("upto") - F.col("tp")).drop("upto")
+    whole = rows.groupBy(*keys).agg(F.sum("pos").alias("p"), F.sum("n").alias("all_n"))
+    return sums.join(whole, keys) if keys else sums.crossJoin(whole)
 
 
 def ranking(df: DataFrame, by: str | None = None) -> DataFrame:
@@ -85,7 +87,7 @@ def calibration(df: DataFrame, bins: int = 15) -> DataFrame:
 
 def calibration_equal_count(df: DataFrame, row: str, bins: int = 15) -> DataFrame:
     """Reliability table over bins of equally many rows, in order of score and then row."""
-    known = df.where("y is not null and s is not null").withColumn("bin", F.ntile(bins).over(Window.orderBy("s", row)))
+    known = order.equal_count_bins(df.where("y is not null and s is not null"), bins, F.col("s"), F.col(row))
     return known.groupBy("bin").agg(F.count("*").alias("n"), F.avg("s").alias("mean_score"), F.avg("y").alias("rate"))
 
 

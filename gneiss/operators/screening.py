@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.operators.graph import connected_components
+from gneiss.operators.order import running
 
 
 def long_form(df: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
@@ -49,8 +50,8 @@ def auc_by_variable(df: DataFrame, columns: Sequence[str], target: str, least: i
     known = long.where(F.col("value").isNotNull() & F.col(target).isNotNull())
     # ties first: one row for each value, so the window runs over distinct values
     values = known.groupBy("variable", "value").agg(F.count("*").alias("n"), F.sum(target).alias("pos"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy("variable").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = values.withColumn("rank_sum", F.col("pos") * (below + (F.col("n") + 1) / 2))
+    upto = running(values, [F.col("value")], {"upto": F.col("n")}, ["variable"])
+    ranked = upto.withColumn("rank_sum", F.col("pos") * (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2))
     x, y = F.col("value"), F.col("pos") / F.col("n")
     n, p = F.sum("n"), F.sum("pos")
     sx, sxx, sxy = F.sum(x * F.col("n")), F.sum(x * x * F.col("n")), F.sum(x * F.col("pos"))
@@ -106,9 +107,10 @@ def ks(train: DataFrame, test: DataFrame, columns: Sequence[str]) -> DataFrame:
     a = long_form(train, columns).where("value is not null").groupBy("variable", "value").agg(F.count("*").alias("a"), F.lit(0).cast("long").alias("b"))
     b = long_form(test, columns).where("value is not null").groupBy("variable", "value").agg(F.lit(0).cast("long").alias("a"), F.count("*").alias("b"))
     both = a.unionByName(b).groupBy("variable", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    w, whole = Window.partitionBy("variable").orderBy("value"), Window.partitionBy("variable")
-    gap = F.abs(F.try_divide(F.sum("a").over(w), F.sum("a").over(whole)) - F.try_divide(F.sum("b").over(w), F.sum("b").over(whole)))
-    return both.select("variable", gap.alias("gap")).groupBy("variable").agg(F.max("gap").alias("ks"))
+    sums = running(both, [F.col("value")], {"upto_a": F.col("a"), "upto_b": F.col("b")}, ["variable"])
+    whole = both.groupBy("variable").agg(F.sum("a").alias("all_a"), F.sum("b").alias("all_b"))
+    gap = F.abs(F.try_divide("upto_a", "all_a") - F.try_divide("upto_b", "all_b"))
+    return sums.join(whole, "variable").select("variable", gap.alias("gap")).groupBy("variable").agg(F.max("gap").alias("ks"))
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:

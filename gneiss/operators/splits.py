@@ -6,20 +6,23 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations_with_replacement
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions.columns import hash_order
+from gneiss.operators.order import positions
 
 
 def stratified(df: DataFrame, key: str, target: str, parts: dict[str, float], folds: int = 5, seed: int = 42) -> DataFrame:
     """``part`` by exact shares within each class, and ``fold`` dealt in turn within each class.
 
     The order is a hash of the key, so a row's place doesn't depend on the
-    order of the input.
+    order of the input. Rows without a class are left out.
     """
-    w = Window.partitionBy(target).orderBy(hash_order(key, seed=seed), key)
-    ranked = df.withColumn("nth", F.row_number().over(w)).withColumn("place", (F.col("nth") - 1) / F.count("*").over(Window.partitionBy(target)))
+    df = df.where(F.col(target).isNotNull())
+    sizes = df.groupBy(target).agg(F.count("*").alias("class_n"))
+    ranked = positions(df, hash_order(key, seed=seed), F.col(key), by=[target], name="nth").join(sizes, target)
+    ranked = ranked.withColumn("nth", F.col("nth") + 1).withColumn("place", (F.col("nth") - 1) / F.col("class_n")).drop("class_n")
     names, upto, part = list(parts), 0.0, None
     for name in names[:-1]:
         upto = round(upto + parts[name], 12)

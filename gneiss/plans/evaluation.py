@@ -294,9 +294,10 @@ def giacomini_white(spark, d) -> DataFrame:
     return inference.giacomini_white(P.errors(spark, d))
 
 
-@query("clark_west", f"with {P.ERRORS_SQL}, f as (select pow(y - (e1 + 0.5), 2) - (pow(y - (e2 + 0.5), 2) - pow(e1 - e2, 2)) as f from errors) select count(*) as n, avg(f) as mean, avg(f) / sqrt(var_pop(f) / count(*)) as cw from f", "n", "mean, cw")
+@query("clark_west", f"with {P.ERRORS_SQL}, f as (select row, pow(y - (e1 + 0.5), 2) - (pow(y - (e2 + 0.5), 2) - pow(e1 - e2, 2)) as f from errors), c as (select row, f, f - avg(f) over () as x from f), l as (select *, " + ", ".join(f"lag(x, {k}) over (order by row) as l{k}" for k in range(1, 5))
+    + " from c) select count(*) as n, avg(f) as mean, avg(f) / sqrt((avg(x * x) + " + " + ".join(f"2 * (1 - {k} / 5.0) * sum(x * l{k}) / count(*)" for k in range(1, 5)) + ") / count(*)) as cw from l", "n", "mean, cw")
 def clark_west(spark, d) -> DataFrame:
-    return inference.clark_west(P.errors(spark, d).select("y", (F.col("e1") + 0.5).alias("restricted"), (F.col("e2") + 0.5).alias("general")))
+    return inference.clark_west(P.errors(spark, d).select("row", "y", (F.col("e1") + 0.5).alias("restricted"), (F.col("e2") + 0.5).alias("general")), 4)
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import columns as C
-from gneiss.operators import collapse, inference, screening
+from gneiss.operators import collapse, order, screening
 from gneiss.plans import frames as P
 from gneiss.sources import formats
 from gneiss.sources.storage import shared_dir, table
@@ -75,9 +75,18 @@ def content_fingerprint(spark, d) -> DataFrame:
     return formats.fingerprint(table(spark, d, "orders"), "o_orderkey")
 
 
-@query("synthetic_rows")
+@query(
+    "synthetic_rows",
+    f"""with r as (select range as row_id from range(2000)), x as (select row_id, 'g' || cast(cast(floor({P.uniform_sql("'group'", 'row_id', seed=7)} * 4) as integer) as varchar) as grp,
+        cast({P.uniform_sql("'outcome'", 'row_id', seed=7)} < 0.1 * ({P.uniform_sql("'x1'", 'row_id', seed=7)} + {P.uniform_sql("'x2'", 'row_id', seed=7)}) as integer) as outcome,
+        case when {P.uniform_sql("'hole3'", 'row_id', seed=7)} >= 0.3 then {P.uniform_sql("'x3'", 'row_id', seed=7)} end as x3 from r)
+        select grp, count(*) as n, sum(outcome) as outcomes, count(x3) as known, avg(x3) as mean_x3 from x group by grp""",
+    "grp, n, outcomes, known",
+    "mean_x3",
+)
 def synthetic_rows(spark, d) -> DataFrame:
-    return formats.synthetic(spark).groupBy("CAT_TYPE").agg(F.count("*").alias("n"), F.avg("TARGET").alias("rate"), F.count("NUM_07").alias("known"))
+    made = formats.made_up(spark, 2000, measures=3, groups=4, rate=0.1, holes=0.3, seed=7)
+    return made.groupBy("grp").agg(F.count("*").alias("n"), F.sum("outcome").alias("outcomes"), F.count("x3").alias("known"), F.avg("x3").alias("mean_x3"))
 
 
 _TYPED = ["p_size", "p_retailprice", "p_partkey"]
@@ -105,8 +114,7 @@ def variable_types(spark, d) -> DataFrame:
 )
 def spearman(spark, d) -> DataFrame:
     part = table(spark, d, "part").select("p_size", "p_retailprice")
-    a = inference.average_ranks(part, [], "p_size").withColumnRenamed("rank_avg", "a")
-    return inference.average_ranks(a, [], "p_retailprice").agg(F.corr("a", "rank_avg").alias("rho"))
+    return order.tie_ranks(order.tie_ranks(part, "p_size", name="a"), "p_retailprice", name="b").agg(F.corr("a", "b").alias("rho"))
 
 
 @query(
@@ -149,8 +157,7 @@ def any_event_share(spark, d) -> DataFrame:
 @query("equal_count_deciles", "select nth, count(*) as n, min(o_totalprice) as low, max(o_totalprice) as high from (select o_totalprice, ntile(10) over (order by o_totalprice, o_orderkey) as nth from orders) group by nth", "nth, n", "low, high")
 def equal_count_deciles(spark, d) -> DataFrame:
     """Ten bins of equally many rows, by exact order statistics."""
-    w = Window.orderBy("o_totalprice", "o_orderkey")
-    o = table(spark, d, "orders").select("o_totalprice", F.ntile(10).over(w).cast("long").alias("nth"))
+    o = order.equal_count_bins(table(spark, d, "orders").select("o_totalprice", "o_orderkey"), 10, F.col("o_totalprice"), F.col("o_orderkey"), name="nth")
     return o.groupBy("nth").agg(F.count("*").alias("n"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import columns as C
-from gneiss.operators import collapse, inference, screening
+from gneiss.operators import collapse, inference, order, screening
 from gneiss.plans import frames as P
 from gneiss.sources.storage import table
 
@@ -87,15 +87,15 @@ def evaluations_to_target(spark, d) -> DataFrame:
 
 @query(
     "filled_curve",
-    f"""with {RUNS_SQL}, n as (select unit, unnest(range(1, 101)) as t from (select distinct unit from runs)), j as (select n.unit, n.t, score from n left join runs r on r.unit = n.unit and r.t = n.t)
+    f"""with {RUNS_SQL}, n as (select unit, unnest(range(1, (select max(t) + 1 from runs))) as t from (select distinct unit from runs)), j as (select n.unit, n.t, score from n left join runs r on r.unit = n.unit and r.t = n.t)
         select unit, t, last_value(score ignore nulls) over (partition by unit order by t rows unbounded preceding) as score from j""",
     "unit, t",
     "score",
 )
 def filled_curve(spark, d) -> DataFrame:
-    """Each unit's scores carried forward to 100 evaluations."""
+    """Each unit's scores carried forward to the longest unit's number of evaluations."""
     r = runs(spark, d).select("unit", "t", "score")
-    grid = r.select("unit").distinct().select("unit", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(100).cast("long"))).alias("t"))
+    grid = r.select("unit").distinct().crossJoin(r.agg(F.max("t").alias("most"))).select("unit", F.explode(F.sequence(F.lit(1).cast("long"), "most")).alias("t"))
     w = Window.partitionBy("unit").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     return grid.join(r, ["unit", "t"], "left").select("unit", "t", F.last("score", ignorenulls=True).over(w).alias("score"))
 
@@ -300,8 +300,7 @@ def progress(spark, d) -> DataFrame:
 
 @query("block_means", f"with {P.ERRORS_SQL}, r as (select *, row_number() over (order by row) - 1 as pos from errors) select cast(floor(pos / 500) as bigint) as block, count(*) as n, avg(e1 * e1) as loss from r group by 1", "block, n", "loss")
 def block_means(spark, d) -> DataFrame:
-    pos = F.row_number().over(Window.orderBy("row")) - 1
-    return P.errors(spark, d).withColumn("block", F.floor(pos / 500)).groupBy("block").agg(F.count("*").alias("n"), F.avg(F.col("e1") * F.col("e1")).alias("loss"))
+    return order.positions(P.errors(spark, d), F.col("row")).withColumn("block", F.floor(F.col("pos") / 500)).groupBy("block").agg(F.count("*").alias("n"), F.avg(F.col("e1") * F.col("e1")).alias("loss"))
 
 
 @query("left_unmatched", "select count(*) as unmatched from orders left join (select distinct l_orderkey from lineitem) on l_orderkey = o_orderkey where l_orderkey is null", "unmatched")

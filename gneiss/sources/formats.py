@@ -61,24 +61,16 @@ def fingerprint(df: DataFrame, key: str) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.sum(key).alias("key_sum"), F.bit_xor(cells).alias("digest")).withColumn("columns", F.lit(",".join(sorted(df.columns))))
 
 
-def synthetic(spark: SparkSession, n: int = 3000, numbers: int = 24, seed: int = 42) -> DataFrame:
-    """Rows with numbers, flags, categories, missing values and a rare outcome that depends on an interaction.
+def made_up(spark: SparkSession, n: int, measures: int, groups: int, rate: float, holes: float, seed: int) -> DataFrame:
+    """Rows for trying things out: measures, a group and an outcome of mean ``rate``.
 
-    Every cell is a hash of its row, so any number of tasks gives the same rows.
+    Measures are even on [0, 1); the outcome's chance is ``rate`` times the
+    sum of the first two. The k-th measure is missing in ``holes`` * k /
+    ``measures`` of the rows. Every cell is a hash of its row and name, so any
+    number of tasks gives the same rows.
     """
+    draw = lambda name: uniform(F.lit(name), "row_id", seed=seed)
     row = spark.range(n).withColumnRenamed("id", "row_id")
-    normal = lambda k: F.sqrt(-2 * F.log(1 - uniform("row_id", seed=seed * 1000 + 2 * k))) * F.cos(2 * 3.141592653589793 * uniform("row_id", seed=seed * 1000 + 2 * k + 1))
-    u = lambda k: uniform("row_id", seed=seed * 1000 + 500 + k)
-    df = row.select("row_id", *(normal(k).alias(f"NUM_{k:02d}") for k in range(numbers)))
-    df = df.withColumns(
-        {
-            "FLAG_A": (u(0) < 0.3).cast("int"),
-            "FLAG_B": (u(1) < 0.6).cast("int"),
-            "CAT_TYPE": F.when(u(2) < 0.6, "A").when(u(2) < 0.9, "B").otherwise("C"),
-            "CAT_JOB": F.when(u(3) >= 0.1, F.concat(F.lit("o"), F.floor(u(4) * 12).cast("string"))),
-            "CAT_RARE": F.when(u(5) < 0.9, "x").when(u(5) < 0.97, "y").when(u(5) < 0.99, "z").otherwise("w"),
-        }
-    )
-    odds = -3.0 + 0.8 * F.col("NUM_00") - 0.5 * F.col("NUM_01") + 0.6 * F.col("NUM_02") * F.col("FLAG_A")
-    df = df.withColumn("TARGET", (u(6) < 1 / (1 + F.exp(-odds))).cast("int"))
-    return df.withColumns({"NUM_03": F.when(u(7) >= 0.15, F.col("NUM_03")), "NUM_07": F.when(u(8) >= 0.4, F.col("NUM_07"))})
+    shown = [F.when(draw(f"hole{k}") >= holes * k / measures, draw(f"x{k}")).alias(f"x{k}") for k in range(1, measures + 1)]
+    group = F.concat(F.lit("g"), F.floor(draw("group") * groups).cast("int").cast("string"))
+    return row.select("row_id", *shown, group.alias("grp"), (draw("outcome") < rate * (draw("x1") + draw("x2"))).cast("int").alias("outcome"))

@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is configured."""
+    """The cluster's shared folder; where none is configured, a temporary one in local mode and an error on a cluster."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "gneiss")
 
 
