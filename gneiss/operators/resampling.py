@@ -54,9 +54,14 @@ def stationary_indices(n: int, length: float, rng: np.random.Generator) -> np.nd
     return (jump[at] + np.arange(n) - at) % n
 
 
-def confidence_set(losses: np.ndarray, names: Sequence[str], alpha: float = 0.1, length: float = 5.0, n: int = 1000, seed: int = 42) -> dict[str, float]:
-    """Model confidence set (range statistic): each model's p-value; those over alpha are in the set."""
-    rng, alive, out, running = np.random.default_rng(seed), list(range(losses.shape[1])), {}, 0.0
+def confidence_set(losses: np.ndarray, names: Sequence[str], alpha: float = 0.1, length: float = 5.0, n: int = 1000, seed: int = 42) -> dict[str, tuple[float, bool]]:
+    """Model confidence set (range statistic): each model's p-value, and whether it is in the set (p over alpha).
+
+    Models of equal losses are one model and share its p-value.
+    """
+    distinct, group = np.unique(losses, axis=1, return_inverse=True)
+    first = [int(np.flatnonzero(group == g)[0]) for g in range(distinct.shape[1])]
+    rng, alive, out, running = np.random.default_rng(seed), sorted(first), {}, 0.0
     means = np.array([losses[stationary_indices(len(losses), length, rng)].mean(0) for _ in range(n)])
     while len(alive) > 1:
         m, boot = losses[:, alive].mean(0), means[:, alive]
@@ -66,13 +71,13 @@ def confidence_set(losses: np.ndarray, names: Sequence[str], alpha: float = 0.1,
         p = float((np.abs(centred / sd).max((1, 2)) >= t.max()).mean())
         running = max(running, p)
         worst = int((d / sd).max(1).argmax())
-        out[names[alive.pop(worst)]] = running
-    out[names[alive[0]]] = 1.0
-    return out
+        out[group[alive.pop(worst)]] = running
+    out[group[alive[0]]] = 1.0
+    return {name: (out[g], out[g] > alpha) for name, g in zip(names, group, strict=True)}
 
 
-def reality_check(benchmark: np.ndarray, losses: np.ndarray, length: float = 5.0, n: int = 1000, seed: int = 42) -> dict[str, float]:
-    """p-values of "no model beats the benchmark": reality check and the studentised test with recentring."""
+def reality_check(benchmark: np.ndarray, losses: np.ndarray, length: float = 5.0, n: int = 1000, seed: int = 42, alpha: float = 0.05) -> dict[str, float]:
+    """p-values of "no model beats the benchmark": reality check and the studentised test with recentring; and how many models a stepwise test at ``alpha`` finds better."""
     rng, gain = np.random.default_rng(seed), benchmark[:, None] - losses
     size, mean = len(gain), gain.mean(0)
     boot = np.array([gain[stationary_indices(size, length, rng)].mean(0) for _ in range(n)])
@@ -80,7 +85,14 @@ def reality_check(benchmark: np.ndarray, losses: np.ndarray, length: float = 5.0
     kept = mean >= -sd / np.sqrt(size) * np.sqrt(2 * np.log(np.log(max(size, 16))))
     white = np.sqrt(size) * (boot - mean).max(1)
     spa = np.maximum((np.sqrt(size) * (boot - mean * kept) / sd).max(1), 0)
-    return {"reality_check": float((white >= np.sqrt(size) * mean.max()).mean()), "spa": float((spa >= max((np.sqrt(size) * mean / sd).max(), 0)).mean())}
+    better, left = 0, np.arange(gain.shape[1])
+    while len(left):  # the critical value falls as models that are better leave
+        limit = np.quantile((np.sqrt(size) * (boot - mean)[:, left]).max(1), 1 - alpha)
+        found = np.sqrt(size) * mean[left] > limit
+        better, left = better + int(found.sum()), left[~found]
+        if not found.any():
+            break
+    return {"better": float(better), "reality_check": float((white >= np.sqrt(size) * mean.max()).mean()), "spa": float((spa >= max((np.sqrt(size) * mean / sd).max(), 0)).mean())}
 
 
 def white_test(df: DataFrame) -> DataFrame:

@@ -55,6 +55,19 @@ BLOCKS_SQL = f"""models as (select * from (values ('a', 0.00), ('b', 0.01), ('c'
     select p_partkey as block, model, round(0.7 + gain + 0.05 * {uniform_sql('p_partkey', 'model', seed=7)}, 3) as score from part, models)"""
 
 
+#: A log of launches, an entry for each event; every third kind of event ends in an error.
+LOG_SQL = """log as (
+    select user_id as unit, event_type as method, '== launch ' || cast(event_id as varchar) || chr(10) || case event_id % 6
+        when 0 then 'TimeoutError: no result after 60 s' when 2 then 'MemoryError: unable to allocate 3 GB' when 4 then 'ValueError: input contains NaN' else 'done: no Error: here' end || chr(10) || 'end' as entry
+    from events)"""
+
+
+def log(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id") % 6
+    outcome = F.when(k == 0, "TimeoutError: no result after 60 s").when(k == 2, "MemoryError: unable to allocate 3 GB").when(k == 4, "ValueError: input contains NaN").otherwise("done: no Error: here")
+    return table(spark, d, "events").select(F.col("user_id").alias("unit"), F.col("event_type").alias("method"), F.concat(F.lit("== launch "), F.col("event_id").cast("string"), F.lit("\n"), outcome, F.lit("\nend")).alias("entry"))
+
+
 def clients(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", (F.col("c_acctbal") < 0).cast("int").alias("target"))
 

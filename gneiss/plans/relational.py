@@ -321,9 +321,16 @@ def json_parameters(spark, d) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type", F.get_json_object("props", "$.k").cast("int").alias("k")).agg(F.count("*").alias("n"))
 
 
-@query("log_errors", "select page_id, len(regexp_extract_all(html, '<[a-z]+')) as tags, regexp_matches(html, '(?i)<title>') as titled from pages", "page_id, tags, titled")
+@query(
+    "log_errors",
+    f"""with {P.LOG_SQL} select unit, sum(len(regexp_extract_all(entry, '(?m)^== launch \\d+'))) as launches, sum(len(regexp_extract_all(entry, '(?m)^\\w+Error: '))) as errors,
+        max(regexp_extract(entry, '(?m)^(\\w+Error): ', 1)) as last_name from log group by unit""",
+    "unit, launches, errors, last_name",
+)
 def log_errors(spark, d) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", F.regexp_count("html", F.lit("<[a-z]+")).cast("long").alias("tags"), F.col("html").rlike("(?i)<title>").alias("titled"))
+    """Launches and errors in a log of entries of several lines, by patterns anchored to line starts."""
+    count = lambda pattern: F.sum(F.regexp_count("entry", F.lit(pattern))).cast("long")
+    return P.log(spark, d).groupBy("unit").agg(count(r"(?m)^== launch \d+").alias("launches"), count(r"(?m)^\w+Error: ").alias("errors"), F.max(F.regexp_extract("entry", r"(?m)^(\w+Error): ", 1)).alias("last_name"))
 
 
 @query(

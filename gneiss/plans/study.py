@@ -6,6 +6,8 @@ evaluations, ``value`` the score, ``event_type`` the search method.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,13 +171,19 @@ def work_gaps(spark, d) -> DataFrame:
 
 @query(
     "failure_causes",
-    """select case when lower(text) like '%time%' then 'timeout' when lower(text) like '%mem%' then 'memory' when lower(text) like '%not%' then 'missing' else 'other' end as cause, role, count(*) as n from conversations group by 1, 2""",
-    "cause, role, n",
+    f"""with {P.LOG_SQL}, e as (select unit, method, regexp_extract(entry, '(?m)^(\\w+Error: .*)$', 1) as error from log)
+        select case when error like '%Timeout%' then 'time' when error like '%allocate%' or error like '%Memory%' then 'memory' when error like '%NaN%' then 'missing values' when error like '%converge%' then 'convergence' else 'other' end as cause,
+        method, unit % 5 as fold, count(*) as n, case when error like '%Timeout%' or error like '%allocate%' then 'again with fewer rows at once' when error like '%converge%' then 'more steps' else 'by hand' end as repair
+        from e where error <> '' group by all""",
+    "cause, method, fold, n, repair",
 )
 def failure_causes(spark, d) -> DataFrame:
-    low = F.lower("text")
-    cause = F.when(low.contains("time"), "timeout").when(low.contains("mem"), "memory").when(low.contains("not"), "missing").otherwise("other")
-    return table(spark, d, "conversations").groupBy(cause.alias("cause"), "role").agg(F.count("*").alias("n"))
+    """Errors of the log by cause, method and fold, with what is done about each."""
+    e = P.log(spark, d).select("unit", "method", F.regexp_extract("entry", r"(?m)^(\w+Error: .*)$", 1).alias("error")).where("error <> ''")
+    has = lambda *words: reduce(lambda a, b: a | b, (F.col("error").contains(w) for w in words))
+    cause = F.when(has("Timeout"), "time").when(has("allocate", "Memory"), "memory").when(has("NaN"), "missing values").when(has("converge"), "convergence").otherwise("other")
+    repair = F.when(has("Timeout", "allocate"), "again with fewer rows at once").when(has("converge"), "more steps").otherwise("by hand")
+    return e.groupBy(cause.alias("cause"), "method", (F.col("unit") % 5).alias("fold"), repair.alias("repair")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -342,7 +350,7 @@ def confidence_set(spark, d) -> DataFrame:
 
     e = P.errors(spark, d).select("row", (F.col("e1") * F.col("e1")).alias("a"), (F.col("e2") * F.col("e2")).alias("b"))
     found = resampling.confidence_set(resampling.block_series(e, ["a", "b"], 100), ["a", "b"])
-    return spark.createDataFrame(list(found.items()), "model string, p double")
+    return spark.createDataFrame([(model, p, kept) for model, (p, kept) in found.items()], "model string, p double, in_set boolean")
 
 
 @query("reality_check")
@@ -379,5 +387,9 @@ def search_history(spark, d) -> DataFrame:
         model = learners.learner("logistic_l2", NUMBERS, "y", maxIter=10, **p).fit(train)
         return metrics.ranking(learners.scores(model, test)).first().auc
 
-    rows = [(m, h["t"], float(h["score"]), float(h["best"]), float(h["params"]["regParam"])) for m in search.METHODS for h in search.search(m, space, auc, 4).history]
+    try:
+        rows = [(m, h["t"], float(h["score"]), float(h["best"]), float(h["params"]["regParam"])) for m in search.METHODS for h in search.search(m, space, auc, 4).history]
+    finally:
+        train.unpersist()
+        test.unpersist()
     return spark.createDataFrame(rows, "method string, t int, score double, best double, reg_param double")

@@ -49,8 +49,10 @@ def test_intervals_and_sets():
     point, low, high = resampling.bootstrap_bca(lambda a: float(a.mean()), x, n=500)
     assert low < point < high and high - low < 0.5
     losses = np.column_stack([rng.normal(1, 0.3, 300), rng.normal(1, 0.3, 300), rng.normal(2, 0.3, 300)])
-    p = resampling.confidence_set(losses, ["a", "b", "c"], n=300)
-    assert p["c"] < 0.05 < max(p["a"], p["b"])
+    p = resampling.confidence_set(np.column_stack((losses, losses[:, 0])), ["a", "b", "c", "a again"], n=300)
+    assert p["a"] == p["a again"] and p["a"][1] and not p["c"][1]
+    assert resampling.confidence_set(losses, ["a", "b", "c"], alpha=0.0, n=300)["a"] == (1.0, True)
+    assert resampling.reality_check(losses[:, 2], losses[:, :2], n=300)["better"] >= 1 > resampling.reality_check(losses[:, 0], losses[:, 2:], n=300)["better"]
     assert resampling.reality_check(losses[:, 2], losses[:, :2], n=300)["spa"] < 0.05
     assert resampling.reality_check(losses[:, 0], losses[:, 2:], n=300)["reality_check"] > 0.5
     i = resampling.stationary_indices(50, 5, np.random.default_rng(random.Random(1).randint(0, 9)))
