@@ -3,8 +3,8 @@
 Every byte that a 100-byte string covers which also starts earlier is removed.
 Comparing the suffix at every byte would move hundreds of bytes for each byte
 of text. Instead each 100-byte string is represented by one suffix inside it:
-the one whose 50 leading bytes have the smallest hash (the leftmost of equal
-ones). The choice depends on the string alone, so equal strings are
+the one whose 50 leading bytes have the smallest hash (of which half the bits
+count; the leftmost of equal ones). The choice depends on the string alone, so equal strings are
 represented by equal suffixes at the same place, and about one suffix in 26 is
 kept; neighbouring strings that share their suffix are a run.
 
@@ -71,23 +71,22 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     n = len(data) - LENGTH + 1
     if n <= 0:
         return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    lead = T.span_hash(T.prefix_hash(data), np.arange(len(data) - LEAD + 1), np.arange(LEAD, len(data) + 1))
-    low, at = lead, np.arange(len(lead), dtype=np.int32)
+    lead = T.window_hashes(data, LEAD)
+    # half of the hash above the place: the least is the leftmost of the smallest
+    low = (lead & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(lead), dtype=np.uint64)
     width = 1
     while width * 2 <= PLACES:
-        left = low[:-width] <= low[width:]
-        low, at = np.where(left, low[:-width], low[width:]), np.where(left, at[:-width], at[width:])
+        low = np.minimum(low[:-width], low[width:])
         width *= 2
     rest = PLACES - width
-    left = low[: len(low) - rest] <= low[rest:]
-    at = np.where(left, at[: len(at) - rest], at[rest:])[:n]
+    at = (np.minimum(low[: len(low) - rest], low[rest:])[:n] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     whole = row[:n] == row[LENGTH - 1 :]
     new = np.ones(n, bool)
     new[1:] = (at[1:] != at[:-1]) | (row[1:n] != row[: n - 1]) | ~whole[:-1]
     first = np.flatnonzero(new & whole)
     last = np.flatnonzero(whole & np.concatenate((new[1:] | ~whole[1:], [True])))
-    suffix = at[first].astype(np.int64)
+    suffix = at[first]
     head = np.zeros(len(suffix), np.uint64)
     for j in range(8):
         head = (head << np.uint64(8)) | data[suffix + j]

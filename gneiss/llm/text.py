@@ -77,6 +77,13 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * inverse[start] ^ mix((end - start).astype(np.uint64)))
 
 
+def window_hashes(data: np.ndarray, n: int) -> np.ndarray:
+    """:func:`span_hash` of the n bytes from each place that has as many."""
+    sums = prefix_hash(data)
+    size = mix(np.array([n], np.uint64))
+    return mix((sums[n:] - sums[:-n]) * _power(_INVERSE, len(sums))[: len(sums) - n] ^ size)
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and row of each word, a run of bytes that aren't white space."""
     if not len(data):
