@@ -6,6 +6,8 @@ table go by range partitions (``operators/order.py``).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +46,7 @@ def autocovariances(df: DataFrame, lags: int) -> DataFrame:
     """``n``, ``mean`` and sums ``g0`` .. ``g<lags>`` of products of the centred ``x`` and its lags, over ``row``."""
     known = df.select("row", "x").where("x is not null")
     centred = known.crossJoin(known.agg(F.avg("x").alias("mean"))).withColumn("x", F.col("x") - F.col("mean"))
-    both = order.lagged(centred, "row", "x", range(1, lags + 1))
+    both = order.lagged(centred, "row", "x", range(1, lags + 1)) if lags else centred
     return both.agg(F.count("*").alias("n"), F.max("mean").alias("mean"), F.sum(F.col("x") * F.col("x")).alias("g0"), *(F.sum(F.col("x") * F.col(f"lag_{k}")).alias(f"g{k}") for k in range(1, lags + 1)))
 
 
@@ -87,14 +89,17 @@ def cohen_paired(df: DataFrame) -> DataFrame:
     return df.agg(F.avg(d).alias("mean"), F.stddev(d).alias("sd"), F.count(d).alias("n")).withColumn("d", F.try_divide("mean", "sd"))
 
 
-def diebold_mariano(df: DataFrame, h: int = 1) -> DataFrame:
-    """Diebold-Mariano statistic of squared errors ``e1``, ``e2``, with the small-sample factor."""
-    d = df.select("row", (F.col("e1") * F.col("e1") - F.col("e2") * F.col("e2")).alias("x"))
-    t = d.agg(F.avg("x").alias("mean"), F.var_pop("x").alias("g0"), F.count("*").alias("n"))
-    if h > 1:
-        raise NotImplementedError("one step ahead only")
-    factor = F.sqrt((F.col("n") + 1 - 2 * h + h * (h - 1) / F.col("n")) / F.col("n"))
-    return t.select("n", "mean", (F.try_divide("mean", F.sqrt(F.col("g0") / F.col("n"))) * factor).alias("dm"))
+def diebold_mariano(df: DataFrame, h: int = 1, power: int = 2) -> DataFrame:
+    """Diebold-Mariano statistic of errors ``e1``, ``e2`` under the loss |e|^power, ``h`` steps ahead, with the small-sample factor.
+
+    The variance of the mean takes the autocovariances of the h - 1 nearest
+    lags; no statistic where their sum isn't positive.
+    """
+    t = autocovariances(df.select("row", (F.pow(F.abs("e1"), power) - F.pow(F.abs("e2"), power)).alias("x")), h - 1)
+    n = F.col("n")
+    variance = (F.col("g0") + reduce(lambda a, b: a + b, (2 * F.col(f"g{k}") for k in range(1, h)), F.lit(0.0))) / n / n
+    factor = F.sqrt((n + 1 - 2 * h + h * (h - 1) / n) / n)
+    return t.select("n", "mean", F.when(variance > 0, F.col("mean") / F.sqrt(variance) * factor).alias("dm"))
 
 
 def giacomini_white(df: DataFrame) -> DataFrame:

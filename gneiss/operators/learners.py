@@ -39,10 +39,15 @@ def naive_bayes(train: DataFrame, rows: DataFrame, columns: Sequence[str], targe
     return rows.withColumn("s", odds)
 
 
-def knn_scores(train: DataFrame, rows: DataFrame, k: int, weights: str = "uniform") -> DataFrame:
-    """Share of class 1 among the k nearest training rows; with "distance", weighted by 1 / (d + 1e-6)."""
+def knn_scores(train: DataFrame, rows: DataFrame, k: int, weights: str = "uniform", positive: float = 1.0) -> DataFrame:
+    """Mean of ``y`` of the k nearest training rows; with "distance", weighted by 1 / (d + 1e-6).
+
+    Rows of class 1 weigh ``positive`` times as much. For other values of
+    ``y`` the mean is a regression.
+    """
     near = nearest(rows.select("id", "embedding"), train.select("id", "embedding"), k).join(train.select(F.col("id").alias("point"), "y"), "point")
     w = F.lit(1.0) if weights == "uniform" else 1 / (F.col("distance") + 1e-6)
+    w = w * F.when(F.col("y") == 1, positive).otherwise(1.0) if positive != 1.0 else w
     return near.groupBy(F.col("query").alias("id")).agg((F.sum(w * F.col("y")) / F.sum(w)).alias("s"))
 
 

@@ -7,24 +7,30 @@ are over distinct scores and ties need no care.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.operators import order
 
 
-def score_table(df: DataFrame, by: str | None = None) -> DataFrame:
+def _keys(by: str | Sequence[str] | None) -> list[str]:
+    return [by] if isinstance(by, str) else list(by or [])
+
+
+def score_table(df: DataFrame, by: str | Sequence[str] | None = None) -> DataFrame:
     """Counts of each distinct score, with running true and false positives from the top."""
-    keys = [by] if by else []
+    keys = _keys(by)
     rows = df.where("y is not null and s is not null").groupBy(*keys, "s").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
     sums = order.running(rows, [F.desc("s")], {"tp": F.col("pos"), "upto": F.col("n")}, keys).withColumn("fp", F.col("upto") - F.col("tp")).drop("upto")
     whole = rows.groupBy(*keys).agg(F.sum("pos").alias("p"), F.sum("n").alias("all_n"))
     return sums.join(whole, keys) if keys else sums.crossJoin(whole)
 
 
-def ranking(df: DataFrame, by: str | None = None) -> DataFrame:
+def ranking(df: DataFrame, by: str | Sequence[str] | None = None) -> DataFrame:
     """AUC (by ranks, ties half) and average precision (step sum, ties grouped)."""
-    keys = [by] if by else []
+    keys = _keys(by)
     t = score_table(df, by).withColumn("neg", F.col("n") - F.col("pos"))
     auc = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") + F.col("pos") / 2))
     ap = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
@@ -45,24 +51,25 @@ def confusion(df: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def best_thresholds(df: DataFrame, cost_fn: float = 10.0) -> DataFrame:
+def best_thresholds(df: DataFrame, cost_fn: float = 10.0, by: str | Sequence[str] | None = None) -> DataFrame:
     """Thresholds of least cost (cost_fn * FN + FP), largest Youden J and largest F1.
 
     Ties go to the larger score. Calling nothing positive is also weighed for
     the cost; its threshold is null.
     """
-    t = score_table(df)
+    keys = _keys(by)
+    t = score_table(df, keys)
     cost = cost_fn * (F.col("p") - F.col("tp")) + F.col("fp")
     j = F.try_divide("tp", "p") - F.try_divide("fp", F.col("all_n") - F.col("p"))
     f1 = F.try_divide(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("p"))
-    best = t.agg(
+    best = t.groupBy(*keys).agg(
         F.min(F.struct(cost.alias("v"), (-F.col("s")).alias("m"))).alias("c"),
         F.max(F.struct(j.alias("v"), F.col("s").alias("m"))).alias("j"),
         F.max(F.struct(f1.alias("v"), F.col("s").alias("m"))).alias("f"),
         (F.max("p") * cost_fn).alias("none"),
     )
     return best.select(
-        F.when(F.col("c.v") <= F.col("none"), -F.col("c.m")).alias("cost_threshold"), F.least("c.v", "none").alias("cost"), F.col("j.m").alias("youden_threshold"), F.col("j.v").alias("youden"),
+        *keys, F.when(F.col("c.v") <= F.col("none"), -F.col("c.m")).alias("cost_threshold"), F.least("c.v", "none").alias("cost"), F.col("j.m").alias("youden_threshold"), F.col("j.v").alias("youden"),
         F.col("f.m").alias("f1_threshold"), F.col("f.v").alias("f1"),
     )
 

@@ -6,6 +6,7 @@ bounded matrix of at most MAX_BLOCKS rows; only that reaches the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from statistics import NormalDist
 
@@ -54,6 +55,34 @@ def stationary_indices(n: int, length: float, rng: np.random.Generator) -> np.nd
     return (jump[at] + np.arange(n) - at) % n
 
 
+def block_length(x: np.ndarray) -> float:
+    """Mean block length of the stationary bootstrap by the automatic rule of Politis and White (flat-top window, 2009 correction)."""
+    n, d = len(x), x - x.mean()
+    run, most = max(5, math.ceil(math.sqrt(math.log10(n)))), math.ceil(math.sqrt(n))
+    most = min(most + run, n - 1)
+    g = np.array([d[k:] @ d[: n - k] / n for k in range(most + 1)])
+    if g[0] <= 0:
+        return 1.0
+    small = np.abs(g[1:] / g[0]) < 2 * math.sqrt(math.log10(n) / n)
+    quiet = [m for m in range(len(small) - run + 1) if small[m : m + run].all()]
+    large = np.flatnonzero(~small)
+    m = quiet[0] if quiet else int(large[-1]) + 1 if len(large) else 1
+    reach = min(2 * max(m, 1), most)
+    k = np.arange(1, reach + 1)
+    window = np.where(k / reach <= 0.5, 1.0, 2 * (1 - k / reach))
+    slope, spectrum = 2 * (window * k * g[k]).sum(), g[0] + 2 * (window * g[k]).sum()
+    best = (slope * slope / (spectrum * spectrum) * n) ** (1 / 3) if spectrum else 1.0
+    return float(min(max(best, 1.0), math.ceil(min(3 * math.sqrt(n), n / 3))))
+
+
+def stationary_interval(x: np.ndarray, n: int = 1000, level: float = 0.95, seed: int = 42) -> tuple[float, float, float, float]:
+    """Mean of a series, its percentile interval under the stationary bootstrap, and the block length."""
+    rng, length = np.random.default_rng(seed), block_length(x)
+    means = np.array([x[stationary_indices(len(x), length, rng)].mean() for _ in range(n)])
+    low, high = np.quantile(means, [(1 - level) / 2, (1 + level) / 2])
+    return float(x.mean()), float(low), float(high), length
+
+
 def confidence_set(losses: np.ndarray, names: Sequence[str], alpha: float = 0.1, length: float = 5.0, n: int = 1000, seed: int = 42) -> dict[str, tuple[float, bool]]:
     """Model confidence set (range statistic): each model's p-value, and whether it is in the set (p over alpha).
 
