@@ -275,7 +275,7 @@ def vector_regression(spark, d) -> DataFrame:
     """Weights of a linear support vector regression, the intercept as "1"."""
     train, _ = _prepared(spark, d)
     train = materialize(train.select(*NUMBERS, F.col("mean_amount").alias("y"), "u"), "rows").withColumn("y", 0.5 * F.col("n_orders") - 0.25 * F.col("closed") + F.col("u"))
-    w = modelling.support_vector_regression(train, NUMBERS, "y", cost=1.0, epsilon=0.1)
+    w = modelling.support_vector_regression(train, NUMBERS, "y", cost=1.0, epsilon=0.1, tolerance=1e-3)
     return spark.createDataFrame([(n, float(b)) for n, b in zip([*NUMBERS, "1"], w, strict=True)], "feature string, weight double")
 
 
