@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import cap_filters, fingerprints, jaccard_join, line_dedup, ngram_quality, packing, pii, suffix_dedup, toxicity, word_bpe
+from gneiss.llm import alignment, cap_filters, fingerprints, jaccard_join, line_dedup, ngram_quality, packing, pii, suffix_dedup, toxicity, word_bpe
 from gneiss.llm.tokenizer_files import tokenizer_path
 from gneiss.sources.storage import table
 
@@ -57,6 +57,10 @@ def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), digests=True)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), digests=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
