@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import alignment, cap_filters, fingerprints, jaccard_join, line_dedup, ngram_quality, packing, pii, suffix_dedup, toxicity, word_bpe
+from gneiss.llm import alignment, cap_filters, collocations, fingerprints, jaccard_join, line_dedup, mixing, ngram_quality, packing, pii, suffix_dedup, toxicity, word_bpe
 from gneiss.llm.tokenizer_files import tokenizer_path
-from gneiss.sources.storage import table
+from gneiss.sources.storage import materialize, table
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,9 +61,19 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), digests=True)
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = materialize(mixing.measure(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "draw"), "measured")
+    rated = table(spark, sf_dir, "labels").groupBy("doc_id").agg((0.5 + 1.5 * F.avg("quality")).alias("weight"))
+    return mixing.plan(docs.join(rated, "doc_id", "left"), F.col("weight")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.oracle()}
+    return {"op5_line_dedup": line_dedup.oracle(), "op12_mixing": mixing.oracle(), "op13_collocations": collocations.oracle()}
