@@ -5,8 +5,8 @@ and greatest word of each hash, so a clash is seen and all is hashed anew. Each
 occurrence of a frequent word is projected onto its prefix: the words after it
 in its piece, up to four. Equal projections of a chunk are one row with a
 count. A prefix is dealt by its first word, so one task has all of its
-occurrences and grows patterns to the right, depth first, over pointers to
-them. A word in more occurrences than a task should hold is hot: its
+occurrences and grows patterns to the right, depth first, over ranges of
+them in order. A word in more occurrences than a task should hold is hot: its
 projections are dealt by as many words as it takes to reach one that isn't, so
 every longer pattern is still counted in one task, and patterns of hot words
 alone are summed over tasks.
@@ -39,9 +39,9 @@ LONGEST, MIN_COUNT, TOP = 5, 100, 2000
 #: Bytes of text in a chunk, and those hashed at a time (a longer text stands alone).
 CHUNK_BYTES, HASHED_BYTES = 8 << 20, 1 << 20
 #: Projections of a task; a word in more occurrences is hot.
-TASK_ROWS = 1_000_000
-#: Packets that a chunk is dealt into at most; more tasks are reached in a second deal.
-FAN = 4096
+TASK_ROWS = 3_000_000
+#: Packets that projections are dealt into at most; more tasks are reached in a second deal.
+FAN = 256
 #: Drop a phrase if a longer one around it has at least so many hundredths of its occurrences.
 INSIDE = 100
 
@@ -122,75 +122,106 @@ def _counted(attempt: int):
     return run
 
 
-def _shard(ids: np.ndarray, size: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
-    """Where projections are dealt: by their words up to the first that isn't hot."""
-    key, open_ = T.mix(ids[:, 0]), hot[:, 0].copy()
-    for j in range(1, ids.shape[1]):
-        open_ &= size > j
-        key = np.where(open_, T.mix(key * np.uint64(0x2545F4914F6CDD1D) + ids[:, j]), key)
-        open_ &= hot[:, j]
-    return (key % np.uint64(shards)).astype(np.int64)
-
-
-def _packet(ids: np.ndarray, n: np.ndarray) -> bytes:
-    """Projections (0: no word) and their counts, compressed."""
-    known, local = np.unique(ids, return_inverse=True)
-    kind = np.uint16 if len(known) < 1 << 16 else np.uint32
-    planes = np.ascontiguousarray(local.reshape(ids.shape).T.astype(kind)).reshape(-1).view(np.uint8).reshape(-1, kind(0).itemsize).T
-    head = np.array([len(known), len(ids), kind(0).itemsize], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join((head.tobytes(), known.tobytes(), np.ascontiguousarray(planes).tobytes(), np.ascontiguousarray(n, np.int64).tobytes())))
-
-
-def _unpacked(packet: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-    data = zstandard.ZstdDecompressor().decompress(packet.as_buffer())
-    k, rows, width = np.frombuffer(data, np.int64, 3).tolist()
-    known = np.frombuffer(data, np.uint64, k, 24)
-    planes = np.frombuffer(data, np.uint8, LONGEST * rows * width, 24 + 8 * k).reshape(width, -1)
-    local = np.ascontiguousarray(planes.T).view(np.uint16 if width == 2 else np.uint32).reshape(LONGEST, rows).T
-    return known[local], np.frombuffer(data, np.int64, rows, 24 + 8 * k + LONGEST * rows * width)
-
-
-def _combined(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal projections as one (but for a few, should their hashes interleave)."""
-    key = T.mix(ids[:, 0])
-    for j in range(1, LONGEST):
-        key = T.mix(key * np.uint64(0x2545F4914F6CDD1D) + ids[:, j])
-    order = np.argsort(key)
-    ids, n = ids[order], n[order]
-    new = np.ones(len(ids), bool)
-    new[1:] = (ids[1:] != ids[:-1]).any(axis=1)
-    return ids[new], np.add.reduceat(n, np.flatnonzero(new)) if len(n) else n
-
-
-def _dealt(ids: np.ndarray, n: np.ndarray, hot: Broadcast, shards: int, digit: int) -> Iterator[pa.RecordBatch]:
-    """Packets by shard, or by groups of ``digit`` shards."""
-    if not len(ids):
-        return
-    size = (ids != 0).sum(axis=1)
-    hot_words = np.stack([passes(hot.value, np.ascontiguousarray(ids[:, j])) for j in range(LONGEST)], axis=1)
-    shard = _shard(ids, size, hot_words, shards) // digit
-    order = np.argsort(shard, kind="stable")
-    used, start = np.unique(shard[order], return_index=True)
-    for s, a, b in zip(used.tolist(), start.tolist(), [*start[1:].tolist(), len(order)], strict=True):
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([_packet(ids[order[a:b]], n[order[a:b]])], pa.binary())], ["shard", "packet"])
+class _Projections:
+    """Rows of up to LONGEST words, each a place in ``known`` (hashes, 0: no word), with a count."""
+
+    def __init__(self, known: np.ndarray, local: np.ndarray, n: np.ndarray):
+        self.known, self.local, self.n = known, local, n
+
+    @classmethod
+    def of(cls, parts: list[_Projections]) -> _Projections:
+        """Several as one: words by how often they are there, rows in order, equal rows summed."""
+        known = np.unique(np.concatenate([np.zeros(1, np.uint64), *(p.known for p in parts)]))
+        local = np.concatenate([np.searchsorted(known, p.known).astype(np.uint32)[p.local] for p in parts])
+        n = np.concatenate([p.n for p in parts])
+        times = np.bincount(local.reshape(-1), minlength=len(known))
+        times[0] = -1  # no word comes last, so shorter rows follow longer ones
+        frequent = np.argsort(-times, kind="stable")
+        place = np.empty(len(known), np.uint32)
+        place[frequent] = np.arange(len(known), dtype=np.uint32)
+        known, local = known[frequent], place[local]
+        if len(known) < 1 << 21:
+            first, second = (local[:, i].astype(np.uint64) << np.uint64(42) | local[:, i + 1].astype(np.uint64) << np.uint64(21) | (local[:, i + 2] if i + 2 < LONGEST else np.uint32(0)) for i in (0, 3))
+            order = np.lexsort((second, first))
+        else:
+            order = np.lexsort(local.T[::-1])
+        local, n = local[order], n[order]
+        new = np.ones(len(local), bool)
+        new[1:] = (local[1:] != local[:-1]).any(axis=1)
+        return cls(known, local[new], np.add.reduceat(n, np.flatnonzero(new)) if len(n) else n)
+
+    @classmethod
+    def read(cls, packet: pa.Scalar) -> _Projections:
+        data = zstandard.ZstdDecompressor().decompress(packet.as_buffer())
+        k, rows, width = np.frombuffer(data, np.int64, 3).tolist()
+        planes = np.frombuffer(data, np.uint8, LONGEST * rows * width, 24 + 8 * k).reshape(width, -1)
+        local = np.ascontiguousarray(planes.T).view(np.uint16 if width == 2 else np.uint32).reshape(LONGEST, rows).T
+        return cls(np.frombuffer(data, np.uint64, k, 24), local.astype(np.uint32), np.frombuffer(data, np.int64, rows, 24 + 8 * k + LONGEST * rows * width))
+
+    def packet(self, rows: np.ndarray) -> bytes:
+        """Some rows, compressed by columns and byte planes with the words that they have."""
+        local = self.local[rows]
+        used = np.zeros(len(self.known), bool)
+        used[local] = True
+        local = (np.cumsum(used) - 1)[local]
+        kind = np.uint16 if used.sum() < 1 << 16 else np.uint32
+        planes = np.ascontiguousarray(local.T.astype(kind)).reshape(-1).view(np.uint8).reshape(-1, kind(0).itemsize).T
+        head = np.array([used.sum(), len(local), kind(0).itemsize], np.int64)
+        return zstandard.ZstdCompressor(level=3).compress(b"".join((head.tobytes(), self.known[used].tobytes(), np.ascontiguousarray(planes).tobytes(), self.n[rows].tobytes())))
+
+    def shard(self, hot: np.ndarray, shards: int) -> np.ndarray:
+        """Where rows are dealt: by their words up to the first that isn't hot."""
+        hot = passes(hot, self.known)
+        key, more = T.mix(self.known[self.local[:, 0]]), hot[self.local[:, 0]]
+        for j in range(1, LONGEST):
+            word = self.known[self.local[:, j]]
+            more = more & (word != 0)
+            key = np.where(more, T.mix(key * np.uint64(0x2545F4914F6CDD1D) + word), key)
+            more &= hot[self.local[:, j]]
+        return (key % np.uint64(shards)).astype(np.int64)
+
+    def dealt(self, hot: np.ndarray, shards: int, digit: int) -> Iterator[pa.RecordBatch]:
+        """Packets by shard, or by groups of ``digit`` shards."""
+        shard = self.shard(hot, shards) // digit
+        order = np.argsort(shard, kind="stable")
+        used, start = np.unique(shard[order], return_index=True)
+        ends = [*start[1:].tolist(), len(order)][: len(used)]
+        for s, a, b in zip(used.tolist(), start.tolist(), ends, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([self.packet(order[a:b])], pa.binary())], ["shard", "packet"])
+
+
+def _dealt(found: Iterator[_Projections], hot: np.ndarray, shards: int, digit: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Packets of projections, ``most`` or so put together first."""
+    parts, size = [], 0
+    for p in found:
+        parts.append(p)
+        size += len(p.n)
+        if size >= most:
+            yield from _Projections.of(parts).dealt(hot, shards, digit)
+            parts, size = [], 0
+    if parts:
+        yield from _Projections.of(parts).dealt(hot, shards, digit)
 
 
 def _projected(attempt: int, frequent: Broadcast, hot: Broadcast, shards: int, digit: int):
-    """Projections of a chunk's frequent words."""
+    """Projections of a task's frequent words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[_Projections]:
         for _, _, _, _, _, piece, _, hashes in _chunked(batches, attempt, _word_hashes, CHUNK_BYTES, HASHED_BYTES):
             kept = passes(frequent.value, hashes) & (hashes != 0)
             # a word that isn't frequent ends a run, as the end of a piece does
             run_ = np.cumsum(np.concatenate(([True], piece[1:] != piece[:-1])) | ~kept) if len(piece) else piece
-            hashes, run_ = hashes[kept], run_[kept]
-            ids = np.zeros((len(hashes), LONGEST), np.uint64)
-            ids[:, 0] = hashes
+            known, word = np.unique(hashes[kept], return_inverse=True)
+            run_, word = run_[kept], word + 1
+            local = np.zeros((len(word), LONGEST), np.uint32)
+            local[:, 0] = word
             for j in range(1, LONGEST):
-                same = run_[j:] == run_[:-j]
-                ids[:-j, j][same] = hashes[j:][same]
-            ids = ids[ids[:, 1] != 0]
-            yield from _dealt(*_combined(ids, np.ones(len(ids), np.int64)), hot, shards, digit)
+                local[:-j, j] = np.where(run_[j:] == run_[:-j], word[j:], 0)
+            local = local[local[:, 1] != 0]
+            yield _Projections(np.concatenate((np.zeros(1, np.uint64), known)), local, np.ones(len(local), np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _dealt(found(batches), hot.value, shards, digit, TASK_ROWS)
 
     return run
 
@@ -199,16 +230,7 @@ def _second_deal(hot: Broadcast, shards: int):
     """Packets of groups of shards, put together and dealt by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
-        for batch in batches:
-            for packet in batch.column("packet"):
-                parts.append(_unpacked(packet))
-                size += len(parts[-1][1])
-                if size >= TASK_ROWS:
-                    yield from _dealt(*_combined(*map(np.concatenate, zip(*parts, strict=True))), hot, shards, 1)
-                    parts, size = [], 0
-        if parts:
-            yield from _dealt(*_combined(*map(np.concatenate, zip(*parts, strict=True))), hot, shards, 1)
+        return _dealt((_Projections.read(p) for batch in batches for p in batch.column("packet")), hot.value, shards, 1, TASK_ROWS)
 
     return run
 
@@ -217,38 +239,34 @@ def _grown(hot: Broadcast, min_count: int):
     """Patterns of a shard's projections with their counts."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, n = map(np.concatenate, zip(*(_unpacked(p) for p in table.column("packet")), strict=True))
-        ids, n = _combined(ids, n)
-        known, local = np.unique(ids, return_inverse=True)
-        local = local.reshape(ids.shape)
-        hot_words = passes(hot.value, known)
+        rows = _Projections.of([_Projections.read(p) for p in table.column("packet")])
+        none, hot_words = int(np.flatnonzero(rows.known == 0)[0]), passes(hot.value, rows.known)
+        upto = np.concatenate(([0], np.cumsum(rows.n)))
         phrases, counts = [], []
 
-        def grow(pointers: np.ndarray, prefix: tuple[int, ...], summed: bool) -> None:
-            """All patterns that go on from ``prefix``; ``summed``: its words are hot, other tasks may count it too."""
+        def grow(first: int, last: int, prefix: tuple[int, ...], summed: bool) -> None:
+            """All patterns that go on from ``prefix``, whose projections are rows ``first`` to ``last``; ``summed``: its words are hot, other tasks may count it too."""
             depth = len(prefix)
-            following = local[pointers, depth]
-            order = np.argsort(following, kind="stable")
-            pointers, following = pointers[order], following[order]
-            starts = np.flatnonzero(np.concatenate(([True], following[1:] != following[:-1])))
-            sums = np.add.reduceat(n[pointers], starts)
-            ends = np.append(starts[1:], len(pointers))
-            for word, a, b, count in zip(following[starts].tolist(), starts.tolist(), ends.tolist(), sums.tolist(), strict=True):
-                if known[word] == 0:
-                    continue
+            following = rows.local[first:last, depth]
+            starts = first + np.flatnonzero(np.concatenate(([True], following[1:] != following[:-1])))
+            ends = np.append(starts[1:], last)
+            sums = upto[ends] - upto[starts]
+            kept = (sums >= min_count) | (hot_words[rows.local[starts, depth]] if summed else False)
+            for a, b, count in zip(starts[kept].tolist(), ends[kept].tolist(), sums[kept].tolist(), strict=True):
+                word = int(rows.local[a, depth])
                 partly = summed and bool(hot_words[word]) and depth + 1 < LONGEST
-                if count < min_count and not partly:
+                if word == none or (count < min_count and not partly):
                     continue
                 longer = (*prefix, word)
                 if depth:
                     phrases.append(longer)
                     counts.append(count)
                 if depth + 1 < LONGEST:
-                    grow(pointers[a:b], longer, partly)
+                    grow(a, b, longer, partly)
 
-        if len(ids):
-            grow(np.arange(len(ids)), (), True)
-        big = known.astype(">u8")
+        if len(rows.n):
+            grow(0, len(rows.n), (), True)
+        big = rows.known.astype(">u8")
         return pa.table({"phrase": pa.array([big[list(p)].tobytes() for p in phrases], pa.binary()), "n": pa.array(counts, pa.int64())})
 
     return run
@@ -366,7 +384,7 @@ def oracle() -> str:
         select c.lang, c.phrase, c.n as a, x.n as l, y.n as r, s.n as n, k, cast(1000 as hugeint) * c.n * s.n // (cast(x.n as hugeint) * y.n) as score
         from cuts c join sizes s using (lang)
         join counts x on x.lang = c.lang and x.phrase = array_to_string(string_split(c.phrase, ' ')[1:k], ' ')
-        join counts y on y.lang = c.lang and y.phrase = array_to_string(string_split(c.phrase, ' ')[k + 1:m], ' ')),
+        join counts y on y.lang = c.lang and y.phrase = array_to_string(string_split(c.phrase, ' ')[k + 1:c.m], ' ')),
     weakest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
     ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from weakest)
     select lang, cast(rank as bigint) as rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, cast(n as bigint) as n, cast(score as bigint) as score
