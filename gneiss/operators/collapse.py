@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.operators.quantiles import quantiles, wide
+
 STATS = ("mean", "max", "min", "sum")
 
 
@@ -88,19 +90,13 @@ def crosstab(df: DataFrame, row: str, column: str, values: Sequence) -> DataFram
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, quartiles, range and bias-corrected skewness of each column."""
-    parts = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        raw = df.agg(
-            F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev(x).alias("sd"), F.min(x).alias("low"), F.percentile(x, F.lit(0.25)).alias("q1"),
-            F.percentile(x, F.lit(0.5)).alias("median"), F.percentile(x, F.lit(0.75)).alias("q3"), F.max(x).alias("high"), F.skewness(x).alias("g1"),
-        )
-        adjusted = F.when(F.col("n") > 2, F.col("g1") * F.sqrt(F.col("n") * (F.col("n") - 1)) / (F.col("n") - 2)).alias("skew")
-        parts.append(raw.select(F.lit(c).alias("variable"), "n", "mean", "sd", "low", "q1", "median", "q3", "high", adjusted, F.try_divide("high", "median").alias("extremeness")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in columns))).alias("x")).select("x.*")
+    x = F.col("value")
+    stats = long.groupBy("variable").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev(x).alias("sd"), F.min(x).alias("low"), F.max(x).alias("high"), F.skewness(x).alias("g1"))
+    marks = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    quarters = wide(long, "value", marks, ["variable"])
+    adjusted = F.when(F.col("n") > 2, F.col("g1") * F.sqrt(F.col("n") * (F.col("n") - 1)) / (F.col("n") - 2)).alias("skew")
+    return stats.join(quarters, "variable", "left").select("variable", "n", "mean", "sd", "low", *marks, "high", adjusted, F.try_divide("high", "median").alias("extremeness"))
 
 
 def duplicate_share(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -118,8 +114,7 @@ def mode_share(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def quantile_edges(df: DataFrame, column: str, bins: int) -> list[float]:
     """Distinct linear-interpolation quantile edges of a column; at most bins + 1 numbers."""
-    found = df.agg(F.percentile(column, F.array(*(F.lit(i / bins) for i in range(bins + 1))))).first()[0]
-    return sorted(set(found or []))
+    return sorted({r.q for r in quantiles(df, column, [i / bins for i in range(bins + 1)]).collect()})
 
 
 def bucket(c: Column, edges: Sequence[float]) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gneiss.operators.graph import connected_components
 from gneiss.operators.order import running
+from gneiss.operators.quantiles import quantiles
 
 
 def long_form(df: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
@@ -84,9 +85,8 @@ def psi(train: DataFrame, test: DataFrame, columns: Sequence[str], bins: int = 1
     Bins are [lo, hi) between distinct quantiles, the outer ones open; empty
     shares count as ``eps``; missing values are left out.
     """
-    marks = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
     known = long_form(train, columns).where("value is not null")
-    edges = known.groupBy("variable").agg(F.percentile("value", marks).alias("edges"))
+    edges = quantiles(known, "value", [i / bins for i in range(bins + 1)], ["variable"]).groupBy("variable").agg(F.collect_set("q").alias("edges"))
     # inner edges only: the outer bins are open
     edges = edges.select("variable", F.array_sort(F.array_distinct("edges")).alias("edges")).select("variable", F.expr("slice(edges, 2, greatest(size(edges) - 2, 0))").alias("edges"))
     both = known.withColumn("side", F.lit("p")).unionByName(long_form(test, columns).where("value is not null").withColumn("side", F.lit("q")))

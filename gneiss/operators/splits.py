@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions.columns import hash_order
 from gneiss.operators.order import positions
+from gneiss.operators.quantiles import quantiles
 
 
 def stratified(df: DataFrame, key: str, target: str, parts: dict[str, float], folds: int = 5, seed: int = 42) -> DataFrame:
@@ -40,8 +41,9 @@ def class_weights(df: DataFrame, target: str) -> DataFrame:
 
 def impute_median(fit: DataFrame, df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Missing values as the exact median of ``fit``; a column without any value stays missing."""
-    medians = fit.agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in columns)).first()
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(medians[c])) for c in columns})
+    long = fit.select(F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in columns))).alias("x")).select("x.*")
+    medians = {r.variable: r.q for r in quantiles(long, "value", [0.5], ["variable"]).collect()}  # a row for each column
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(medians.get(c)).cast("double")) for c in columns})
 
 
 def standardize(fit: DataFrame, df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import columns as C
-from gneiss.operators import collapse, inference, order, screening
+from gneiss.operators import collapse, inference, order, quantiles, screening
 from gneiss.plans import frames as P
 from gneiss.sources.storage import table
 
@@ -320,7 +320,7 @@ def left_unmatched(spark, d) -> DataFrame:
 @query("quantile_trim", "select count(*) as n, max(o_totalprice) as top from orders where o_totalprice <= (select quantile_cont(o_totalprice, 0.99) from orders)", "n", "top")
 def quantile_trim(spark, d) -> DataFrame:
     o = table(spark, d, "orders").select("o_totalprice")
-    return o.crossJoin(o.agg(F.percentile("o_totalprice", F.lit(0.99)).alias("limit"))).where("o_totalprice <= limit").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("top"))
+    return o.crossJoin(quantiles.wide(o, "o_totalprice", {"limit": 0.99})).where("o_totalprice <= limit").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("top"))
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import columns as C
-from gneiss.operators import inference, joins, order, screening, splits
+from gneiss.operators import inference, joins, order, quantiles, screening, splits
 from gneiss.plans import frames as P
 from gneiss.sources.storage import table
 
@@ -330,7 +330,7 @@ def density_grid(spark, d) -> DataFrame:
 def box_figures(spark, d) -> DataFrame:
     """Quartiles and whiskers of each group; points outside the whiskers aren't shown."""
     o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("grp"), F.col("o_totalprice").alias("x"))
-    q = o.groupBy("grp").agg(F.percentile("x", F.lit(0.25)).alias("q1"), F.percentile("x", F.lit(0.5)).alias("median"), F.percentile("x", F.lit(0.75)).alias("q3"))
+    q = quantiles.wide(o, "x", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["grp"])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     return o.join(q, "grp").groupBy("grp", "q1", "median", "q3").agg(F.min(F.when(F.col("x") >= F.col("q1") - reach, F.col("x"))).alias("low"), F.max(F.when(F.col("x") <= F.col("q3") + reach, F.col("x"))).alias("high"))
 
