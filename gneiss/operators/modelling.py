@@ -70,7 +70,11 @@ def nested_study(df: DataFrame, key: str, target: str, candidates: dict[str, Seq
     The threshold is that of the inner scores, which no fit has seen. Equal
     means go to the candidate of the later name.
     """
-    s = materialize(nested_scores(df, key, target, candidates, **folds), "nested_scores")
+    return judged_scores(materialize(nested_scores(df, key, target, candidates, **folds), "nested_scores"), cost_fn)
+
+
+def judged_scores(s: DataFrame, cost_fn: float = 10.0) -> DataFrame:
+    """The same from scores (``outer_fold``, ``inner_fold``: -1 for the outer fit, ``candidate``, ``y``, ``s``) of any learners."""
     auc = materialize(metrics.ranking(s, ["outer_fold", "inner_fold", "candidate"]), "nested_auc")
     means = auc.where("inner_fold >= 0").groupBy("outer_fold", "candidate").agg(F.avg("auc").alias("inner_auc"))
     best = means.groupBy("outer_fold").agg(F.max(F.struct("inner_auc", "candidate")).alias("b")).select("outer_fold", "b.*")
