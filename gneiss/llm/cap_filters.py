@@ -170,14 +170,19 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     empty table gives an empty result. Other columns are ignored.
     """
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    # by the largest component first, so that squares neither overflow nor vanish
+    largest = F.aggregate("embedding", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x)))
     sound = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
-    rows = vectors.withColumn("norm", F.when(sound, norm)).withColumn("sound", F.coalesce((F.col("norm") > 0) & (F.col("norm") < F.lit(float("inf"))), F.lit(False)))
+    rows = vectors.withColumn("largest", F.when(sound, largest)).withColumn("sound", F.coalesce(F.col("largest") > 0, F.lit(False)))
+    scaled = F.transform("embedding", lambda x: x / F.col("largest"))
+    norm = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, x: s + x * x))
     classes = (
         rows.where("sound")
         .groupBy("embedding")
-        .agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id"), F.first("norm").alias("norm"))
-        .select(F.xxhash64("embedding").alias("hash"), "copies", "first_id", F.transform("embedding", lambda x: x / F.col("norm")).alias("unit"), "embedding")
+        .agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id"), F.first("largest").alias("largest"))
+        .withColumn("scaled", scaled)
+        .withColumn("norm", norm)
+        .select(F.xxhash64("embedding").alias("hash"), "copies", "first_id", F.transform("scaled", lambda x: x / F.col("norm")).alias("unit"), "embedding")
     )
     classes = materialize(classes.withColumn("class_id", F.monotonically_increasing_id()), "vectors")
 

@@ -104,3 +104,14 @@ def test_every_vector_gets_its_best_directions():
     for i in range(200):
         sums = (s[0][i][:, None, None] + s[1][i][:, None] + s[2][i]).ravel()
         assert set(found[rows == i].tolist()) == set(np.argsort(-sums)[: cap_filters.LEAST].tolist())
+
+
+def test_scaled_copies_link(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((60, 16))
+    scales = [1.0, 1e-170, 1e170, 1e-300, 1e300]
+    rows = [(100 * i + j, [float(v) for v in x[i] * s]) for i in range(60) for j, s in enumerate(scales)]
+    rows += [(9000, [5e-324] + [0.0] * 15), (9001, [1.0] + [0.0] * 15)]
+    got = {r.vec_id: r for r in cap_filters.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(got[i].n_links == len(scales) - 1 and got[i].component_id == i // 100 * 100 for i, _ in rows[:-2])
+    assert got[9000].n_links == 1 and got[9001].component_id == 9000
