@@ -14,9 +14,11 @@ linked id pair, and take the corpus-wide counts of their pairs from a join.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 
@@ -38,7 +40,8 @@ SHARD_SEGMENTS = 400_000
 LEAST = 256
 #: Links composed at a time within a task.
 BLOCK = 1_000_000
-#: Ink, but not the letter that B writes for a blank, then blanks that something follows.
+#: Ink, but not the letter that B writes for a blank, then blanks that something follows; what isn't ink, before a blank.
+_ODD = re.compile("[\\s▁] ")
 _CUT = re.compile("(?<=[^\\s▁])(?= +[^ ])")
 #: In a piece: ink before a blank.
 _CROSSES = re.compile("[^\\s▁][ ▁]")
@@ -98,8 +101,12 @@ def separable(path_a: str, path_b: str) -> bool:
 
 
 def segments(text: str, cut: bool) -> list[str]:
-    """The text with a blank before it, in pieces that begin with a blank."""
-    return (_CUT.split(" " + text) if cut else [" " + text]) if text else []
+    """The text with a blank before it, in pieces that begin with a blank, each without that blank."""
+    if not text or not cut:
+        return [text] if text else []
+    if text[0] != " " and text[-1] != " " and not _ODD.search(text):
+        return text.split(" ")
+    return [piece[1:] for piece in _CUT.split(" " + text)]
 
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -114,16 +121,24 @@ def _sums(values: np.ndarray, count: np.ndarray) -> np.ndarray:
     return upto[ends] - upto[ends - count]
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values by one sort, which beats numpy's hash table here."""
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values[new]
+
+
 def align(texts: list[str], path_a: str, path_b: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Links of each segment: how many (-1 where joined bytes differ from the segment's), and, end to end, ids of A, ids of B and what ends."""
+    """Links of each segment (without its blank): how many (-1 where joined bytes differ from the segment's), and, end to end, ids of A, ids of B and what ends."""
     tokenizer, known_a = _byte_level(path_a)
     model, known_b = _pieces(path_b)
     ids, count = [], []
-    for lists in ([e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)], model.encode([t[1:] for t in texts], num_threads=1)):
+    for lists in ([e.ids for e in tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)], model.encode(texts, num_threads=1)):
         flat, n = _flat(lists)
         ids.append(flat)
         count.append(n)
-    raw = [t.encode() for t in texts]
+    raw = [b" " + t.encode() for t in texts]
     size = np.fromiter(map(len, raw), np.int64, len(raw))
     good = np.ones(len(texts), bool)
     for flat, n, known in zip(ids, count, (known_a, known_b), strict=True):
@@ -136,7 +151,7 @@ def align(texts: list[str], path_a: str, path_b: str) -> tuple[np.ndarray, np.nd
             good[np.flatnonzero(good)[np.searchsorted(np.cumsum(size[good]), wrong, "right")]] = False
     own_a, own_b = (flat[np.repeat(good, n)] for flat, n in zip(ids, count, strict=True))
     end_a, end_b = np.cumsum(known_a.length[own_a]), np.cumsum(known_b.length[own_b])
-    ends = np.union1d(end_a, end_b)
+    ends = _distinct(np.concatenate((end_a, end_b)))
     at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
     what = (end_a[at_a] == ends) * A_ENDS + (end_b[at_b] == ends) * B_ENDS
     links = np.full(len(texts), -1, np.int64)
@@ -166,13 +181,10 @@ def _chunks(cut: bool):
         for batch in batches:
             _, offsets = T.utf8(batch.column("text"))
             for a, b in T.slices(offsets, CHUNK_BYTES):
-                known: dict[str, int] = {}
+                known = defaultdict(itertools.count().__next__)
                 at, count = [], []
                 for text in batch.column("text")[a:b]:
                     own = segments(text.as_py() or "", cut)
-                    for s in own:
-                        if s not in known:
-                            known[s] = len(known)
                     at.append(np.fromiter(map(known.__getitem__, own), np.uint32, len(own)))
                     count.append(len(own))
                 names = list(known)
@@ -275,13 +287,13 @@ def _numbers(most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(spelled), np.uint8), np.concatenate(([0], np.cumsum(length)))[:-1], length
 
 
-def _spelled(links: np.ndarray, a: np.ndarray, b: np.ndarray, what: np.ndarray) -> list[bytes]:
+def _spelled(links: np.ndarray, a: np.ndarray, b: np.ndarray, what: np.ndarray, block: int) -> list[bytes]:
     """Groups of each segment, every one with a semicolon after it."""
     data, starts, lengths = _numbers(1 << int(max(a.max(initial=0), b.max(initial=0), 1)).bit_length())
     out, upto = [], np.concatenate(([0], np.cumsum(links)))
     at = 0
     while at < len(links):
-        to = max(at + 1, int(np.searchsorted(upto, upto[at] + BLOCK // 4, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + block, "right")) - 1)
         x, y = upto[at], upto[to]
         ends = what[x:y]
         both = ends == A_ENDS | B_ENDS
@@ -322,7 +334,7 @@ def _composed(digests: bool):
 
         figures = {"n_a": what & A_ENDS > 0, "n_b": what & B_ENDS > 0, "n_groups": what == A_ENDS | B_ENDS, "n_links": np.ones(len(what), bool)}
         figures = {k: _sums(_sums(v.astype(np.int64), links)[places], counts) for k, v in figures.items()}
-        spelled = _spelled(links, a, b, what)
+        spelled = _spelled(links, a, b, what, BLOCK // 4)
         ends = [0, *np.cumsum(counts).tolist()]
         groups = []
         for x, y in zip(ends[:-1], ends[1:], strict=True):
@@ -337,10 +349,9 @@ def _composed(digests: bool):
             to = max(row + 1, int(np.searchsorted(upto, upto[row] + BLOCK, "right")) - 1)
             x, y = ends[row], ends[to]
             doc = np.repeat(np.arange(to - row), counts[row:to])
-            key = np.unique(doc * len(links) + places[x:y]) if len(doc) else doc
-            doc, own = np.divmod(key, max(len(links), 1))
+            doc, own = np.divmod(_distinct(doc * len(links) + places[x:y]), max(len(links), 1))
             key = np.repeat(doc, links[own]) * len(pairs) + local[_ranges(start[own], links[own])]
-            held += np.bincount(np.unique(key) % max(len(pairs), 1), minlength=len(pairs))
+            held += np.bincount(_distinct(key) % max(len(pairs), 1), minlength=len(pairs))
             row = to
         used = held > 0
         rename = np.cumsum(used) - 1
