@@ -71,6 +71,26 @@ def lagged(df: DataFrame, row: str, value: str, lags: Sequence[int]) -> DataFram
     return out.where("__at = __block").drop("__pos", "__block", "__at")
 
 
+def rolling(df: DataFrame, order: Sequence[Column], values: dict[str, Column], window: int, least: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """``df`` with means of ``values`` over a centred window of rows in an order, within groups ``by`` (not null).
+
+    A window of w rows has w // 2 of them before the row. A mean of fewer than
+    ``least`` values (all of the window, if not given) is null, as at both
+    ends. Rows are cut into blocks of positions; those within reach of a
+    neighbouring block go there too, so no window is longer than a block.
+    """
+    before, after, least = window // 2, window - window // 2 - 1, window if least is None else least
+    if before >= BLOCK:
+        raise ValueError(f"windows must be under {2 * BLOCK} rows")
+    placed = positions(df.withColumns({f"__of_{name}": value for name, value in values.items()}), *order, by=by, name="__pos").withColumn("__block", F.floor(F.col("__pos") / BLOCK))
+    inside = F.col("__pos") % BLOCK
+    reached = F.filter(F.array("__block", F.when(inside >= BLOCK - before, F.col("__block") + 1), F.when(inside < after, F.col("__block") - 1)), lambda b: b.isNotNull() & (b >= 0))
+    spread = placed.withColumn("__at", F.explode(reached))
+    w = Window.partitionBy(*by, "__at").orderBy("__pos").rowsBetween(-before, after)
+    means = {name: F.when(F.count(f"__of_{name}").over(w) >= least, F.avg(f"__of_{name}").over(w)) for name in values}
+    return spread.withColumns(means).where("__at = __block").drop("__pos", "__block", "__at", *(f"__of_{name}" for name in values))
+
+
 def tie_ranks(df: DataFrame, value: str, by: Sequence[str] = (), descending: bool = False, name: str = "rank_avg") -> DataFrame:
     """``df`` with ranks (ties averaged) within groups, from one row for each distinct value."""
     counts = df.groupBy(*by, value).agg(F.count("*").alias("__n"))

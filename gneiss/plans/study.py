@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import columns as C
-from gneiss.operators import collapse, inference, order, quantiles, screening
+from gneiss.operators import collapse, inference, order, quantiles, replicates, screening
 from gneiss.plans import frames as P
 from gneiss.sources.storage import table
 
@@ -364,13 +364,8 @@ def reality_check(spark, d) -> DataFrame:
 
 @query("auc_interval")
 def auc_interval(spark, d) -> DataFrame:
-    """BCa interval of the mean of fifty stratified block AUCs."""
-    import numpy as np
-
-    from gneiss.operators.resampling import bootstrap_bca
-
-    rows = block_auc(spark, d).where("auc is not null").orderBy("block").collect()  # fifty rows
-    point, low, high = bootstrap_bca(lambda x: float(np.mean(x)), np.array([r.auc for r in rows]), n=500)
+    """BCa interval of the AUC over all rows, from replicates and a grouped jackknife."""
+    point, low, high = replicates.auc_interval(P.scores(spark, d), "row", 500, 100)
     return spark.createDataFrame([(point, low, high)], "auc double, low double, high double")
 
 

@@ -217,18 +217,6 @@ def fold_summary(spark, d) -> DataFrame:
     return m.crossJoin(m.agg(F.max("mean").alias("best"))).select("model", "n", "mean", "sd", margin.alias("margin"), gap.alias("gap"), (gap <= margin).alias("within"))
 
 
-@query(
-    "optimism",
-    f"with {P.SCORES_SQL}, r as (select fold, avg(s - 0.02 * y) as inner_score, avg(s2) as outer_score from scored group by fold) select fold, inner_score, outer_score, inner_score - outer_score as optimism from r",
-    "fold",
-    "inner_score, outer_score, optimism",
-)
-def optimism(spark, d) -> DataFrame:
-    """Inner minus outer score of each fold."""
-    r = P.scores(spark, d).groupBy("fold").agg(F.avg(F.col("s") - 0.02 * F.col("y")).alias("inner_score"), F.avg("s2").alias("outer_score"))
-    return r.withColumn("optimism", F.col("inner_score") - F.col("outer_score"))
-
-
 @query(
     "step_differences",
     "with m as (select strftime(cast(o_orderdate as date), '%Y-%m') as month, count(*) as n, avg(o_totalprice) as mean, stddev_pop(o_totalprice) / sqrt(count(*)) as se from orders group by 1), l as (select *, mean - lag(mean) over (order by month) as step from m) select month, n, mean, step, coalesce(abs(step) > 2 * se, false) as beyond from l",
