@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions.columns import uniform
 from gneiss.operators import metrics, order, splits
+from gneiss.operators.products import matrix_sums
 from gneiss.sources.storage import materialize
 
 
@@ -187,23 +188,23 @@ def support_vector_regression(df: DataFrame, columns: Sequence[str], target: str
     Minimises |w|^2 / 2 + cost * sum(max(0, |y - f| - epsilon)), the
     intercept unpenalised. The loss is half the sum of |r - epsilon| and
     |r + epsilon|; each round replaces both by the parabola that touches them
-    at the current residual, so it is one aggregation of weighted products.
+    at the current residual, so it is one sum of weighted matrices.
     """
-    rows = df.select(*columns, target).dropna()
-    x = [F.col(c).cast("double") for c in columns] + [F.lit(1.0)]
-    d = len(x)
-    w, y = np.zeros(d), F.col(target).cast("double")
-    penalty = np.diag([1.0] * (d - 1) + [0.0])
+    rows = materialize(df.select(*(F.col(c).cast("double") for c in columns), F.col(target).cast("double").alias("__y")).dropna(), "regression_rows")
+    d = len(columns) + 1
+    w, penalty = np.zeros(d), np.diag([1.0] * (d - 1) + [0.0])
     for _ in range(rounds):
-        r = y - reduce(lambda a, b: a + b, (F.lit(float(b)) * c for b, c in zip(w, x, strict=True)))
-        up, down = (1 / (2 * F.greatest(F.abs(r + e), F.lit(1e-8))) for e in (-epsilon, epsilon))
-        sums = [F.sum((up + down) * x[i] * x[j]) for i in range(d) for j in range(i, d)] + [F.sum(x[i] * ((up + down) * y - epsilon * (up - down))) for i in range(d)]
-        t = list(rows.agg(*(c.alias(f"c{i}") for i, c in enumerate(sums))).first())
-        if t[0] is None:
+
+        def touching(batch: np.ndarray, w: np.ndarray = w) -> dict[str, np.ndarray]:
+            x, y = np.column_stack([batch[:, :-1], np.ones(len(batch))]), batch[:, -1]
+            r = y - x @ w
+            up, down = (1 / (2 * np.maximum(np.abs(r + e), 1e-8)) for e in (-epsilon, epsilon))
+            return {"gram": x.T @ (x * (up + down)[:, None]), "right": (x.T @ ((up + down) * y - epsilon * (up - down)))[:, None]}
+
+        s = matrix_sums(rows, [*columns, "__y"], touching)
+        if not s:
             return w
-        gram = np.zeros((d, d))
-        gram[np.triu_indices(d)] = t[: d * (d + 1) // 2]
-        new = np.linalg.lstsq(penalty + cost * (gram + np.triu(gram, 1).T), cost * np.array(t[d * (d + 1) // 2 :]), rcond=None)[0]
+        new = np.linalg.lstsq(penalty + cost * s["gram"], cost * s["right"][:, 0], rcond=None)[0]
         step, w = np.abs(new - w).max(), new
         if step < tolerance:
             break

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.operators import products
 from gneiss.operators.graph import connected_components
 from gneiss.operators.order import running
 from gneiss.operators.quantiles import quantiles
@@ -115,14 +116,7 @@ def ks(train: DataFrame, test: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair of columns over rows where both are known; constant columns have none."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    sums = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = F.when(F.col(b).isNotNull(), F.col(a).cast("double")), F.when(F.col(a).isNotNull(), F.col(b).cast("double"))
-        sums += [F.covar_samp(x, y).alias(f"c{i}"), F.stddev(x).alias(f"x{i}"), F.stddev(y).alias(f"y{i}"), F.count(x).alias(f"n{i}")]
-    wide = df.agg(*sums)
-    cells = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.try_divide(F.col(f"c{i}"), F.nullif(F.col(f"x{i}") * F.col(f"y{i}"), F.lit(0.0))).alias("r"), F.col(f"n{i}").alias("n")) for i, (a, b) in enumerate(pairs)))
-    return wide.select(F.explode(cells).alias("x")).select("x.*")
+    return df.sparkSession.createDataFrame(products.correlations(df, columns), "a string, b string, r double, n long")
 
 
 def equivalence_groups(pairs: DataFrame, coverage: DataFrame, over: float = 0.95) -> DataFrame:
