@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions import columns as C
-from gneiss.operators import contributions, learners, splits
+from gneiss.operators import contributions, importance, learners, splits
 from gneiss.plans import frames as P
 from gneiss.plans.learning import NUMBERS, _prepared
 from gneiss.plans.modelling import _stats_sql
+from gneiss.sources.storage import table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +83,32 @@ def additive_contributions(spark, d) -> DataFrame:
     around = sizes.crossJoin(sizes.agg(F.sum("n").alias("all_n"))).select(*NUMBERS, (F.col("n") / F.col("all_n")).alias("weight"))
     predict = lambda rows: learners.naive_bayes(train, rows, NUMBERS, "target")
     return contributions.model_contributions(test, "c_custkey", NUMBERS, around, predict).select("c_custkey", "feature", "effect")
+
+
+@query("parameter_importance")
+def parameter_importance(spark, d) -> DataFrame:
+    """Variance shares of quantity, discount and tax, and of their pairs, in a forest of line prices."""
+    lines = table(spark, d, "lineitem").select(*(F.col(f"l_{c}").cast("double").alias(c) for c in ("quantity", "discount", "tax")), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("double").alias("score"))
+    names = ["quantity", "discount", "tax"]
+    r = lines.agg(*(f(c).alias(f"{n}_{c}") for c in names for n, f in (("low", F.min), ("high", F.max)))).first()
+    shares = importance.variance_shares(importance.forest_of_runs(lines, names, "score", trees=10, depth=6), {c: (r[f"low_{c}"], r[f"high_{c}"]) for c in names})
+    return spark.createDataFrame([(" x ".join(own), float(v)) for own, v in shares.items()], "parameters string, share double")
+
+
+_GRID = [i / 10 for i in range(11)]
+
+
+@query(
+    "density_ratio",
+    f"""with r as (select l_discount * 10 as x, l_extendedprice as score from lineitem), q as (select quantile_cont(score, 0.75) as lim from r), g as (select x, score >= lim as good from r, q),
+        w as (select good, count(*) as n, case when stddev_pop(x) > 0 then stddev_pop(x) * pow(count(*), -0.2) else 1 end as h from g group by good),
+        k as (select t.p as pos, good, sum(exp(-pow((t.p - x) / h, 2) / 2) / (h * sqrt(2 * pi()) * n)) as dens from g join w using (good), (select unnest({_GRID}) as p) t group by 1, 2)
+        select a.pos as point, a.dens as density_good, b.dens as density_rest, a.dens / b.dens as ratio from k a join k b on a.pos = b.pos and a.good and not b.good""",
+    "",
+    "point, density_good, density_rest, ratio",
+    5,
+)
+def density_ratio(spark, d) -> DataFrame:
+    """Densities of the discount among the dearest quarter of lines and the others, and their ratio."""
+    lines = table(spark, d, "lineitem").select((F.col("l_discount") * 10).alias("x"), F.col("l_extendedprice").alias("score"))
+    return importance.density_ratio(lines, "x", "score", _GRID).withColumnRenamed("at", "point")
