@@ -99,6 +99,33 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return stats.join(quarters, "variable", "left").select("variable", "n", "mean", "sd", "low", *marks, "high", adjusted, F.try_divide("high", "median").alias("extremeness"))
 
 
+def narrowed(df: DataFrame) -> DataFrame:
+    """``df`` with whole-number columns cast to the narrowest type that holds all their values, and doubles that floats hold exactly as floats.
+
+    One pass finds the ranges; columns without values become the narrowest.
+    """
+    whole = [c for c, t in df.dtypes if t in ("bigint", "int", "smallint")]
+    doubles = [c for c, t in df.dtypes if t == "double"]
+    if not whole + doubles:
+        return df
+    exact = lambda c: F.coalesce(F.bool_and((F.col(c) == F.col(c).cast("float").cast("double")) | F.isnan(c)), F.lit(True))
+    r = df.agg(*(f(c).cast("long").alias(f"{n}_{c}") for c in whole for n, f in (("low", F.min), ("high", F.max))), *(exact(c).alias(f"exact_{c}") for c in doubles)).first()
+
+    def width(c: str) -> str:
+        low, high = r[f"low_{c}"] or 0, r[f"high_{c}"] or 0
+        return next((name for name, bits in (("tinyint", 8), ("smallint", 16), ("int", 32)) if low >= -(2 ** (bits - 1)) and high < 2 ** (bits - 1)), "bigint")
+
+    return df.withColumns({c: F.col(c).cast(width(c)) for c in whole} | {c: F.col(c).cast("float") for c in doubles if r[f"exact_{c}"]})
+
+
+def without_constant(df: DataFrame, least: float = 0.05) -> DataFrame:
+    """``df`` without columns of one value at most and those known in under a share of ``least`` of the rows; an empty table keeps all."""
+    spread = lambda c: (F.min(F.col(f"`{c}`").cast("string")), F.max(F.col(f"`{c}`").cast("string")), F.count(F.col(f"`{c}`")))
+    r = df.agg(F.count("*").alias("n"), *(x.alias(f"{k}_{i}") for i, c in enumerate(df.columns) for k, x in enumerate(spread(c)))).first()
+    gone = [c for i, c in enumerate(df.columns) if r.n and (r[f"0_{i}"] == r[f"1_{i}"] or r[f"2_{i}"] < least * r.n)]
+    return df.drop(*gone)
+
+
 def duplicate_share(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Share of rows that repeat an earlier row on the columns."""
     groups = df.groupBy(*columns).agg(F.count("*").alias("n"))

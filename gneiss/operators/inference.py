@@ -16,11 +16,21 @@ from gneiss.operators import order
 
 def adjust_p(df: DataFrame) -> DataFrame:
     """Holm and Benjamini-Hochberg adjusted values of ``name``, ``p``."""
-    up, whole = Window.orderBy("p", "name"), Window.partitionBy()
-    ranked = df.select("name", "p", F.row_number().over(up).alias("i"), F.count("*").over(whole).alias("m"))
-    holm = F.max((F.col("m") - F.col("i") + 1) * F.col("p")).over(Window.orderBy("i"))
-    bh = F.min(F.col("m") * F.col("p") / F.col("i")).over(Window.orderBy(F.desc("i")))
-    return ranked.select("name", "p", F.least(holm, F.lit(1.0)).alias("holm"), F.least(bh, F.lit(1.0)).alias("bh"))
+    known = df.select("name", "p").where("p is not null")
+    m = F.lit(known.count())
+    ranked = order.positions(known, F.asc("p"), F.asc("name"), name="i").withColumn("i", F.col("i") + 1)
+    upwards = order.running(ranked, [F.asc("i")], {"holm": (m - F.col("i") + 1) * F.col("p")}, how="max")
+    both = order.running(upwards, [F.desc("i")], {"bh": m * F.col("p") / F.col("i")}, how="min")
+    return both.select("name", "p", F.least("holm", F.lit(1.0)).alias("holm"), F.least("bh", F.lit(1.0)).alias("bh"))
+
+
+def combined_p(df: DataFrame) -> DataFrame:
+    """Fisher's combination of the p-values ``p`` of independent parts, and the least after Holm's adjustment: ``n``, ``fisher``, ``fisher_p``, ``holm_least``."""
+    from gneiss.functions.distributions import chi2_upper
+
+    r = df.where("p is not null").agg(F.count("*").alias("n"), (-2 * F.sum(F.log(F.greatest("p", F.lit(1e-300))))).alias("fisher"), F.min("p").alias("least")).first()
+    row = (r.n, r.fisher, chi2_upper(r.fisher, 2 * r.n) if r.n else None, min(1.0, r.least * r.n) if r.n else None)
+    return df.sparkSession.createDataFrame([row], "n long, fisher double, fisher_p double, holm_least double")
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, descending: bool = False) -> DataFrame:

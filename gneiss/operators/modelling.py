@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions.columns import uniform
+from gneiss.functions.distributions import normal_two_sided
 from gneiss.operators import metrics, order, splits
 from gneiss.operators.products import matrix_sums
 from gneiss.sources.storage import materialize
@@ -159,7 +160,8 @@ def block_independence(df: DataFrame, size: int = 5000) -> DataFrame:
 
     Blocks bound the pairs: each is one group of ``size`` rows. As the test
     is of blocks of one size, a shorter last block is left out unless it is
-    the only one. Returns ``block``, ``n``, ``z`` (null without spread).
+    the only one. Returns ``block``, ``n``, ``z`` and its two-sided ``p`` (null
+    without spread); :func:`inference.combined_p` puts blocks together.
     """
     known = order.positions(df.where("x is not null").select("row", "x"), F.col("row"), name="pos")
     n = known.count()
@@ -177,9 +179,9 @@ def block_independence(df: DataFrame, size: int = 5000) -> DataFrame:
             k = ((reach * reach).sum() - 3 * reach.sum() + 2 * m) / (m * (m - 1.0) * (m - 2.0))
             if k > c * c:
                 z = math.sqrt(m - 1) * (pairs(near[1:, 1:] & near[:-1, :-1]) - pairs(near[1:, 1:]) ** 2) / (2 * (k - c * c))
-        return pd.DataFrame({"block": [key[0]], "n": [m], "z": [z]})
+        return pd.DataFrame({"block": [key[0]], "n": [m], "z": [z], "p": [None if z is None else max(normal_two_sided(z), 1e-300)]})
 
-    return whole.groupBy("block").applyInPandas(statistic, "block long, n long, z double")
+    return whole.groupBy("block").applyInPandas(statistic, "block long, n long, z double, p double")
 
 
 def support_vector_regression(df: DataFrame, columns: Sequence[str], target: str, cost: float = 1.0, epsilon: float = 0.1, rounds: int = 100, tolerance: float = 1e-7) -> np.ndarray:

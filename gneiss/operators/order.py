@@ -18,22 +18,23 @@ from gneiss.sources.storage import materialize
 BLOCK = 100_000
 
 
-def running(df: DataFrame, order: Sequence[Column], values: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
-    """``df`` with running sums of ``values`` (the row included) in an order, within groups ``by``.
+def running(df: DataFrame, order: Sequence[Column], values: dict[str, Column], by: Sequence[str] = (), how: str = "sum") -> DataFrame:
+    """``df`` with running sums (or "max", "min") of ``values`` (the row included) in an order, within groups ``by``.
 
     Ties in the order are summed in any sequence, so make it a key where that
     matters. Groups must not be null. An empty table stays empty.
     """
-    by = list(by)
+    by, total = list(by), {"sum": F.sum, "max": F.max, "min": F.min}[how]
+    join = {"sum": lambda a, b: a + F.coalesce(b, F.lit(0)), "max": F.greatest, "min": F.least}[how]
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     valued = df.withColumns({f"__{name}": value for name, value in values.items()})
     dealt = materialize(valued.repartitionByRange(n, *map(F.col, by), *order).withColumn("__part", F.spark_partition_id()), "dealt")
-    sums = dealt.groupBy(*by, "__part").agg(*(F.sum(f"__{name}").alias(f"__sum_{name}") for name in values))
+    sums = dealt.groupBy(*by, "__part").agg(*(total(f"__{name}").alias(f"__sum_{name}") for name in values))
     # a row for each part of each group
     before = Window.partitionBy(*by, F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*by, "__part", *(F.coalesce(F.sum(f"__sum_{name}").over(before), F.lit(0)).alias(f"__start_{name}") for name in values))
+    starts = sums.select(*by, "__part", *(total(f"__sum_{name}").over(before).alias(f"__start_{name}") for name in values))
     inside = Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = dealt.join(starts, [*by, "__part"]).withColumns({name: F.sum(f"__{name}").over(inside) + F.col(f"__start_{name}") for name in values})
+    rows = dealt.join(starts, [*by, "__part"]).withColumns({name: join(total(f"__{name}").over(inside), F.col(f"__start_{name}")) for name in values})
     return rows.drop("__part", *(f"__{name}" for name in values), *(f"__start_{name}" for name in values))
 
 

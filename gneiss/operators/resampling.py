@@ -105,23 +105,38 @@ def confidence_set(losses: np.ndarray, names: Sequence[str], alpha: float = 0.1,
     return {name: (out[g], out[g] > alpha) for name, g in zip(names, group, strict=True)}
 
 
-def reality_check(benchmark: np.ndarray, losses: np.ndarray, length: float = 5.0, n: int = 1000, seed: int = 42, alpha: float = 0.05) -> dict[str, float]:
-    """p-values of "no model beats the benchmark": reality check and the studentised test with recentring; and how many models a stepwise test at ``alpha`` finds better."""
+def reality_check(benchmark: np.ndarray, losses: np.ndarray, length: float = 5.0, n: int = 1000, seed: int = 42, alpha: float = 0.05, names: Sequence[str] | None = None) -> dict:
+    """p-values of "no model beats the benchmark", and which models a stepwise test at ``alpha`` finds better.
+
+    ``reality_check`` isn't studentised; ``spa_lower``, ``spa`` and
+    ``spa_upper`` are, with models that do badly recentred fully, beyond a
+    limit, or not at all. The stepwise test is studentised: models whose gain
+    exceeds the critical value leave, and it is drawn anew for the rest.
+    ``better`` counts the models in ``names`` (by number, if not named). Models
+    of the benchmark's own losses are left out.
+    """
     rng, gain = np.random.default_rng(seed), benchmark[:, None] - losses
-    size, mean = len(gain), gain.mean(0)
+    names = [str(i) for i in range(gain.shape[1])] if names is None else list(names)
+    size, mean, root = len(gain), gain.mean(0), np.sqrt(len(gain))
     boot = np.array([gain[stationary_indices(size, length, rng)].mean(0) for _ in range(n)])
-    sd = boot.std(0) * np.sqrt(size) + 1e-300
-    kept = mean >= -sd / np.sqrt(size) * np.sqrt(2 * np.log(np.log(max(size, 16))))
-    white = np.sqrt(size) * (boot - mean).max(1)
-    spa = np.maximum((np.sqrt(size) * (boot - mean * kept) / sd).max(1), 0)
-    better, left = 0, np.arange(gain.shape[1])
+    own = np.flatnonzero((gain != 0).any(0))
+    if not len(own):
+        return {"better": 0.0, "reality_check": 1.0, "spa_lower": 1.0, "spa": 1.0, "spa_upper": 1.0, "names": []}
+    mean, boot = mean[own], boot[:, own]
+    sd = boot.std(0) * root + 1e-300
+    t = root * mean / sd
+    limit = -np.sqrt(2 * np.log(np.log(max(size, 16))))
+    centres = {"spa_lower": np.maximum(mean, 0), "spa": np.where(t >= limit, mean, 0.0), "spa_upper": mean}
+    out: dict = {k: float((np.maximum((root * (boot - c) / sd).max(1), 0) >= max(t.max(), 0)).mean()) for k, c in centres.items()}
+    out["reality_check"] = float((root * (boot - mean).max(1) >= root * mean.max()).mean())
+    better, left, drawn = [], np.arange(len(own)), root * (boot - mean) / sd
     while len(left):  # the critical value falls as models that are better leave
-        limit = np.quantile((np.sqrt(size) * (boot - mean)[:, left]).max(1), 1 - alpha)
-        found = np.sqrt(size) * mean[left] > limit
-        better, left = better + int(found.sum()), left[~found]
+        found = t[left] > np.quantile(drawn[:, left].max(1), 1 - alpha)
         if not found.any():
             break
-    return {"better": float(better), "reality_check": float((white >= np.sqrt(size) * mean.max()).mean()), "spa": float((spa >= max((np.sqrt(size) * mean / sd).max(), 0)).mean())}
+        better += left[found].tolist()
+        left = left[~found]
+    return out | {"better": float(len(better)), "names": [names[own[i]] for i in sorted(better)]}
 
 
 def white_test(df: DataFrame) -> DataFrame:

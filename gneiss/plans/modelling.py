@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import columns as C
-from gneiss.operators import inference, learners, metrics, modelling, resampling, screening
+from gneiss.operators import collapse, inference, learners, metrics, modelling, resampling, screening
 from gneiss.plans import frames as P
 from gneiss.plans.learning import NUMBERS, _prepared, _vectors
 from gneiss.sources.storage import materialize, shared_dir, table
@@ -209,22 +209,19 @@ def time_projection(spark, d) -> DataFrame:
 @query(
     "narrow_types",
     " union all ".join(
-        f"select '{c}' as name, case when min({c}) >= -128 and max({c}) <= 127 then 'tinyint' when min({c}) >= -32768 and max({c}) <= 32767 then 'smallint' when min({c}) >= -2147483648 and max({c}) <= 2147483647 then 'int' else 'bigint' end as type from lineitem"
+        f"select '{c}' as name, case when min({c}) >= -128 and max({c}) <= 127 then 'tinyint' when min({c}) >= -32768 and max({c}) <= 32767 then 'smallint' when min({c}) >= -2147483648 and max({c}) <= 2147483647 then 'int' else 'bigint' end as type, cast(sum({c}) as bigint) as total from lineitem"
         for c in ("l_linenumber", "l_orderkey", "l_partkey", "l_suppkey")
     ),
-    "name, type",
+    "name, type, total",
 )
 def narrow_types(spark, d) -> DataFrame:
-    """The narrowest integer type of each whole-number column, from one pass over the table."""
+    """Whole-number columns cast to their narrowest types: the type, and the sum of the cast column."""
     lines = table(spark, d, "lineitem")
     names = ["l_linenumber", "l_orderkey", "l_partkey", "l_suppkey"]
-    ends = lines.agg(*(f(c).cast("long").alias(f"{n}_{c}") for c in names for n, f in (("low", F.min), ("high", F.max))))
-
-    def width(c: str):
-        fits = lambda bits: (F.col(f"low_{c}") >= -(2 ** (bits - 1))) & (F.col(f"high_{c}") <= 2 ** (bits - 1) - 1)
-        return F.when(fits(8), "tinyint").when(fits(16), "smallint").when(fits(32), "int").otherwise("bigint")
-
-    return ends.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), width(c).alias("type")) for c in names))).alias("c")).select("c.*")
+    narrow = collapse.narrowed(lines.select(*names))
+    sums = narrow.agg(*(F.sum(F.col(c).cast("long")).alias(c) for c in names))
+    types = dict(narrow.dtypes)
+    return sums.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.lit(types[c]).alias("type"), F.col(c).alias("total")) for c in names))).alias("c")).select("c.*")
 
 
 @query("prediction_store", f"with {P.SCORES_SQL} select row, fold, y, s from scored", "row, fold, y", "s")
@@ -331,12 +328,10 @@ def explanation_agreement(spark, d) -> DataFrame:
 
 @query("block_independence", digits=4)
 def block_independence(spark, d) -> DataFrame:
-    """Independence of neighbouring order prices in blocks of 500, with the values of all blocks combined."""
-    from gneiss.functions.distributions import normal_two_sided
-
-    found = modelling.block_independence(table(spark, d, "orders").select(F.col("o_orderkey").alias("row"), F.col("o_totalprice").alias("x")), 500)
-    p = F.udf(lambda z: None if z is None else float(max(normal_two_sided(z), 1e-300)), "double")  # a row for each block
-    return found.withColumn("p", p("z"))
+    """Independence of neighbouring order prices in blocks of 500: each block's value after Holm's adjustment, and all combined by Fisher."""
+    found = materialize(modelling.block_independence(table(spark, d, "orders").select(F.col("o_orderkey").alias("row"), F.col("o_totalprice").alias("x")), 500), "blocks")
+    holm = inference.adjust_p(found.select(F.col("block").alias("name"), "p")).select(F.col("name").alias("block"), "holm")
+    return found.join(holm, "block", "left").crossJoin(inference.combined_p(found).select("fisher", "fisher_p", "holm_least"))  # one row
 
 
 @query("stationary_interval")

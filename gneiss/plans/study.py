@@ -235,14 +235,15 @@ def rank_cliques(spark, d) -> DataFrame:
 
 @query(
     "decile_lift",
-    f"""with {P.FEATURES_SQL}, e as (select quantile_cont(mean_amount, [0, 0.25, 0.5, 0.75, 1]) as q from feats), b as (select target, case when mean_amount <= q[2] then 0 when mean_amount <= q[3] then 1 when mean_amount <= q[4] then 2 else 3 end as bin from feats, e where mean_amount is not null)
+    f"""with {P.FEATURES_SQL}, e as (select quantile_cont(mean_amount, [{', '.join(str(i / 10) for i in range(11))}]) as q from feats), b as (select target, case {' '.join(f'when mean_amount <= q[{i + 2}] then {i}' for i in range(9))} else 9 end as bin from feats, e where mean_amount is not null)
         select bin, count(*) as n, avg(target) as rate, avg(target) / (select avg(target) from b) as lift from b group by bin""",
     "bin, n",
     "rate, lift",
 )
 def decile_lift(spark, d) -> DataFrame:
+    """Clients, rate and lift of each tenth of the mean amount."""
     f = P.features(spark, d).where("mean_amount is not null")
-    b = f.select("target", collapse.bucket(F.col("mean_amount"), collapse.quantile_edges(f, "mean_amount", 4)).alias("bin"))
+    b = f.select("target", collapse.bucket(F.col("mean_amount"), collapse.quantile_edges(f, "mean_amount", 10)).alias("bin"))
     return b.groupBy("bin").agg(F.count("*").alias("n"), F.avg("target").alias("rate")).crossJoin(b.agg(F.avg("target").alias("whole"))).select("bin", "n", "rate", (F.col("rate") / F.col("whole")).alias("lift"))
 
 
@@ -355,11 +356,13 @@ def confidence_set(spark, d) -> DataFrame:
 
 @query("reality_check")
 def reality_check(spark, d) -> DataFrame:
+    """Whether a model of squared errors beats another: the three studentised p-values, the reality check, and the models that the stepwise test finds better."""
     from gneiss.operators import resampling
 
     e = P.errors(spark, d).select("row", (F.col("e1") * F.col("e1")).alias("a"), (F.col("e2") * F.col("e2")).alias("b"))
     m = resampling.block_series(e, ["a", "b"], 100)
-    return spark.createDataFrame(list(resampling.reality_check(m[:, 1], m[:, :1]).items()), "test string, p double")
+    found = resampling.reality_check(m[:, 1], m[:, :1], names=["a"])
+    return spark.createDataFrame([(k, v, ", ".join(found["names"])) for k, v in found.items() if k != "names"], "test string, p double, better string")
 
 
 @query("auc_interval")

@@ -55,5 +55,8 @@ def test_intervals_and_sets():
     assert resampling.reality_check(losses[:, 2], losses[:, :2], n=300)["better"] >= 1 > resampling.reality_check(losses[:, 0], losses[:, 2:], n=300)["better"]
     assert resampling.reality_check(losses[:, 2], losses[:, :2], n=300)["spa"] < 0.05
     assert resampling.reality_check(losses[:, 0], losses[:, 2:], n=300)["reality_check"] > 0.5
+    found = resampling.reality_check(losses[:, 2], np.column_stack((losses, losses[:, 2] + rng.normal(0.5, 0.3, 300))), n=300, names=["a", "b", "same", "worse"])
+    assert found["names"] == ["a", "b"] and found["better"] == 2 and found["spa_lower"] <= found["spa"] <= found["spa_upper"] < 0.05
+    assert resampling.reality_check(losses[:, 0], losses[:, :1])["spa"] == 1.0
     i = resampling.stationary_indices(50, 5, np.random.default_rng(random.Random(1).randint(0, 9)))
     assert len(i) == 50 and 0 <= i.min() and i.max() < 50

@@ -76,3 +76,24 @@ def test_distribution_functions():
     assert math.isclose(D.f_upper(4.964603, 1, 10), 0.05, abs_tol=1e-6)
     assert math.isclose(D.t_two_sided(2.228139, 10), 0.05, abs_tol=1e-6)
     assert math.isclose(D.studentized_range_quantile(0.05, 3), 3.314, abs_tol=2e-3)
+
+
+def test_narrowed_and_without_constant(spark):
+    from gneiss.operators import collapse
+
+    df = spark.createDataFrame([(i, i * 1000, 10**12, 0.5 * i, 0.1, None if i else "x", 7) for i in range(100)], "a long, b long, c long, d double, e double, f string, g int")
+    assert dict(collapse.narrowed(df).dtypes) == {"a": "tinyint", "b": "int", "c": "bigint", "d": "float", "e": "double", "f": "string", "g": "tinyint"}
+    assert collapse.narrowed(df).selectExpr("sum(a)", "sum(b)", "sum(c)", "sum(d)").collect() == df.selectExpr("sum(a)", "sum(b)", "sum(c)", "sum(d)").collect()
+    assert collapse.without_constant(df).columns == ["a", "b", "d"]
+    assert collapse.without_constant(df.where("false")).columns == df.columns
+
+
+def test_block_values_combined(spark):
+    import math
+
+    from gneiss.operators import inference
+
+    p = [0.01, 0.2, 0.04, None]
+    r = inference.combined_p(spark.createDataFrame([(x,) for x in p], "p double")).first()
+    x = -2 * sum(math.log(v) for v in p[:3])
+    assert abs(r.fisher - x) < 1e-9 and abs(r.fisher_p - math.exp(-x / 2) * (1 + x / 2 + (x / 2) ** 2 / 2)) < 1e-9 and abs(r.holm_least - 0.03) < 1e-12 and r.n == 3
