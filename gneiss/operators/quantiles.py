@@ -28,7 +28,7 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[st
     """
     probs, by = sorted(set(map(float, probs))), list(by)
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
-    found = _selected(rows, probs, by, 2 / accuracy, accuracy)
+    found = materialize(_selected(rows, probs, by, 2 / accuracy, accuracy), "quantiles")
     # the sketch may err; then brackets are whole ranges
     if found.where("q is null").first() is not None:
         found = _selected(rows, probs, by, 1.0, accuracy)
