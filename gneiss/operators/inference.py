@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.operators import order
+from gneiss.sources.storage import materialize
 
 
 def adjust_p(df: DataFrame) -> DataFrame:
@@ -55,9 +56,10 @@ def friedman(df: DataFrame) -> DataFrame:
 def autocovariances(df: DataFrame, lags: int) -> DataFrame:
     """``n``, ``mean`` and sums ``g0`` .. ``g<lags>`` of products of the centred ``x`` and its lags, over ``row``."""
     known = df.select("row", "x").where("x is not null")
-    centred = known.crossJoin(known.agg(F.avg("x").alias("mean"))).withColumn("x", F.col("x") - F.col("mean"))
-    both = order.lagged(centred, "row", "x", range(1, lags + 1)) if lags else centred
-    return both.agg(F.count("*").alias("n"), F.max("mean").alias("mean"), F.sum(F.col("x") * F.col("x")).alias("g0"), *(F.sum(F.col("x") * F.col(f"lag_{k}")).alias(f"g{k}") for k in range(1, lags + 1)))
+    mean = known.agg(F.avg("x").alias("mean"), F.count("*").alias("n"))
+    centred = known.crossJoin(mean.select("mean")).withColumn("x", F.col("x") - F.col("mean"))
+    sums = order.lag_products(centred, "row", "x", lags).select(*(F.get("sums", F.lit(k)).alias(f"g{k}") for k in range(lags + 1)))
+    return mean.select("n", "mean").join(sums, how="left")  # one row
 
 
 def newey_west(df: DataFrame, lags: int) -> DataFrame:
@@ -69,18 +71,41 @@ def newey_west(df: DataFrame, lags: int) -> DataFrame:
     return t.select("n", total.alias("variance"))
 
 
+def placements(counts: DataFrame, score: str) -> DataFrame:
+    """From numbers of rows of both classes ``p``, ``q``: for each distinct score its rows of class 1 and 0 (``pos``, ``neg``) and their placements ``v1``, ``v0``.
+
+    A placement is the share of the other class on the right side of the
+    score (below for class 1, above for class 0), ties half.
+    """
+    values = counts.groupBy(score).agg(F.sum("p").alias("pos"), F.sum("q").alias("neg"))
+    upto = order.running(values, [F.asc(score)], {"__pos": F.col("pos"), "__neg": F.col("neg")})
+    whole = counts.agg(F.sum("p").alias("__m"), F.sum("q").alias("__n"))
+    below, above = F.col("__neg") - F.col("neg") / 2, F.col("__m") - F.col("__pos") + F.col("pos") / 2
+    return upto.crossJoin(whole).select(score, "pos", "neg", F.try_divide(below, F.col("__n").cast("double")).alias("v1"), F.try_divide(above, F.col("__m").cast("double")).alias("v0"))
+
+
+def weighted_variance(x: Column, n: Column) -> Column:
+    """Sample variance of values that stand for ``n`` rows each."""
+    total, sums = F.sum(n), F.sum(n * x)
+    return F.try_divide(F.sum(n * x * x) - F.try_divide(sums * sums, total), total - 1)
+
+
 def delong(df: DataFrame) -> DataFrame:
     """AUCs of two scores ``s1``, ``s2`` of the same rows, with the variance of their difference and z.
 
-    Placements come from average ranks among all rows and among the own class.
+    Rows of equal scores and class are one row with a number; placements come
+    from the distinct values of each score.
     """
-    rows = df.where("y is not null and s1 is not null and s2 is not null")
+    rows = df.where("y is not null and s1 is not null and s2 is not null").select("y", "s1", "s2")
+    counts = materialize(rows.groupBy("y", "s1", "s2").agg(F.count("*").alias("n")), "equal_scores")
+    placed = counts
     for i in (1, 2):
-        rows = order.tie_ranks(order.tie_ranks(rows, f"s{i}", name=f"r{i}"), f"s{i}", ["y"], name=f"o{i}")
-    c = rows.agg(F.sum("y").alias("m"), F.sum(1 - F.col("y")).alias("n"))
-    v = rows.crossJoin(c)
-    placed = v.select("y", "m", "n", *(F.when(F.col("y") == 1, (F.col(f"r{i}") - F.col(f"o{i}")) / F.col("n")).otherwise(1 - (F.col(f"r{i}") - F.col(f"o{i}")) / F.col("m")).alias(f"v{i}") for i in (1, 2)))
-    t = placed.groupBy("y").agg(F.avg("v1").alias("a1"), F.avg("v2").alias("a2"), F.var_samp(F.col("v1") - F.col("v2")).alias("d"), F.count("*").alias("n"))
+        weighed = counts.select(f"s{i}", (F.col("y") * F.col("n")).alias("p"), ((1 - F.col("y")) * F.col("n")).alias("q"))
+        found = placements(weighed, f"s{i}").select(f"s{i}", F.col("v1").alias(f"v1_{i}"), F.col("v0").alias(f"v0_{i}"))
+        placed = placed.join(found, f"s{i}").withColumn(f"v{i}", F.when(F.col("y") == 1, F.col(f"v1_{i}")).otherwise(F.col(f"v0_{i}")))
+    n = F.col("n")
+    mean = lambda c: F.sum(n * F.col(c)) / F.sum(n)
+    t = placed.groupBy("y").agg(mean("v1").alias("a1"), mean("v2").alias("a2"), weighted_variance(F.col("v1") - F.col("v2"), n).alias("d"), F.sum(n).alias("n"))
     out = t.agg(F.max(F.when(F.col("y") == 1, F.col("a1"))).alias("auc1"), F.max(F.when(F.col("y") == 1, F.col("a2"))).alias("auc2"), F.sum(F.col("d") / F.col("n")).alias("variance"))
     return out.select("auc1", "auc2", "variance", F.try_divide(F.col("auc1") - F.col("auc2"), F.sqrt("variance")).alias("z"))
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions.columns import uniform
 from gneiss.functions.distributions import normal_two_sided
-from gneiss.operators import metrics, order, splits
+from gneiss.operators import inference, metrics, order, splits
 from gneiss.operators.products import matrix_sums
 from gneiss.sources.storage import materialize
 
@@ -129,12 +129,12 @@ def recalibrated_out_of_fold(df: DataFrame, method: str, fold: str = "fold") ->
 
 def delong_interval(df: DataFrame, score: str, level_z: float = 1.959963984540054) -> DataFrame:
     """AUC of a score with DeLong's standard error and the normal interval, cut at 0 and 1."""
-    rows = df.where(F.col("y").isNotNull() & F.col(score).isNotNull()).select("y", F.col(score).alias("s"))
-    rows = order.tie_ranks(order.tie_ranks(rows, "s", name="among_all"), "s", ["y"], name="among_own")
-    sizes = rows.agg(F.sum("y").alias("m"), F.sum(1 - F.col("y")).alias("n"))
-    lead = F.col("among_all") - F.col("among_own")
-    placed = rows.crossJoin(sizes).select("y", F.when(F.col("y") == 1, lead / F.col("n")).otherwise(1 - lead / F.col("m")).alias("v"))
-    t = placed.groupBy("y").agg(F.avg("v").alias("auc"), F.var_samp("v").alias("d"), F.count("*").alias("k"))
+    rows = df.where(F.col("y").isNotNull() & F.col(score).isNotNull())
+    counts = materialize(rows.groupBy(F.col(score).alias("s")).agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q")), "equal_scores")
+    sides = F.explode(F.array(*(F.struct(F.lit(k).alias("y"), F.col(n).alias("n"), F.col(v).alias("v")) for k, n, v in ((1, "pos", "v1"), (0, "neg", "v0"))))).alias("c")
+    placed = inference.placements(counts, "s").select(sides).select("c.*").where("n > 0")
+    n = F.col("n")
+    t = placed.groupBy("y").agg((F.sum(n * F.col("v")) / F.sum(n)).alias("auc"), inference.weighted_variance(F.col("v"), n).alias("d"), F.sum(n).alias("k"))
     t = t.agg(F.max(F.when(F.col("y") == 1, F.col("auc"))).alias("auc"), F.sqrt(F.sum(F.col("d") / F.col("k"))).alias("se"))
     return t.select("auc", "se", F.greatest(F.col("auc") - level_z * F.col("se"), F.lit(0.0)).alias("low"), F.least(F.col("auc") + level_z * F.col("se"), F.lit(1.0)).alias("high"))
 

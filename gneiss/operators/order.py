@@ -7,8 +7,11 @@ part its start, and windows run inside parts only.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +75,64 @@ def lagged(df: DataFrame, row: str, value: str, lags: Sequence[int]) -> DataFram
     return out.where("__at = __block").drop("__pos", "__block", "__at")
 
 
+def _inside(lags: int) -> Callable:
+    """Products of a sorted part, with the values at both its ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, head, tail, n = np.zeros(lags + 1), np.zeros(0), np.zeros(0), 0
+        for batch in batches:
+            own = batch.column("x").to_numpy(zero_copy_only=False)
+            x, n = np.concatenate([tail, own]), n + len(own)
+            for k in range(lags + 1):
+                at = max(len(tail), k)
+                if at < len(x):
+                    sums[k] += x[at:] @ x[at - k : len(x) - k]
+            if len(head) < lags:
+                head = np.concatenate([head, own])[:lags]
+            tail = x[max(len(x) - lags, 0) :]
+        if n:
+            columns = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64()), *(pa.array([v], pa.list_(pa.float64())) for v in (sums, head, tail))]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "n", "sums", "head", "tail"])
+
+    return run
+
+
+def _across(lags: int) -> Callable:
+    """Products of all parts: those inside, and those of a part's first values with the last ones before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, carried, n = np.zeros(lags + 1), np.zeros(0), 0
+        for batch in batches:
+            for part in batch.to_pylist():
+                head, tail = np.array(part["head"]), np.array(part["tail"])
+                x = np.concatenate([carried, head])
+                for k in range(1, lags + 1):
+                    # positions in the head whose partner lies before the part
+                    low, high = max(len(carried), k), min(len(carried) + k, len(x))
+                    if low < high:
+                        total[k] += x[low:high] @ x[low - k : high - k]
+                total, n = total + np.array(part["sums"]), n + part["n"]
+                both = np.concatenate([carried, tail])
+                carried = both[max(len(both) - lags, 0) :]
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total], pa.list_(pa.float64()))], ["n", "sums"])
+
+    return run
+
+
+def lag_products(df: DataFrame, row: str, value: str, lags: int) -> DataFrame:
+    """``n`` and ``sums``: for k from 0 to ``lags`` the sum of products of a column (without nulls) and its value k rows before, in order of ``row``.
+
+    Rows are dealt by range once and summed as they stream by. What meets
+    beyond a part's ends is in the first and last values of the parts, of
+    which one task reads a row for each part. An empty table gives no row.
+    """
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.select(row, F.col(value).cast("double").alias("x")).repartitionByRange(n, F.col(row)).sortWithinPartitions(row).select("x")
+    parts = dealt.mapInArrow(_inside(lags), "part int, n long, sums array<double>, head array<double>, tail array<double>")
+    return parts.repartition(1).sortWithinPartitions("part").mapInArrow(_across(lags), "n long, sums array<double>")
+
+
 def rolling(df: DataFrame, order: Sequence[Column], values: dict[str, Column], window: int, least: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """``df`` with means of ``values`` over a centred window of rows in an order, within groups ``by`` (not null).
 

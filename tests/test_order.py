@@ -98,3 +98,31 @@ def test_a_shared_folder_is_asked_for_on_a_cluster():
 
     with pytest.raises(ValueError, match="checkpoint"):
         storage.shared_dir(Session)
+
+
+@pytest.mark.parametrize(("n", "lags"), [(0, 2), (1, 3), (5, 8), (500, 1), (500, 40), (37, 36), (300, 0)])
+def test_lag_products_cross_parts(spark, n, lags):
+    rng = random.Random(n + lags)
+    x = [rng.gauss(0, 1) for _ in range(n)]
+    rows = [(i * 3, v) for i, v in enumerate(x)]
+    rng.shuffle(rows)
+    found = order.lag_products(spark.createDataFrame(rows, "k long, v double"), "k", "v", lags).collect()
+    if not n:
+        assert found == []
+        return
+    assert found[0].n == n
+    assert np.allclose(found[0].sums, [sum(x[i] * x[i - k] for i in range(k, n)) for k in range(lags + 1)])
+
+
+def test_lag_products_of_small_batches_and_parts(spark):
+    x = [float((7 * i) % 11) for i in range(60)]
+    rows = spark.createDataFrame(list(enumerate(x)), "k long, v double")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    spark.conf.set("spark.sql.shuffle.partitions", "25")
+    try:
+        found = order.lag_products(rows, "k", "v", 7).first()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert np.allclose(found.sums, [sum(x[i] * x[i - k] for i in range(k, 60)) for k in range(8)])
