@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["relational", "evaluation", "learning", "study", "intake", "summaries", "modelling", "explanations", "resumable"]
+MODULES = ["relational", "evaluation", "learning", "study", "intake", "summaries", "modelling", "explanations", "resumable", "tuning"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -27,14 +27,15 @@ from gneiss.operators.products import matrix_sums
 from gneiss.sources.storage import materialize
 
 
-def _class_stats(columns: Sequence[str], target: str) -> list[Column]:
+def class_stats(columns: Sequence[str], target: str) -> list[Column]:
+    """Numbers of both classes, and the means and variances that :func:`log_odds` needs."""
     own = lambda k, c: F.when(F.col(target) == k, F.col(c))
     counts = [F.count(F.when(F.col(target) == k, 1)).alias(f"n_{k}") for k in (0, 1)]
     return counts + [f(own(k, c)).alias(f"{n}_{k}_{c}") for k in (0, 1) for c in columns for n, f in (("m", F.avg), ("v", F.var_pop))] + [F.var_pop(c).alias(f"w_{c}") for c in columns]
 
 
-def _log_odds(columns: Sequence[str], smoothing: float) -> Column:
-    """Gaussian naive Bayes from the columns of :func:`_class_stats`; missing values of a row add nothing."""
+def log_odds(columns: Sequence[str], smoothing: float) -> Column:
+    """Gaussian naive Bayes from the columns of :func:`class_stats`; missing values of a row add nothing."""
     widest = reduce(lambda a, b: F.greatest(a, b), (F.col(f"w_{c}") for c in columns))
     out = F.log(F.col("n_1") / F.col("n_0"))
     for c in columns:
@@ -60,9 +61,9 @@ def nested_scores(df: DataFrame, key: str, target: str, candidates: dict[str, Se
     fits = F.array(*(F.struct(F.lit(k).alias("outer_fold"), F.lit(j).alias("inner_fold")) for k in range(outer) for j in range(-1, inner)))
     roles = cells.withColumn("fit", F.explode(fits)).select("*", "fit.*").drop("fit")
     outside, k, j = F.col("own") != F.col("outer_fold"), F.col("outer_fold"), F.col("inner_fold")
-    stats = roles.where(outside & (F.col("deal") != j)).groupBy("outer_fold", "inner_fold").agg(*_class_stats(columns, target))
+    stats = roles.where(outside & (F.col("deal") != j)).groupBy("outer_fold", "inner_fold").agg(*class_stats(columns, target))
     held = roles.where(F.when(j == -1, F.col("own") == k).otherwise(outside & (F.col("deal") == j))).join(F.broadcast(stats), ["outer_fold", "inner_fold"])  # a row for each fit
-    found = F.array(*(F.struct(F.lit(name).alias("candidate"), _log_odds(own, smoothing).alias("s")) for name, own in candidates.items()))
+    found = F.array(*(F.struct(F.lit(name).alias("candidate"), log_odds(own, smoothing).alias("s")) for name, own in candidates.items()))
     return held.select("outer_fold", "inner_fold", F.col(target).alias("y"), F.explode(found).alias("c")).select("outer_fold", "inner_fold", "y", "c.*")
 
 
@@ -97,7 +98,7 @@ def final_evaluation(dev: DataFrame, test: DataFrame, key: str, target: str, can
     limits = sorted(r.cost_threshold for r in folds if r.cost_threshold is not None)
     limit = float(np.median(limits)) if limits else float("inf")
     columns = list(candidates[chosen])
-    scored = test.crossJoin(F.broadcast(dev.where(F.col(target).isNotNull()).agg(*_class_stats(columns, target)))).select(F.col(target).alias("y"), _log_odds(columns, smoothing).alias("s"))  # one row of statistics
+    scored = test.crossJoin(F.broadcast(dev.where(F.col(target).isNotNull()).agg(*class_stats(columns, target)))).select(F.col(target).alias("y"), log_odds(columns, smoothing).alias("s"))  # one row of statistics
     return metrics.ranking(scored).crossJoin(metrics.confusion(scored, limit)).select(F.lit(chosen).alias("candidate"), "n", "auc", "ap", "tp", "fp", "fn", "tn")
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.functions.columns import uniform
-from gneiss.sources.storage import table
+from gneiss.operators.modelling import class_stats, log_odds
+from gneiss.sources.storage import materialize, table
 
 LAST_DAY = "2001-08-01"
 
@@ -43,10 +44,30 @@ FEATURES_SQL = f"""{TARGET_SQL}, {HISTORY_SQL}, feats as (
     from clients c left join history h on h.o_custkey = c.c_custkey group by c.c_custkey, c.target, c.c_nationkey)"""
 FEATURES = ["mean_amount", "max_amount", "total_amount", "n_orders", "mean_days", "closed"]
 
-#: Scores of two made-up models with ties, and the target.
-SCORES_SQL = f"""{TARGET_SQL}, scored as (
-    select c_custkey as row, target as y, round(0.3 * target + 0.7 * {uniform_sql('c_custkey', seed=1)}, 2) as s,
-           round(0.2 * target + 0.8 * {uniform_sql('c_custkey', seed=2)}, 2) as s2, cast(floor({uniform_sql('c_custkey', seed=3)} * 5) as integer) as fold from clients)"""
+#: Columns of two naive Bayes models; the tables hold no column that tells a negative balance, so a noisy measurement of it stands in.
+MODELS = {"s": ["sign_1", "mean_amount", "n_orders", "closed"], "s2": ["sign_2", "max_amount", "mean_days"]}
+SIGNS = {"sign_1": (0.3, 1), "sign_2": (0.2, 2)}
+SMOOTHING = 1e-9
+
+
+def _moments_sql(columns: list[str]) -> str:
+    own = ", ".join(f"avg({c}) filter (target = {k}) as m{k}_{c}, var_pop({c}) filter (target = {k}) as v{k}_{c}" for c in columns for k in (0, 1))
+    return f"count(*) filter (target = 1) as n1, count(*) filter (target = 0) as n0, {own}, {', '.join(f'var_pop({c}) as w_{c}' for c in columns)}"
+
+
+def _score_sql(columns: list[str]) -> str:
+    """Chance of a negative balance under a model."""
+    extra = f"{SMOOTHING} * greatest({', '.join('w_' + c for c in columns)})"
+    term = lambda k, c: f"(-ln(v{k}_{c} + {extra}) / 2 - ({c} - m{k}_{c}) * ({c} - m{k}_{c}) / (2 * (v{k}_{c} + {extra})))"
+    return "1 / (1 + exp(-(ln(n1 / n0)" + "".join(f" + coalesce({term(1, c)} - {term(0, c)}, 0)" for c in columns) + ")))"
+
+
+#: Scores of the two models, fitted on customers with u < 0.8, of all customers, and the target. Customers without orders have ties.
+SCORES_SQL = f"""{FEATURES_SQL}, signed as (select *, {', '.join(f"round({gain} * target + {1 - gain} * {uniform_sql('c_custkey', seed=seed)}, 2) as {c}" for c, (gain, seed) in SIGNS.items())} from feats),
+    moments as (select {_moments_sql([c for own in MODELS.values() for c in own])} from signed where u < 0.8),
+    scored as (
+    select c_custkey as row, target as y, {', '.join(f'{_score_sql(own)} as {name}' for name, own in MODELS.items())},
+           cast(floor({uniform_sql('c_custkey', seed=3)} * 5) as integer) as fold from signed, moments)"""
 #: Errors of two models over ordered rows.
 ERRORS_SQL = f"""errors as (
     select o_orderkey as row, {uniform_sql('o_orderkey', seed=4)} - 0.5 as e1, {uniform_sql('o_orderkey', seed=5)} - 0.45 as e2, {uniform_sql('o_orderkey', seed=6)} as y from orders)"""
@@ -101,11 +122,14 @@ def features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
-    c = clients(spark, d)
-    return c.select(
-        F.col("c_custkey").alias("row"), F.col("target").alias("y"), F.round(0.3 * F.col("target") + 0.7 * uniform("c_custkey", seed=1), 2).alias("s"),
-        F.round(0.2 * F.col("target") + 0.8 * uniform("c_custkey", seed=2), 2).alias("s2"), F.floor(uniform("c_custkey", seed=3) * 5).cast("int").alias("fold"),
-    )
+    f = features(spark, d)
+    signs = {c: F.round(gain * F.col("target") + (1 - gain) * uniform("c_custkey", seed=seed), 2) for c, (gain, seed) in SIGNS.items()}
+    # two branches need it, and it is a join of the customers with their history
+    signed = materialize(f.withColumns(signs).select("c_custkey", "target", "u", *(c for own in MODELS.values() for c in own)), "signed")
+    stats = signed.where("u < 0.8").agg(*class_stats([c for own in MODELS.values() for c in own], "target"))
+    scored = signed.crossJoin(F.broadcast(stats))  # one row of statistics
+    models = [(1 / (1 + F.exp(-log_odds(own, SMOOTHING)))).alias(name) for name, own in MODELS.items()]
+    return scored.select(F.col("c_custkey").alias("row"), F.col("target").alias("y"), *models, F.floor(uniform("c_custkey", seed=3) * 5).cast("int").alias("fold"))
 
 
 def errors(spark: SparkSession, d: str) -> DataFrame:
