@@ -140,10 +140,14 @@ def reality_check(benchmark: np.ndarray, losses: np.ndarray, length: float = 5.0
 
 
 def white_test(df: DataFrame) -> DataFrame:
-    """White's statistic n * R2 of squared errors ``e`` on (1, f, f^2), from moments; null without spread."""
-    f, y = F.col("f"), F.col("e") * F.col("e")
+    """White's statistic n * R2 of squared errors ``e`` on (1, f, f^2), from moments; null without spread.
+
+    ``f`` is centred first, which changes nothing but the rounding: far from
+    zero a small spread and its squares are nearly in line.
+    """
+    f, y = F.col("f") - F.col("__mean"), F.col("e") * F.col("e")
     a, b = f, f * f
-    t = df.agg(F.count("*").alias("n"), F.var_pop(a).alias("aa"), F.var_pop(b).alias("bb"), F.covar_pop(a, b).alias("ab"), F.covar_pop(a, y).alias("ay"), F.covar_pop(b, y).alias("by"), F.var_pop(y).alias("yy"))
+    t = df.crossJoin(df.agg(F.avg("f").alias("__mean"))).agg(F.count("*").alias("n"), F.var_pop(a).alias("aa"), F.var_pop(b).alias("bb"), F.covar_pop(a, b).alias("ab"), F.covar_pop(a, y).alias("ay"), F.covar_pop(b, y).alias("by"), F.var_pop(y).alias("yy"))
     det = F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab")
     fit = F.try_divide(F.col("ay") * F.col("ay") * F.col("bb") - 2 * F.col("ay") * F.col("by") * F.col("ab") + F.col("by") * F.col("by") * F.col("aa"), det)
     return t.select("n", F.try_divide(F.col("n") * fit, F.col("yy")).alias("lm"))

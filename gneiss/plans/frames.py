@@ -52,14 +52,14 @@ SMOOTHING = 1e-9
 
 def _moments_sql(columns: list[str]) -> str:
     own = ", ".join(f"avg({c}) filter (target = {k}) as m{k}_{c}, var_pop({c}) filter (target = {k}) as v{k}_{c}" for c in columns for k in (0, 1))
-    return f"count(*) filter (target = 1) as n1, count(*) filter (target = 0) as n0, {own}, {', '.join(f'var_pop({c}) as w_{c}' for c in columns)}"
+    return f"{own}, {', '.join(f'var_pop({c}) as w_{c}' for c in columns)}"
 
 
 def _score_sql(columns: list[str]) -> str:
-    """Chance of a negative balance under a model."""
+    """Chance of a negative balance under a model that takes both classes as equally frequent."""
     extra = f"{SMOOTHING} * greatest({', '.join('w_' + c for c in columns)})"
     term = lambda k, c: f"(-ln(v{k}_{c} + {extra}) / 2 - ({c} - m{k}_{c}) * ({c} - m{k}_{c}) / (2 * (v{k}_{c} + {extra})))"
-    return "1 / (1 + exp(-(ln(n1 / n0)" + "".join(f" + coalesce({term(1, c)} - {term(0, c)}, 0)" for c in columns) + ")))"
+    return "1 / (1 + exp(-(" + " + ".join(f"coalesce({term(1, c)} - {term(0, c)}, 0)" for c in columns) + ")))"
 
 
 #: Scores of the two models, fitted on customers with u < 0.8, of all customers, and the target. Customers without orders have ties.
@@ -128,7 +128,7 @@ def scores(spark: SparkSession, d: str) -> DataFrame:
     signed = materialize(f.withColumns(signs).select("c_custkey", "target", "u", *(c for own in MODELS.values() for c in own)), "signed")
     stats = signed.where("u < 0.8").agg(*class_stats([c for own in MODELS.values() for c in own], "target"))
     scored = signed.crossJoin(F.broadcast(stats))  # one row of statistics
-    models = [(1 / (1 + F.exp(-log_odds(own, SMOOTHING)))).alias(name) for name, own in MODELS.items()]
+    models = [(1 / (1 + F.exp(F.log(F.col("n_1") / F.col("n_0")) - log_odds(own, SMOOTHING)))).alias(name) for name, own in MODELS.items()]  # classes as equally frequent
     return scored.select(F.col("c_custkey").alias("row"), F.col("target").alias("y"), *models, F.floor(uniform("c_custkey", seed=3) * 5).cast("int").alias("fold"))
 
 

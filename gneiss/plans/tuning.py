@@ -65,13 +65,12 @@ _Q = {m: f"n * (n + 2) * ({' + '.join(f'pow(g{k} / g0, 2) / (n - {k})' for k in
     f"""with {_LINES}, e as (select row_number() over (order by l_orderkey, l_linenumber, y, fitted) as row, y - fitted as e, fitted as f from fitted where part = 'test'),
         c as (select row, e - (select avg(e) from e) as x from e), l as (select x, {', '.join(f'lag(x, {k}) over (order by row) as x{k}' for k in _LAGS)} from c),
         g as (select count(*) as n, sum(x * x) as g0, {', '.join(f'sum(x * x{k}) as g{k}' for k in _LAGS)}, avg(x * x) as m2, avg(pow(x, 3)) as m3, avg(pow(x, 4)) as m4 from l),
-        v as (select e * e as y, f as a, f * f as b from e), t as (select var_pop(a) as aa, var_pop(b) as bb, covar_pop(a, b) as ab, covar_pop(a, y) as ay, covar_pop(b, y) as by_, var_pop(y) as yy from v),
+        v as (select e * e as y, f - (select avg(f) from e) as a, pow(f - (select avg(f) from e), 2) as b from e), t as (select var_pop(a) as aa, var_pop(b) as bb, covar_pop(a, b) as ab, covar_pop(a, y) as ay, covar_pop(b, y) as by_, var_pop(y) as yy from v),
         s as (select n, n * ((ay * ay * bb - 2 * ay * by_ * ab + by_ * by_ * aa) / (aa * bb - ab * ab)) / yy as white, {_Q[10]} as q_10, {_Q[20]} as q_20, m3 / pow(m2, 1.5) as skew, m4 / (m2 * m2) - 3 as kurtosis,
               n / 6 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4) as jarque_bera from g, t)
         select *, exp(-white / 2) as p_white, {_chi2_sql('q_10', 10)} as p_10, {_chi2_sql('q_20', 20)} as p_20, exp(-jarque_bera / 2) as p_jarque_bera from s""",
     "n",
     "white, p_white, q_10, p_10, q_20, p_20, skew, kurtosis, jarque_bera, p_jarque_bera",
-    5,
 )
 def residual_tests(spark, d) -> DataFrame:
     """The same tests but that of blocks."""
