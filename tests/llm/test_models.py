@@ -5,6 +5,8 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from gneiss.llm import line_dedup, ngram_quality, toxicity
 
@@ -150,3 +152,47 @@ def test_thresholds_by_language(spark, frame):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r.kept == (r.n_chars > 0) for r in ngram_quality.classify(frame(rows, "doc_id long, text string, lang string"), none).collect())
     assert ngram_quality.classify(frame([], "doc_id long, text string, lang string"), labels).count() == 0
+
+
+def test_toxicity_weights_equal_a_plain_optimiser(monkeypatch):
+    rng = np.random.default_rng(8)
+    words = np.arange(1, 7, dtype=np.uint64)
+    lists = [sorted(rng.choice(6, rng.integers(0, 5), replace=False).tolist()) for _ in range(90)]
+    other = [sorted(set(v) ^ {0, 1}) for v in lists[:25]]  # copies that swap the first two words
+    y = np.array([float(rng.random() < (0.8 if 0 in v or 2 in v else 0.2)) for v in lists])
+    kind = pa.list_(pa.int32())
+    monkeypatch.setattr(toxicity, "BLOCK_ROWS", 7)
+    pack = lambda v: toxicity._Rows(pa.array(v, kind))
+    got = toxicity._fit(toxicity.Model(-1.0, words), pack(lists), (pack(lists[:25]), pack(other)), y)
+
+    dense = lambda v: np.array([[float(i in own) for i in range(6)] for own in v])
+    x, change = np.column_stack([dense(lists), np.ones(90)]), dense(lists[:25]) - dense(other)
+    w, ridge = np.zeros(7), np.array([toxicity.RIDGE] * 6 + [1e-6])
+    for _ in range(200_000):  # descent on the same loss
+        p = 1 / (1 + np.exp(-x @ w))
+        slope = x.T @ (p - y) + ridge * w + 2 * toxicity.COUNTERFACTUAL * np.append(change.T @ (change @ w[:6]), 0)
+        w -= slope / (90 + toxicity.RIDGE + 2 * toxicity.COUNTERFACTUAL * 50)
+        if np.abs(slope).max() < 1e-8:
+            break
+    assert np.allclose([*got.weights, got.bias], w, atol=1e-3)
+    free = toxicity._fit(toxicity.Model(-1.0, words), pack(lists), (pack([]), pack([])), y)
+    gap = lambda v: np.abs(change @ v).mean()
+    assert gap(got.weights) < gap(free.weights)
+
+
+def test_toxicity_query_of_whole_tables(spark):
+    """Held-out rows by the checksum of the id, calls by the score, one row a document, and no label of a held-out row used."""
+    from gneiss.llm import queries
+
+    path = "/root/testdata/sf0.001"
+    got = queries.queries()["op8_toxicity"](spark, path).collect()
+    docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id").collect()
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in docs)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    labels = spark.read.parquet(f"{path}/labels.parquet")
+    whole = spark.read.parquet(f"{path}/documents.parquet")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    a = toxicity.train(whole, labels)
+    b = toxicity.train(whole, labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic"))))
+    assert a.bias == b.bias and np.array_equal(a.words, b.words) and np.array_equal(a.weights, b.weights)
