@@ -83,7 +83,7 @@ def _prepared(spark, d) -> tuple[DataFrame, DataFrame]:
     f = P.features(spark, d)
     filled = impute_median(f.where("u < 0.8"), f, NUMBERS)
     scaled = standardize(filled.where("u < 0.8"), filled, NUMBERS).withColumnRenamed("target", "y")
-    scaled = materialize(scaled.select("y", "u", *NUMBERS), "prepared")  # every fit reads it many times
+    scaled = materialize(scaled.select("c_custkey", "y", "u", *NUMBERS), "prepared")  # every fit reads it many times
     return scaled.where("u < 0.8"), scaled.where("u >= 0.8")
 
 

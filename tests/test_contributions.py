@@ -124,3 +124,14 @@ def test_one_column_and_no_cases(spark, rows):
     got = C.model_contributions(rows.limit(5), "id", ["a"], around, predict).collect()
     assert all(r.effect == pytest.approx(r.score - r.base) for r in got) and len(got) == 5
     assert C.importance(C.model_contributions(rows.limit(5), "id", ["a", "b"], C.background(rows, ["a", "b"], 3), predict)).first().feature == "a"
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_prepared_rows_keep_their_key(spark):
+    from gneiss.plans import frames, learning
+
+    train, test = learning._prepared(spark, SF)
+    keys = [r.c_custkey for part in (train, test) for r in part.select("c_custkey").collect()]
+    assert sorted(keys) == sorted(r.c_custkey for r in frames.clients(spark, SF).select("c_custkey").collect())

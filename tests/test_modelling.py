@@ -132,3 +132,10 @@ def test_early_stop_and_coefficients(spark):
     assert rows[0].zeros == sum(r.weight == 0 for r in rows)
     pairs = plans.QUERIES["collinear_coefficients"](spark, SF).collect()
     assert pairs and all(r.opposite == (r.weight_a * r.weight_b < 0) for r in pairs)
+
+
+def test_early_stop_scores_all_held_out_rows(spark):
+    from gneiss.plans.learning import _prepared
+
+    got, (_, held) = plans.QUERIES["boosting_early_stop"](spark, SF).first(), _prepared(spark, SF)
+    assert (got.n, got.p) == (held.count(), held.where("y = 1").count()) and 0 <= got.auc <= 1
