@@ -139,3 +139,11 @@ def test_early_stop_scores_all_held_out_rows(spark):
 
     got, (_, held) = plans.QUERIES["boosting_early_stop"](spark, SF).first(), _prepared(spark, SF)
     assert (got.n, got.p) == (held.count(), held.where("y = 1").count()) and 0 <= got.auc <= 1
+
+
+def test_explanations_are_of_positives(spark):
+    from gneiss.plans.learning import _prepared
+
+    positive = {r.c_custkey for r in _prepared(spark, SF)[0].where("y = 1").select("c_custkey").collect()}
+    got = plans.QUERIES["explanation_agreement"](spark, SF).collect()
+    assert got and {r.id for r in got} <= positive and all(0 <= r.shared <= 2 and -1 <= r.rank_corr <= 1 for r in got)
