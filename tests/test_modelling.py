@@ -147,3 +147,10 @@ def test_explanations_are_of_positives(spark):
     positive = {r.c_custkey for r in _prepared(spark, SF)[0].where("y = 1").select("c_custkey").collect()}
     got = plans.QUERIES["explanation_agreement"](spark, SF).collect()
     assert got and {r.id for r in got} <= positive and all(0 <= r.shared <= 2 and -1 <= r.rank_corr <= 1 for r in got)
+
+
+def test_artifact_scores_all_held_out_rows(spark):
+    from gneiss.plans.learning import _prepared
+
+    got = plans.QUERIES["model_artifact"](spark, SF).first()
+    assert (got.n, got.different) == (_prepared(spark, SF)[1].count(), 0)
