@@ -135,3 +135,17 @@ def test_prepared_rows_keep_their_key(spark):
     train, test = learning._prepared(spark, SF)
     keys = [r.c_custkey for part in (train, test) for r in part.select("c_custkey").collect()]
     assert sorted(keys) == sorted(r.c_custkey for r in frames.clients(spark, SF).select("c_custkey").collect())
+
+
+def _test_keys(spark):
+    from gneiss.plans import learning
+
+    return sorted(r.c_custkey for r in learning._prepared(spark, SF)[1].select("c_custkey").collect())
+
+
+def test_model_contributions_query_adds_up_for_every_test_row(spark):
+    from gneiss.plans import explanations
+
+    got = explanations.QUERIES["model_contributions"](spark, SF).groupBy("c_custkey").agg(F.sum("effect").alias("sum"), F.first("score").alias("score"), F.first("base").alias("base"), F.count("*").alias("n")).collect()
+    assert sorted(r.c_custkey for r in got) == _test_keys(spark)
+    assert all(r.n == 3 and r.base + r.sum == pytest.approx(r.score, abs=1e-5) for r in got)
