@@ -149,3 +149,11 @@ def test_model_contributions_query_adds_up_for_every_test_row(spark):
     got = explanations.QUERIES["model_contributions"](spark, SF).groupBy("c_custkey").agg(F.sum("effect").alias("sum"), F.first("score").alias("score"), F.first("base").alias("base"), F.count("*").alias("n")).collect()
     assert sorted(r.c_custkey for r in got) == _test_keys(spark)
     assert all(r.n == 3 and r.base + r.sum == pytest.approx(r.score, abs=1e-5) for r in got)
+
+
+def test_tree_contributions_query_adds_up_for_every_test_row(spark):
+    from gneiss.plans import explanations
+
+    got = explanations.QUERIES["tree_contributions"](spark, SF).groupBy("model", "c_custkey").agg(F.sum("effect").alias("sum"), F.first("margin").alias("margin"), F.first("base").alias("base"), F.count("*").alias("n")).collect()
+    assert all(r.n == 3 and r.base + r.sum == pytest.approx(r.margin, abs=1e-5) for r in got)
+    assert {m: sorted(r.c_custkey for r in got if r.model == m) for m in ("boosting", "forest")} == dict.fromkeys(("boosting", "forest"), _test_keys(spark))
