@@ -157,3 +157,12 @@ def test_tree_contributions_query_adds_up_for_every_test_row(spark):
     got = explanations.QUERIES["tree_contributions"](spark, SF).groupBy("model", "c_custkey").agg(F.sum("effect").alias("sum"), F.first("margin").alias("margin"), F.first("base").alias("base"), F.count("*").alias("n")).collect()
     assert all(r.n == 3 and r.base + r.sum == pytest.approx(r.margin, abs=1e-5) for r in got)
     assert {m: sorted(r.c_custkey for r in got if r.model == m) for m in ("boosting", "forest")} == dict.fromkeys(("boosting", "forest"), _test_keys(spark))
+
+
+def test_tree_importance_query_has_every_column_and_no_gap(spark):
+    from gneiss.plans import explanations
+    from gneiss.plans.learning import NUMBERS
+
+    got = explanations.QUERIES["tree_importance"](spark, SF).collect()
+    assert sorted((r.model, r.feature) for r in got) == sorted((m, c) for m in ("boosting", "forest") for c in NUMBERS)
+    assert all(r.gap < 1e-5 and r.mean_abs >= 0 for r in got)
