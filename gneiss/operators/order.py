@@ -138,19 +138,33 @@ def rolling(df: DataFrame, order: Sequence[Column], values: dict[str, Column], w
 
     A window of w rows has w // 2 of them before the row. A mean of fewer than
     ``least`` values (all of the window, if not given) is null, as at both
-    ends. Rows are cut into blocks of positions; those within reach of a
-    neighbouring block go there too, so no window is longer than a block.
+    ends; means are doubles. Rows are cut into blocks of positions; those
+    within reach of a neighbouring block go there too, so no window is longer
+    than a block. Inside a block the order is cut into runs of as many rows as
+    the window, which so is the end of a run and the start of the next: each
+    row is summed twice whatever the width, and nothing is subtracted.
     """
     before, after, least = window // 2, window - window // 2 - 1, window if least is None else least
     if before >= BLOCK:
         raise ValueError(f"windows must be under {2 * BLOCK} rows")
-    placed = positions(df.withColumns({f"__of_{name}": value for name, value in values.items()}), *order, by=by, name="__pos").withColumn("__block", F.floor(F.col("__pos") / BLOCK))
+    placed = positions(df.withColumns({f"__of_{name}": value.cast("double") for name, value in values.items()}), *order, by=by, name="__pos").withColumn("__block", F.floor(F.col("__pos") / BLOCK))
     inside = F.col("__pos") % BLOCK
     reached = F.filter(F.array("__block", F.when(inside >= BLOCK - before, F.col("__block") + 1), F.when(inside < after, F.col("__block") - 1)), lambda b: b.isNotNull() & (b >= 0))
-    spread = placed.withColumn("__at", F.explode(reached))
-    w = Window.partitionBy(*by, "__at").orderBy("__pos").rowsBetween(-before, after)
-    means = {name: F.when(F.count(f"__of_{name}").over(w) >= least, F.avg(f"__of_{name}").over(w)) for name in values}
-    return spread.withColumns(means).where("__at = __block").drop("__pos", "__block", "__at", *(f"__of_{name}" for name in values))
+    spread = placed.withColumn("__at", F.explode(reached)).withColumn("__run", F.floor(F.col("__pos") / window)).repartition(*map(F.col, by), "__at")
+    run, whole = Window.partitionBy(*by, "__at", "__run"), Window.partitionBy(*by, "__at").orderBy("__pos")
+    sums = lambda w: F.struct("__run", *(f(f"__of_{name}").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(f"{kind}_{name}") for name in values for kind, f in (("sum", F.sum), ("n", F.count))))
+    spread = spread.withColumn("__upto", sums(run.orderBy("__pos"))).withColumn("__from", sums(run.orderBy(F.desc("__pos"))))
+    end = F.last("__upto").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    spread = spread.withColumn("__first", F.lag("__from", before).over(whole)).withColumn("__last", F.coalesce(F.lead("__upto", after).over(whole), end))
+    # one run holds a window that starts a run or is cut off by an end of the table
+    one = F.col("__first.__run") == F.col("__last.__run")
+
+    def total(field: str) -> Column:
+        first, last = (F.coalesce(F.col(f"{side}.{field}"), F.lit(0)) for side in ("__first", "__last"))
+        return F.when(one, first).otherwise(first + last)
+
+    means = {name: F.when(total(f"n_{name}") >= max(least, 1), total(f"sum_{name}") / total(f"n_{name}")) for name in values}
+    return spread.where("__at = __block").withColumns(means).drop("__pos", "__block", "__at", "__run", "__upto", "__from", "__first", "__last", *(f"__of_{name}" for name in values))
 
 
 def tie_ranks(df: DataFrame, value: str, by: Sequence[str] = (), descending: bool = False, name: str = "rank_avg") -> DataFrame:

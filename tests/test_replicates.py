@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -66,3 +68,18 @@ def test_rolling_equals_pandas(spark, monkeypatch, block, window, least):
         assert np.allclose(own.m.astype(float), want, equal_nan=True)
     with pytest.raises(ValueError):
         order.rolling(spark.range(1).toDF("i"), [F.col("i")], {"m": F.col("i")}, 2 * block + 2)
+
+
+def test_wide_rolling_means_sum_each_row_twice(spark):
+    # a frame that is summed anew for each of its 20,000 rows would read 400 million pairs of them, and nothing may be lost in differences of running sums
+    x = [1e17 if i == 5 else float("inf") if i == 19_000 else float(i % 7) for i in range(20_000)]
+    df = spark.createDataFrame(list(enumerate(x)), "i int, x double")
+    frames = lambda: order.rolling(df, [F.col("i")], {"m": F.col("x")}, 2000)
+    got = {r.i: r.m for r in frames().select("i", "m").collect()}
+    for i in (1000, 1004, 1005, 1006, 3000, 7777, 12_345, 17_999, 18_001):
+        assert got[i] == pytest.approx(np.mean(x[i - 1000 : i + 1000])), i
+    assert got[999] is None and got[19_001] is None and got[18_000] == pytest.approx(np.mean(x[17_000:19_000])) and got[18_001] == float("inf")
+    plan = frames()._jdf.queryExecution().optimizedPlan().toString()
+    framed = re.findall(r"specifiedwindowframe\(RowFrame, ([^,]+), ([^)]+(?:\(\))?)\)", plan)
+    # frames of one row or from an end of the partition, none that slides
+    assert framed and not [f for f in framed if f[0] != f[1] and "unbounded" not in f[0]], framed
