@@ -49,3 +49,30 @@ def test_all_cells_are_exact_and_small_tables_work(spark, clustered):
     assert VectorIndex(same).search(same, 2, 3).count() == 10
     empty = VectorIndex(same.where("false"))
     assert empty.table.count() == 0 and empty.search(same, 2, 3).count() == 0
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-170, 1e6, 1e160, float("inf"), float("nan")])
+def test_closest_equals_differences_of_all_pairs(scale):
+    y = RNG.integers(0, 4, (700, 3)) * (scale if np.isfinite(scale) else 1.0) + (1e6 if scale == 1e6 else 0.0)
+    if not np.isfinite(scale):
+        y[5, 1] = scale
+    x = np.concatenate([y[:50], y[:50] * 1.5])
+    for k in (1, 6, 700, 900):
+        with np.errstate(all="ignore"):
+            d = np.sqrt(((x[:, None, :] - y[None]) ** 2).sum(-1))
+        want = np.argsort(d, axis=1, kind="stable")[:, :k]
+        at, near, away = joins.closest(x, y, k)
+        assert (at == np.repeat(np.arange(100), want.shape[1])).all() and (near == want.ravel()).all()
+        assert np.array_equal(away, np.take_along_axis(d, want, 1).ravel(), equal_nan=True)
+
+
+def test_closest_holds_little():
+    import tracemalloc
+
+    x, y = RNG.normal(size=(4096, 64)), RNG.normal(size=(4096, 64))
+    y[:2000] = y[0]
+    tracemalloc.start()
+    joins.closest(x, y, 6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6  # all differences of a step took 320 MB
