@@ -22,11 +22,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.operators.joins import nearest
+from gneiss.operators.joins import closest, nearest
 from gneiss.sources.storage import materialize
 
 #: Rows for each fine centre in the sample of a coarse cell; rows of a coarse cell that one task places.
 SAMPLE, PLACED = 128, 50_000
+#: Rows of a coarse cell and queries that meet in one group of a search.
+SEARCHED, ASKED = 8192, 4096
 
 
 def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -97,7 +99,7 @@ class VectorIndex:
         return materialize(both.applyInPandas(place, "id long, x array<double>, cell long").repartition("cell").sortWithinPartitions("cell"), "cells")
 
     def cells(self, queries: DataFrame, probes: int, vector: str = "embedding") -> DataFrame:
-        """``query``, ``q`` and the ``probes`` nearest cells with their ``place`` from 0: the nearest fine ones of as many coarse cells."""
+        """``query`` and the ``probes`` nearest cells with their ``place`` from 0: the nearest fine ones of as many coarse cells."""
         coarse, most = self.coarse, min(probes, len(self.coarse))
 
         def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,12 +113,44 @@ class VectorIndex:
         asked = asked.mapInPandas(near, "query long, q array<double>, coarse int").join(self.fine, "coarse")
         away = F.aggregate(F.zip_with("q", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
         place = F.row_number().over(Window.partitionBy("query").orderBy("away", "cell")) - 1
-        return asked.withColumn("away", away).withColumn("place", place).where(F.col("place") < probes).select("query", "q", "cell", "place")
+        # vectors stay behind before the shuffle
+        return asked.select("query", "cell", away.alias("away")).withColumn("place", place).where(F.col("place") < probes).select("query", "cell", "place")
 
     def search(self, queries: DataFrame, k: int, probes: int, vector: str = "embedding") -> DataFrame:
         """``query``, ``point``, ``distance`` and ``nth``: the k nearest other rows within the cells of each query; ties by smaller id."""
-        away = F.sqrt(F.aggregate(F.zip_with("q", "x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-        found = self.cells(queries, probes, vector).join(self.table, "cell").where(F.col("query") != F.col("id")).select("query", F.col("id").alias("point"), away.alias("distance"))
+        # cells of a query go together to the parts of their coarse cell, whose rows are dealt evenly
+        coarse = F.shiftright("cell", 32)
+        asked = queries.where(F.col(vector).isNotNull()).select(F.col("id").alias("query"), F.col(vector).cast("array<double>").alias("q"))
+        blocks = max(1, -(-asked.count() // ASKED))
+        chosen = self.cells(queries, probes, vector).groupBy("query", coarse.alias("coarse")).agg(F.collect_list("cell").alias("cells"))
+        tasks = self.table.groupBy(coarse.alias("coarse")).agg(F.ceil(F.count("*") / SEARCHED).alias("tasks"))
+        upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+        left = chosen.join(tasks, "coarse").withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks))).withColumn("part", upto(F.col("tasks"))).join(asked, "query").select("coarse", "part", "block", "query", "q", "cells")
+        right = self.table.withColumn("coarse", coarse).join(tasks, "coarse").withColumn("part", F.pmod(F.xxhash64("id"), F.col("tasks"))).withColumn("block", upto(F.lit(blocks).cast("long"))).select("coarse", "part", "block", "id", "x", "cell")
+
+        def top(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return pd.DataFrame({"query": [], "point": [], "distance": []})
+            b = b.sort_values("id", kind="stable")
+            x, y, ids = np.stack(a["q"]), np.stack(b["x"]), b["id"].to_numpy()
+            own, of = b["cell"].to_numpy(), np.repeat(np.arange(len(a)), a["cells"].map(len))
+            wanted = np.concatenate(list(a["cells"]))
+            parts = []
+            for cell in np.unique(own):
+                asking, here = of[wanted == cell], np.flatnonzero(own == cell)
+                if len(asking):
+                    at, near, d = closest(x[asking], y[here], k + 1)
+                    parts.append((asking[at], here[near], d))
+            if not parts:
+                return pd.DataFrame({"query": [], "point": [], "distance": []})
+            at, near, d = (np.concatenate(v) for v in zip(*parts, strict=True))
+            order = np.lexsort((near, d, at))
+            n = np.bincount(at, minlength=len(a))
+            order = order[np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) <= k]
+            return pd.DataFrame({"query": a["query"].to_numpy()[at[order]], "point": ids[near[order]], "distance": d[order]})
+
+        keys = ["coarse", "part", "block"]
+        found = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(top, "query long, point long, distance double").where("query <> point")
         return found.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy("distance", "point"))).where(F.col("nth") <= k)
 
     def probes_for(self, queries: DataFrame, k: int, recall: float = 0.9, vector: str = "embedding") -> DataFrame:
@@ -125,6 +159,7 @@ class VectorIndex:
         The exact neighbours of ``queries`` (a bounded sample) are looked up
         once; each counts for every number of probes that reaches its cell.
         """
+        queries = materialize(queries.select("id", vector), "sample")  # it is asked for at every step
         exact = nearest(queries, self.table.select("id", F.col("x").alias(vector)), k, vector).select("query", "point")
         own = materialize(exact.join(self.table.select(F.col("id").alias("point"), "cell"), "point").select("query", "cell"), "exact")
         sizes = self.table.groupBy("cell").agg(F.count("*").alias("n"))

@@ -76,3 +76,16 @@ def test_closest_holds_little():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 120e6  # all differences of a step took 320 MB
+
+
+def test_search_makes_no_row_for_each_pair(spark, clustered, monkeypatch):
+    from gneiss.operators import index as module
+
+    monkeypatch.setattr(module, "SEARCHED", 100)
+    monkeypatch.setattr(module, "ASKED", 16)
+    index, queries = VectorIndex(clustered[0]), clustered[0].where("id % 100 = 7")
+    got = {(r.query, r.nth): (r.point, round(r.distance, 9)) for r in index.search(queries, 5, index.fine.count()).collect()}
+    exact = {(r.query, r.nth): (r.point, round(r.distance, 9)) for r in joins.nearest(queries, clustered[0], 5).collect()}
+    assert got == exact
+    plan = index.search(queries, 5, 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "zip_with" not in plan.split("FlatMapCoGroupsInPandas")[0]
