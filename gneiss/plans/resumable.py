@@ -12,7 +12,7 @@ from gneiss.operators import metrics, modelling, order, replicates, studies, tra
 from gneiss.plans import frames as P
 from gneiss.plans.modelling import CANDIDATES, _study_sql
 from gneiss.sources.stages import stage
-from gneiss.sources.storage import shared_dir, table
+from gneiss.sources.storage import materialize, shared_dir, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -75,21 +75,21 @@ def refit_equals_cached(spark, d) -> DataFrame:
 
 def _study(spark) -> studies.Study:
     fits = {"logistic": studies.estimator("logistic_l2", regParam=0.01), "tree": studies.estimator("tree", maxDepth=4)}
-    return studies.Study(f"{shared_dir(spark)}/study-{uuid.uuid4().hex}", "c_custkey", "target", NUMERIC, CATEGORICAL, fits, outer=2, inner=2)
+    return studies.Study(f"{shared_dir(spark)}/study-{uuid.uuid4().hex}", "c_custkey", "target", NUMERIC, CATEGORICAL, fits, outer=2, inner=2, at_once=4)
 
 
 @query("learner_study")
 def learner_study(spark, d) -> DataFrame:
     """Two learners over nested folds: the better one of each outer fold, its threshold, outer AUC and optimism."""
     study = _study(spark)
-    study.run(_customers(spark, d).where("u < 0.8"))
+    study.run(materialize(_customers(spark, d), "customers").where("u < 0.8"))
     return study.judged(spark)
 
 
 @query("learner_final")
 def learner_final(spark, d) -> DataFrame:
     """The finalist refitted on the development rows, saved, and evaluated once on the test rows."""
-    study, rows = _study(spark), _customers(spark, d)
+    study, rows = _study(spark), materialize(_customers(spark, d), "customers")  # a join that folds, transformers and scores read many times
     study.run(rows.where("u < 0.8"))
     return study.final(rows.where("u < 0.8"), rows.where("u >= 0.8"))
 
