@@ -248,14 +248,16 @@ def local_surrogate(cases: DataFrame, stats: dict[str, tuple[float, float]], pre
     Columns are drawn around the case with their deviation; ``predict`` adds
     ``s``; draws near the case weigh more (width 0.75 times the root of the
     number of columns). Products are summed in Spark; only a small system for
-    each case is solved here. Returns ``id``, ``feature``, ``effect`` per
-    deviation.
+    each case is solved here. Scores count from that of the case, so a constant
+    one gives effects of exactly 0. ``id`` must be unique. Returns ``id``,
+    ``feature``, ``effect`` per deviation.
     """
     columns = list(stats)
     angle = lambda c: F.sqrt(-2 * F.log(1 - uniform("id", "draw", F.lit(c), seed=seed))) * F.cos(2 * math.pi * uniform("id", "draw", F.lit(c), seed=seed + 1))
     drawn = cases.select("id", *columns).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumns({f"z_{c}": angle(c) for c in columns})
     drawn = drawn.withColumns({c: F.col(c) + F.lit(float(stats[c][1])) * F.col(f"z_{c}") for c in columns})
-    scored = predict(drawn)
+    own = predict(cases.select("id", *columns)).select("id", F.col("s").alias("__own"))
+    scored = predict(drawn).join(F.broadcast(own), "id").withColumn("s", F.col("s") - F.col("__own"))  # a few cases
     z = [F.col(f"z_{c}") for c in columns] + [F.lit(1.0)]
     near = F.exp(-reduce(lambda a, b: a + b, (c * c for c in z[:-1])) / (0.75 * 0.75 * len(columns)))
     cells = [(i, j) for i in range(len(z)) for j in range(i, len(z))]

@@ -320,9 +320,11 @@ def explanation_agreement(spark, d) -> DataFrame:
     predict = lambda t: t.withColumn("s", 1 / (1 + F.exp(-score)))
     positive = predict(train.where("y = 1")).withColumn("id", F.col("c_custkey").cast("long"))
     ends = positive.agg(F.min(F.struct(-F.col("s"), "id", *NUMBERS)).alias("a"), F.min(F.struct("s", "id", *NUMBERS)).alias("b"))
-    cases = materialize(ends.select(F.explode(F.array(*(F.struct(F.col(f"{e}.id").alias("id"), *(F.col(f"{e}.{c}").alias(c) for c in NUMBERS)) for e in "ab"))).alias("c")).select("c.*"), "cases")
+    cells = F.array(*(F.struct(F.col(f"{e}.id").alias("id"), *(F.col(f"{e}.{c}").alias(c) for c in NUMBERS)) for e in "ab"))
+    cases = materialize(ends.select(F.explode(F.array_distinct(cells)).alias("c")).select("c.*"), "cases")  # one case if all scores are equal
     local = modelling.local_surrogate(cases, dict.fromkeys(NUMBERS, (0.0, 1.0)), predict, draws=2000)
-    long = cases.select("id", F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.lit(b).alias("effect")) for b, c in zip(weights, NUMBERS, strict=False)))).alias("c")).select("id", "c.*")
+    parts = F.array(*(F.struct(F.lit(c).alias("feature"), (F.lit(b) * F.col(c)).alias("effect")) for b, c in zip(weights[:-1], NUMBERS, strict=True)))  # columns have mean 0
+    long = cases.select("id", F.explode(parts).alias("c")).select("id", "c.*")
     return modelling.agreement(long, local, 2)
 
 

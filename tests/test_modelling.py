@@ -149,6 +149,37 @@ def test_explanations_are_of_positives(spark):
     assert got and {r.id for r in got} <= positive and all(0 <= r.shared <= 2 and -1 <= r.rank_corr <= 1 for r in got)
 
 
+def test_surrogate_of_a_constant_is_zero(spark):
+    cases = spark.createDataFrame([(1, 0.3, -2.0), (2, 1.0, 0.7)], "id long, a double, b double")
+    got = modelling.local_surrogate(cases, {"a": (0.0, 1.0), "b": (0.0, 1.0)}, lambda t: t.withColumn("s", F.lit(0.0803)), draws=200).collect()
+    assert len(got) == 4 and all(r.effect == 0 for r in got)
+
+
+def test_explanations_of_equal_scores_are_one_case(spark, monkeypatch):
+    from gneiss.plans.learning import _prepared
+
+    train, _ = _prepared(spark, SF)
+    monkeypatch.setattr(plans, "_coefficients", lambda s, d: (train, None, [0.0, 0.0, 0.0, -2.4]))
+    got = [r.asDict() for r in plans.QUERIES["explanation_agreement"](spark, SF).collect()]
+    least = train.where("y = 1").agg(F.min("c_custkey")).first()[0]
+    assert got == [{"id": least, "shared": 2, "same_sign": 1.0, "rank_corr": 1.0}]
+
+
+def test_explanations_compare_contributions_of_the_case(spark, monkeypatch):
+    from gneiss.plans.learning import NUMBERS, _prepared
+
+    train, _ = _prepared(spark, SF)
+    weights = np.array([1.0, 0.5, 0.2])  # the surrogate has their order and signs
+    monkeypatch.setattr(plans, "_coefficients", lambda s, d: (train, None, [*weights.tolist(), -0.3]))
+    rows = sorted((float(weights @ [r[c] for c in NUMBERS]), r.c_custkey, weights * [r[c] for c in NUMBERS]) for r in train.where("y = 1").collect())
+    got = {r.id: (r.shared, r.same_sign, r.rank_corr) for r in plans.QUERIES["explanation_agreement"](spark, SF).collect()}
+    want = {}
+    for _, key, parts in (rows[0], rows[-1]):
+        place = np.argsort(np.argsort(-np.abs(parts)))
+        want[key] = (int((place[:2] < 2).sum()), np.mean(parts > 0), np.corrcoef(place, range(3))[0, 1])
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
+
+
 def test_artifact_scores_all_held_out_rows(spark):
     from gneiss.plans.learning import _prepared
 
